@@ -13,6 +13,7 @@ count as empty, so they are just the end id. Repeated rows are written each. Oth
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,44 +37,95 @@ _NO_ID = -(1 << 63)
 MEMO = 400_000
 
 
+#: Letters, numbers and white space below U+0100, for the standard library's faster patterns.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+_LATIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
+
+class _Places(dict):
+    """Pre-token to its number; one that is missing gets the next number and joins the new ones."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, w: str) -> int:
+        self[w] = n = len(self)
+        self.new.append(w)
+        return n
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library; the ids of pre-tokens are remembered, new ones are encoded in one call."""
+    """Ids of texts by the tokenizers library; ids of pre-tokens are remembered in one array, new ones are encoded in one call."""
 
     def __init__(self, path: str):
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.find_latin = re.compile(_LATIN).findall
         self.tok = Tokenizer.from_file(path)
-        self.tok.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)  # the pattern is applied here
-        self.tok.encode_special_tokens = False
-        self.mark = "<|endoftext|>"  # splits joined pre-tokens: none of them can contain it, as the pattern cuts at its letters
-        self.mark_id = self.tok.token_to_id(self.mark)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The pattern is applied here; what is handed over are pre-tokens, joined by line ends.
+        self.tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        (self.line_id,) = self._ids(self.tok, "\n")
+        self._forget()
+
+    @staticmethod
+    def _ids(tok, text: str) -> list[int]:
+        return tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _forget(self) -> None:
+        self.memo = _Places()
+        self.first = np.empty(0, np.int64)  # where a pre-token's ids begin in flat, and how many they are
+        self.size = np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
 
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            ids = np.array(self.tok.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            assert len(cuts) == len(part) - 1
-            all_ids, start = ids.tolist(), 0
-            for w, end in zip(part, [*cuts.tolist(), len(all_ids)]):
-                self.memo[w] = tuple(all_ids[start:end])
-                start = end + 1
+        flat, size, total = [self.flat], np.empty(len(new), np.int64), len(self.flat)
+        first = np.empty(len(new), np.int64)
+        lines = [i for i, w in enumerate(new) if "\n" in w]
+        plain = np.setdiff1d(np.arange(len(new)), lines)
+        for at in range(0, len(plain), 4096):
+            places = plain[at : at + 4096]
+            ids = np.array(self._ids(self.tok, "\n".join([new[i] for i in places.tolist()])), np.uint32)
+            line = ids == self.line_id
+            cuts = np.flatnonzero(line)
+            if len(cuts) != len(places) - 1:
+                raise ValueError("pre-tokens and ids don't match")
+            flat.append(ids[~line])
+            n = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+            size[places], first[places] = n, total + np.cumsum(n) - n
+            total += len(flat[-1])
+        for i in lines:
+            flat.append(np.array(self._ids(self.whole, new[i]), np.uint32))
+            size[i], first[i] = len(flat[-1]), total
+            total += len(flat[-1])
+        self.flat, self.first, self.size = np.concatenate(flat), np.concatenate([self.first, first]), np.concatenate([self.size, size])
+
+    def pre_tokens(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.find(text)
+        return self.find_latin(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [self.find(t) for t in texts]
+        words = [self.pre_tokens(t) for t in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = set().union(*words).difference(self.memo)
-        if new:
-            self._learn(list(new))
-        get = self.memo.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, w)), np.uint32) for w in words]
+            self._forget()
+        k = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        if self.memo.new:
+            self._learn(self.memo.new)
+            self.memo.new = []
+        n = self.size[k]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.first[k] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])].tolist()
+        return [ids[x:y] for x, y in zip(cuts, cuts[1:])]
 
 
 @lru_cache(1)
