@@ -2,7 +2,7 @@
 
 One weight vector is shared by all ordered thresholds: P(grade >= k) = sigmoid(w.x - theta_k). The output is the
 expected severity, sum over k of P(grade >= k); a document is toxic if P(grade >= 1) is at least one half.
-Features are the presence of a word and of a five-letter word start, kept if they tell the grades apart.
+Features are the presence of a word and of a short word start, kept if they tell the grades apart.
 
 Null and empty texts have no features and get the base rates. Labels with a null id or grade don't count, repeated
 labels count once with the highest grade; without labels everything has severity 0. Repeated rows and ties get equal
@@ -20,19 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, written
 
 #: Bound on labelled documents that the fit reads, for each of the two strata (grade 0, grade above 0).
 FIT_ROWS = 3000
 #: Bound on features of the fitted model.
 FIT_FEATURES = 2000
+#: Lengths of word starts that are features: inflected and compound forms share them.
+STARTS = (4, 5)
 _WORD = re.compile(r"\w+")
 
 
 def features(text: str | None) -> set[str]:
-    """Presence features of a text: its lower-cased words, and the five-letter starts of longer ones."""
+    """Presence features of a text: its lower-cased words, and the four- and five-letter starts of longer ones."""
     words = set(_WORD.findall((text or "").lower()))
-    return words | {w[:5] + "*" for w in words if len(w) > 5}
+    return words | {w[:n] + "*" for n in STARTS for w in words if len(w) > n}
 
 
 @dataclass
@@ -43,23 +45,14 @@ class OrdinalModel:
     theta: np.ndarray = field(default_factory=lambda: np.full(1, 30.0))
 
     def eta(self, text: str | None) -> float:
-        get = self.weights.get
-        words = set(_WORD.findall((text or "").lower()))
-        score, starts = 0.0, set()
-        for w in sorted(words):
-            score += get(w, 0.0)
-            if len(w) > 5:
-                starts.add(w[:5] + "*")
-        for w in sorted(starts):
-            score += get(w, 0.0)
-        return score
+        return sum(map(self.weights.__getitem__, sorted(f for f in features(text) if f in self.weights)))
 
     def at_least(self, text: str | None) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ..."""
         return 1 / (1 + np.exp(np.clip(self.theta - self.eta(text), -60, 60)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 2e-5, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds by Adam on the proportional-odds likelihood; thresholds are a start plus positive gaps."""
     n, d = x.shape
     p = np.zeros(d + grades - 1)
@@ -93,53 +86,61 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-3, ste
     return p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
 
 
-def fit_model(bags: list[set[str]], grade: list[int]) -> OrdinalModel:
-    """Chooses features whose presence tells toxic from clean, grades binary labels by hits, and fits the weights."""
+def fit_model(x: np.ndarray, grade: np.ndarray, chosen: list[str], strong: np.ndarray) -> OrdinalModel:
+    """Fits weights for the chosen features. Binary labels are first graded 1 to 3 by terciles of a toxic document's strong features."""
     y = np.asarray(grade)
-    if not len(y) or y.min() == y.max():
+    if not len(y) or y.min() == y.max() or not chosen:
         return OrdinalModel()
-    n1, n0 = int((y > 0).sum()), int((y == 0).sum())
-    df1, df0 = Counter(), Counter()
-    for bag, g in zip(bags, y):
-        (df1 if g else df0).update(bag)
-    z = {}
-    for f in df1.keys() | df0.keys():
-        a, b = df1[f], df0[f]
-        if a + b >= 4:
-            rate = (a + b) / (n1 + n0)
-            z[f] = (a / n1 - b / n0) / (rate * (1 - rate) * (1 / n1 + 1 / n0) + 1e-12) ** 0.5
-    chosen = sorted((f for f in z if abs(z[f]) >= 4), key=lambda f: (-abs(z[f]), f))[:FIT_FEATURES]
-    place = {f: i for i, f in enumerate(chosen)}
-    x = np.zeros((len(y), len(chosen)))
-    for i, bag in enumerate(bags):
-        x[i, [place[f] for f in bag if f in place]] = 1
-    if y.max() == 1:  # binary labels: grades 1 to 3 by terciles of the strong hits
-        strong = np.array([z[f] > 0 and df1[f] * n0 > 20 * df0[f] * n1 for f in chosen], bool)
+    if y.max() == 1:
         hits = x[:, strong].sum(axis=1)
         cut = np.quantile(hits[y == 1], [1 / 3, 2 / 3], method="higher")
         y = np.where(y == 0, 0, 1 + (hits > cut[0]).astype(int) + (hits > cut[1]).astype(int))
         y = np.searchsorted(np.unique(y), y)
     w, theta = fit_ordinal(x, y, int(y.max()) + 1)
-    return OrdinalModel({f: float(w[i]) for f, i in place.items()}, theta)
+    return OrdinalModel({f: float(w[i]) for i, f in enumerate(chosen)}, theta)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalModel:
-    """Fits on at most `rows` labelled documents of grade 0 and as many above, chosen by a hash of the id."""
+    """Fits on at most `rows` labelled documents of grade 0 and as many above, chosen by a hash of the id.
+
+    The sample is written once; the features that tell the grades apart are counted and chosen in Spark.
+    """
     lab = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").cast("int").alias("g")).dropna().groupBy("i").agg(F.max("g").alias("g"))
     picked = [lab.where(cond).orderBy(F.xxhash64("i"), "i").limit(rows) for cond in (F.col("g") <= 0, F.col("g") > 0)]
     ids = picked[0].unionByName(picked[1]).collect()  # 2 x rows at most
     if not ids:
         return OrdinalModel()
-    grade = {r.i: max(0, r.g) for r in ids}
     spark = docs.sparkSession
-    small = F.broadcast(spark.createDataFrame([(i,) for i in grade], "doc_id long"))  # 2 x rows at most
+    small = F.broadcast(spark.createDataFrame([(r.i, max(0, r.g)) for r in ids], "i long, g int"))  # 2 x rows at most
+    sample = written(docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(small, "i").dropDuplicates(["i"]), "toxicity-sample")
+    size = {bool(r.toxic): r.n for r in sample.groupBy((F.col("g") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    n1, n0 = size.get(True, 0), size.get(False, 0)
+    if not n1 or not n0:
+        return OrdinalModel()
+
+    def counted(b: pa.RecordBatch) -> dict:
+        df: tuple[Counter, Counter] = (Counter(), Counter())
+        for t, g in zip(b.column("text").to_pylist(), b.column("g").to_pylist()):
+            df[g > 0].update(features(t))
+        every = sorted(df[0].keys() | df[1].keys())
+        return {"f": every, "b": [df[0][f] for f in every], "a": [df[1][f] for f in every]}
+
+    df = map_batches(sample, counted, "f string, b long, a long").groupBy("f").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).where("a + b >= 4")
+    rate = (F.col("a") + F.col("b")) / (n1 + n0)
+    df = df.withColumn("z", (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0) + 1e-12))
+    top = df.where(F.abs("z") >= 4).orderBy(F.desc(F.abs("z")), "f").limit(FIT_FEATURES).collect()
+    chosen = [r.f for r in top]
+    strong = np.array([r.z > 0 and r.a * n0 > 20 * r.b * n1 for r in top], bool)
+    place = {f: i for i, f in enumerate(chosen)}
 
     def bags(b: pa.RecordBatch) -> dict:
-        return {"i": b.column("doc_id"), "f": [sorted(features(t)) for t in b.column("text").to_pylist()]}
+        return {"i": b.column("i"), "g": b.column("g"), "f": [sorted(place[f] for f in features(t) if f in place) for t in b.column("text").to_pylist()]}
 
-    got = map_batches(docs.select(F.col("doc_id").cast("long"), "text").join(small, "doc_id", "left_semi"), bags, "i long, f array<string>").collect()
-    got.sort(key=lambda r: (r.i, len(r.f)))
-    return fit_model([set(r.f) for r in got], [grade[r.i] for r in got])
+    got = sorted(map_batches(sample, bags, "i long, g int, f array<int>").collect(), key=lambda r: r.i)
+    x = np.zeros((len(got), len(chosen)), np.float32)
+    for k, r in enumerate(got):
+        x[k, r.f] = 1
+    return fit_model(x, np.array([r.g for r in got]), chosen, strong)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
