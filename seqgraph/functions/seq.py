@@ -100,18 +100,17 @@ def popcount(v: Column | str) -> Column:
 
 
 def fold_palindrome(s: Column | str, k: int) -> Column:
-    """The half of a linear palindromic contig that determines it, with the node in its middle: (length + k) / 2 bases."""
+    """A linear palindromic contig up to and with its middle edge; the rest is the reverse complement of that."""
     s = _c(s)
-    return F.substring(s, F.lit(1), F.floor((F.length(s) + k) / 2).cast("int"))
+    return F.substring(s, F.lit(1), F.floor((F.length(s) - k - 1) / 2).cast("int") + k + 1)
 
 
 def fold_palindrome_loop(s: Column | str, k: int) -> Column:
-    """A loop that is its own reverse complement: its turning point is the first palindromic (k+1)-mer; what lies before it is rotated away."""
+    """Half of a loop that is its own reverse complement, from behind the first palindromic (k+1)-mer on."""
     s = _c(s)
-    windows = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - k))
-    at = F.coalesce(F.get(F.filter(windows, lambda i: F.substring(s, i, F.lit(k + 1)) == rc(F.substring(s, i, F.lit(k + 1)))), F.lit(0)), F.lit(1))
-    turned = F.concat(F.substring(s, at, F.length(s)), F.substring(s, F.lit(k + 1), at - 1))
-    return F.substring(turned, F.lit(1), F.floor((F.length(s) - k) / 2).cast("int") + k)
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - k))
+    turn = F.get(F.filter(places, lambda i: F.substring(s, i, F.lit(k + 1)) == rc(F.substring(s, i, F.lit(k + 1)))), F.lit(0))
+    return F.coalesce(F.substring(s, turn + 1, F.floor(F.length(s) / 2).cast("int")), s)
 
 
 def _c(x: Column | str) -> Column:

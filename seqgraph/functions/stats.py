@@ -12,8 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_MULT = 65_535
-_UP = W.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-_DOWN = W.orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, 0)
+
+
+def _up():
+    return W.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+
+
+def _down():
+    return W.orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, 0)
 
 
 def histogram(df: DataFrame, value: Column | str) -> DataFrame:
@@ -33,19 +39,19 @@ def summary(h: DataFrame) -> DataFrame:
 def percentile(h: DataFrame, p: float) -> DataFrame:
     """One row: the first value whose running count exceeds int(n * p)."""
     t = h.agg(F.floor(F.sum("n") * F.lit(p)).alias("limit"))
-    return h.withColumn("c", F.sum("n").over(_UP)).crossJoin(F.broadcast(t)).where(F.col("c") > F.col("limit")).agg(F.min("value").alias("value"))  # t has one row
+    return h.withColumn("c", F.sum("n").over(_up())).crossJoin(F.broadcast(t)).where(F.col("c") > F.col("limit")).agg(F.min("value").alias("value"))  # t has one row
 
 
 def nx(h: DataFrame, share: float = 0.5) -> DataFrame:
     """One row: the greatest value such that values from it up make up at least the share of the total."""
     t = h.agg(F.sum(F.col("value") * F.col("n")).alias("total"))
-    return h.withColumn("c", F.sum(F.col("value") * F.col("n")).over(_DOWN)).crossJoin(F.broadcast(t)).where(F.col("c") >= F.col("total") * F.lit(share)).agg(F.max("value").alias("value"))  # t has one row
+    return h.withColumn("c", F.sum(F.col("value") * F.col("n")).over(_down())).crossJoin(F.broadcast(t)).where(F.col("c") >= F.col("total") * F.lit(share)).agg(F.max("value").alias("value"))  # t has one row
 
 
 def trim(h: DataFrame, share: float) -> DataFrame:
     """The histogram without int(share / 2 of the count) at either tail, whole or part of a value."""
     t = h.agg(F.floor(F.sum("n") * F.lit(share) / 2 + 0.5).cast("long").alias("cut"))
-    d = h.withColumn("lo", F.sum("n").over(_UP)).withColumn("hi", F.sum("n").over(_DOWN)).crossJoin(F.broadcast(t))  # t has one row
+    d = h.withColumn("lo", F.sum("n").over(_up())).withColumn("hi", F.sum("n").over(_down())).crossJoin(F.broadcast(t))  # t has one row
     keep = F.col("n") - F.least(F.col("n"), F.greatest(F.lit(0), F.col("cut") - (F.col("lo") - F.col("n")))) - F.least(F.col("n"), F.greatest(F.lit(0), F.col("cut") - (F.col("hi") - F.col("n"))))
     return d.select("value", keep.alias("n")).where("n > 0")
 
