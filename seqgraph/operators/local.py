@@ -152,10 +152,10 @@ def local_assembly(reads: DataFrame, libs: DataFrame, contigs: DataFrame, kmax:
     ends = c.select(F.col("contig_id"), F.substring("seq", 1, range_).alias("e0"), F.expr(f"right(seq, {range_})").alias("e1"))
     rows = hits.join(reads.select("read_id", "seq"), "read_id").join(ends, "contig_id").select("contig_id", "end", "read_id", "seq", F.when(F.col("end") == 0, F.col("e0")).otherwise(F.col("e1")).alias("tail"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("read_id")
         got = [s for s in assemble_end(pdf["seq"].tolist(), pdf["tail"].iloc[0], kmin, kmax, step)]
         keep = [(j, s) for j, s in enumerate(got) if len(s) > min_len and len(s) > kmax]
-        return pd.DataFrame({"origin_contig": [key[0]] * len(keep), "strand": [int(key[1])] * len(keep), "j": [j for j, _ in keep], "seq": [s for _, s in keep]})
+        return pd.DataFrame({"origin_contig": [key[0]] * len(keep), "strand": [int(key[1])] * len(keep), "j": [j for j, _ in keep], "seq": [s for _, s in keep]}, dtype=object)
 
     return rows.groupBy("contig_id", "end").applyInPandas(run, "origin_contig string, strand int, j int, seq string")

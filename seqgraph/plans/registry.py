@@ -1,15 +1,297 @@
-"""Registered queries of the assembly operators and the SQL that they are held against."""
+"""Registered queries of the assembly operators and the SQL that they are held against.
+
+Inputs are whole tables. Text becomes reads by the encoding in sources.tables: `documents` for what is linear in the
+bases, `conversations` for graph joins, `benchmark` for operators that take many rounds. The SQL is written for
+DuckDB, from the definitions and not from the Spark code.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import seq as fs
+from ..functions import stats
+from ..operators import cleaning, graph, iterate, kmers, local, mapping, mercy, report, unitigs
+from ..sources import tables
+from . import assembly as plan
+from .options import Options
+
+K, M = 21, 2
+Query = Callable[[SparkSession, str], DataFrame]
+_spark: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+#: table -> (its id, SQL for one long id)
+IDS = {"documents": "doc_id", "conversations": "conv_id * 1000 + turn", "benchmark": "item_id"}
+
+
+def reads(spark: SparkSession, sf_dir: str, table: str, step: int = tables.STEP) -> DataFrame:
+    return tables.reads_from_table(spark, sf_dir, table, IDS[table], step=step)
+
+
+def contig_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bases as a contig, with flags and multiplicities from its id."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tables.text_to_dna("text").alias("seq")).where("length(seq) > 0")
+    return d.select(F.format_string("c%d", F.col("doc_id")).alias("contig_id"), F.lit(K).alias("k"), (F.col("doc_id") % 4).cast("int").alias("flag"), ((F.col("doc_id") % 97) / 4.0 + 1).alias("multi"), F.length("seq").alias("len"), "seq")
+
+
+def piece_unitigs(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
+    """Pieces of 100 bases that overlap by k, as unitigs with depths from how often they occur."""
+    d = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(tables.text_to_dna("text").alias("dna"))
+    step = 100 - k
+    s = d.select("dna", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(length(dna) - {k} - 1) div {step}").cast("int")))).alias("i")).select(F.substring("dna", F.col("i") * step + 1, F.lit(100)).alias("s")).where(F.length("s") > k)
+    first = lambda c: fs.colex(F.expr(f"left({c}, {k + 1})"))
+    o = s.withColumn("r", fs.rc("s")).withColumn("a", first("s")).withColumn("b", first("r"))
+    o = o.select(F.least("a", "b").alias("uid"), F.when(F.col("b") < F.col("a"), F.col("r")).otherwise(F.col("s")).alias("seq"))
+    g = o.groupBy("uid").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+    length = (F.length("seq") - k).cast("long")
+    return g.select("uid", "seq", length.alias("length"), (F.col("n") * length + length % 7).alias("total_depth"), F.lit(False).alias("is_loop"), (F.col("seq") == fs.rc("seq")).alias("is_palindrome"), F.lit(False).alias("is_changed"))
+
+
+# ---------------------------------------------------------------- SQL pieces
+
+
+def rc(x: str) -> str:
+    return f"translate(reverse({x}), 'ACGT', 'TGCA')"
+
+
+def colex(x: str) -> str:
+    return f"(reverse(left({x}, length({x}) - 1)) || right({x}, 1))"
+
+
+def dna(text: str = "text") -> str:
+    return f"regexp_replace(translate(lower({text}), '{tables.LETTERS}', '{tables.BASES}'), '[^ACGT]', '', 'g')"
+
+
+def reads_sql(table: str) -> str:
+    return (
+        f"dna AS (SELECT {IDS[table]} AS id, {dna()} AS dna FROM {table}), "
+        f"cut AS (SELECT id, dna, unnest(range(0, greatest(1, (length(dna) - 1) // {tables.STEP}))) AS i FROM dna WHERE length(dna) > 0), "
+        f"reads AS (SELECT id * 1000000 + i AS read_id, CAST(i % 2 AS INTEGER) AS mate, substring(dna, 1 + {tables.STEP} * i, {tables.READ}) AS seq FROM cut)"
+    )
+
+
+def occ_sql(size: int, name: str = "occ", least: int = 0) -> str:
+    return (
+        f"{name} AS (SELECT read_id, p - 1 AS pos, substring(seq, p, {size}) AS m, CASE WHEN p > 1 THEN substring(seq, p - 1, 1) END AS b, CASE WHEN p + {size} <= length(seq) THEN substring(seq, p + {size}, 1) END AS a "
+        f"FROM (SELECT read_id, seq, unnest(range(1, length(seq) - {size} + 2)) AS p FROM reads WHERE length(seq) >= {max(size, least)}))"
+    )
+
+
+def edges_sql(least: int = M) -> str:
+    return f"edges AS (SELECT least(m, {rc('m')}) AS edge, CAST(least(count(*), 65535) AS INTEGER) AS mult FROM occ GROUP BY 1 HAVING count(*) >= {least})"
+
+
+def dbg_sql(k: int = K) -> str:
+    return f"dbg AS (SELECT e AS edge, left(e, {k}) AS src, right(e, {k}) AS dst, {rc('e')} AS edge_rc, mult FROM (SELECT edge AS e, mult FROM edges UNION SELECT {rc('edge')}, mult FROM edges))"
+
+
+def graph_sql(table: str = "conversations", least: int = M) -> str:
+    return f"WITH {reads_sql(table)}, {occ_sql(K + 1)}, {edges_sql(least)}, {dbg_sql()}"
+
+
+CONTIGS = f"contigs AS (SELECT 'c' || doc_id AS contig_id, CAST(doc_id % 4 AS INTEGER) AS flag, (doc_id % 97) / 4.0 + 1 AS multi, length(s) AS len, s AS seq FROM (SELECT doc_id, {dna()} AS s FROM documents) WHERE length(s) > 0)"
+SIDES = (
+    f"nb AS (SELECT read_id, pos, least(m, {rc('m')}) AS edge, CASE WHEN m > {rc('m')} THEN 1 ELSE 0 END AS strand, CASE WHEN m > {rc('m')} THEN translate(a, 'ACGT', 'TGCA') ELSE b END AS prev, CASE WHEN m > {rc('m')} THEN translate(b, 'ACGT', 'TGCA') ELSE a END AS nxt FROM occ), "
+    + "sides AS (SELECT edge, count(*) AS n, "
+    + ", ".join(f"greatest({', '.join(f"count(*) FILTER ({c} = '{x}')" for x in 'ACGT')}) >= {M} AS {h}" for c, h in (("prev", "has_in"), ("nxt", "has_out")))
+    + f" FROM nb GROUP BY edge HAVING count(*) >= {M})"
+)
+TIPS = (
+    "tips AS (SELECT read_id, min(CASE WHEN (strand = 0 AND NOT has_out) OR (strand = 1 AND NOT has_in) THEN pos + 1 END) AS first_0_out, "
+    "max(CASE WHEN (strand = 0 AND NOT has_in) OR (strand = 1 AND NOT has_out) THEN pos END) AS last_0_in FROM nb JOIN sides USING (edge) WHERE NOT has_in OR NOT has_out GROUP BY read_id)"
+)
+UK = 15
+UNITIGS = (
+    f"udna AS (SELECT {dna()} AS dna FROM conversations), ucut AS (SELECT dna, unnest(range(0, greatest(0, (length(dna) - {UK} - 1) // {100 - UK}) + 1)) AS i FROM udna), "
+    f"up AS (SELECT substring(dna, i * {100 - UK} + 1, 100) AS s FROM ucut), uo AS (SELECT s, {rc('s')} AS r, {colex(f'left(s, {UK + 1})')} AS a, {colex(f'left({rc("s")}, {UK + 1})')} AS b FROM up WHERE length(s) > {UK}), "
+    f"ug AS (SELECT least(a, b) AS uid, min(CASE WHEN b < a THEN r ELSE s END) AS seq, count(*) AS n FROM uo GROUP BY 1), "
+    f"u AS (SELECT uid, seq, length(seq) - {UK} AS length, n * (length(seq) - {UK}) + (length(seq) - {UK}) % 7 AS total_depth, seq = {rc('seq')} AS pal FROM ug), "
+    f"o AS (SELECT uid, 0 AS strand, seq AS s, length, total_depth, pal FROM u UNION ALL SELECT uid, 1, {rc('seq')}, length, total_depth, pal FROM u WHERE NOT pal), "
+    f"adj AS (SELECT x.uid, x.strand, y.uid AS next_uid, y.strand AS next_strand, y.length AS next_length, y.total_depth / y.length AS next_depth FROM o x JOIN o y ON right(x.s, {UK}) = left(y.s, {UK})), "
+    f"nd AS (SELECT uid, count(*) FILTER (strand = 0) AS o0, count(*) FILTER (strand = 1) AS o1 FROM adj GROUP BY uid), "
+    f"deg AS (SELECT u.*, coalesce(o0, 0) AS outdeg, CASE WHEN u.pal THEN coalesce(o0, 0) ELSE coalesce(o1, 0) END AS indeg FROM u LEFT JOIN nd USING (uid))"
+)
+
+
+def add(name: str, spark: Query, sql: str | None = None) -> None:
+    _spark[name] = spark
+    if sql:
+        _sql[name] = sql
+
+
+def register() -> None:
+    doc = lambda s, d: reads(s, d, "documents")
+    conv = lambda s, d: reads(s, d, "conversations")
+    solid = lambda s, d: kmers.solid_edges(conv(s, d), K, M)
+    dbg = lambda s, d: graph.directed(solid(s, d))
+    D, C = f"WITH {reads_sql('documents')}", f"WITH {reads_sql('conversations')}"
+    G = graph_sql()
+
+    # sources
+    add("s01_reads", lambda s, d: doc(s, d).select("read_id", "mate", "seq", "len"), f"{D} SELECT read_id, mate, seq, length(seq) AS len FROM reads")
+    add("s03_n_trim", lambda s, d: doc(s, d).select("read_id", fs.n_trim(F.regexp_replace("seq", "AC", "NN")).alias("seq")), f"{D} SELECT read_id, regexp_extract(replace(seq, 'AC', 'NN'), '[^N]+', 0) AS seq FROM reads")
+    add(
+        "s04_paired_reads",
+        lambda s, d: doc(s, d).where("mate = 0").alias("a").join(doc(s, d).where("mate = 1").alias("b"), F.expr("a.read_id div 2 = b.read_id div 2")).select(F.col("a.read_id").alias("first_id"), F.col("b.read_id").alias("second_id"), (F.col("a.len") + F.col("b.len")).alias("bases")),
+        f"{D} SELECT a.read_id AS first_id, b.read_id AS second_id, length(a.seq) + length(b.seq) AS bases FROM reads a JOIN reads b ON a.read_id // 2 = b.read_id // 2 WHERE a.mate = 0 AND b.mate = 1",
+    )
+    add(
+        "s06_library_metadata",
+        lambda s, d: report_libs(doc(s, d)),
+        f"{D}, l AS (SELECT CAST((read_id // 1000000) % 4 AS INTEGER) AS lib_id, read_id, length(seq) AS len FROM reads) SELECT lib_id, min(read_id) AS begin_id, max(read_id) + 1 AS end_id, max(len) AS max_read_len, count(*) AS n_reads, CAST(sum(len) AS BIGINT) AS n_bases FROM l GROUP BY 1",
+    )
+    add("s09_scan_contigs", lambda s, d: tables.scan_contigs(contig_table(s, d), 300, 1).select("contig_id", "flag", "len", "mult"), f"WITH {CONTIGS} SELECT contig_id, flag, len, CAST(least(65535, floor(multi + 0.5)) AS INTEGER) AS mult FROM contigs WHERE len >= 300 AND flag & 1 = 0")
+    add("s10_extend_loops", lambda s, d: tables.extend_loops(contig_table(s, d), 21, 29).select("contig_id", "len", F.md5("seq").alias("seq_md5")), f"WITH {CONTIGS}, e AS (SELECT contig_id, CASE WHEN flag & 2 != 0 THEN seq || substring(seq, 22, 8) ELSE seq END AS seq FROM contigs WHERE flag & 2 = 0 OR len >= 30) SELECT contig_id, length(seq) AS len, md5(seq) AS seq_md5 FROM e")
+    add("s13_contigs_for_iterate", lambda s, d: tables.for_iterate(contig_table(s, d)).select("contig_id", "len"), f"WITH {CONTIGS} SELECT contig_id, len FROM contigs WHERE flag = 0")
+
+    # sinks
+    add("k01_contig_fasta", lambda s, d: contig_table(s, d).select("contig_id", tables.header(K).alias("header")), f"WITH {CONTIGS} SELECT contig_id, printf('>k{K}_%s flag=%d multi=%.4f len=%d', contig_id, flag, CAST(multi AS DOUBLE), len) AS header FROM contigs")
+    add("k01_contig_info", lambda s, d: tables.contig_info(contig_table(s, d)), f"WITH {CONTIGS} SELECT count(*) AS n_contigs, CAST(sum(len) AS BIGINT) AS n_bases FROM contigs")
+    add("k05_counting_with_zeros", lambda s, d: kmers.multiplicity_histogram(kmers.count_edges(conv(s, d), K), True), f"{C}, {occ_sql(K + 1)}, {edges_sql(1)}, h AS (SELECT mult, count(*) AS n FROM edges GROUP BY 1) SELECT CAST(i AS INTEGER) AS mult, coalesce(n, 0) AS n FROM range(1, 65536) t(i) LEFT JOIN h ON h.mult = t.i")
+    add("k07_final_contigs", lambda s, d: tables.final_contigs([contig_table(s, d).where("flag = 1")], contig_table(s, d).where("flag = 0"), 400).select("contig_id", "len"), f"WITH {CONTIGS} SELECT contig_id, len FROM contigs WHERE flag IN (0, 1) AND len >= 400")
+
+    # functions
+    R = "reads"
+    add("f01_reverse_complement", lambda s, d: doc(s, d).select("read_id", fs.rc("seq").alias("rc")), f"{D} SELECT read_id, {rc('seq')} AS rc FROM {R}")
+    add("f02_canonical", lambda s, d: doc(s, d).select("read_id", fs.canonical("seq").alias("canonical")), f"{D} SELECT read_id, least(seq, {rc('seq')}) AS canonical FROM {R}")
+    add("f03_palindrome", lambda s, d: kmers.enumerate_kmers(conv(s, d), 6, "seq", "read_id").where(fs.is_palindrome("kmer")).groupBy("kmer").agg(F.count("*").alias("n")), f"{C}, {occ_sql(6)} SELECT m AS kmer, count(*) AS n FROM occ WHERE m = {rc('m')} GROUP BY 1")
+    add("f04_roll", lambda s, d: doc(s, d).select("read_id", fs.append_base("seq", F.lit("T")).alias("after"), fs.prepend_base("seq", F.lit("G")).alias("before")), f"{D} SELECT read_id, substring(seq, 2) || 'T' AS after, 'G' || left(seq, length(seq) - 1) AS before FROM {R}")
+    add("f05_set_base", lambda s, d: doc(s, d).where("len >= 10").select("read_id", fs.base_at("seq", 4).alias("base"), fs.set_base("seq", 4, F.lit("A")).alias("changed")), f"{D} SELECT read_id, substring(seq, 5, 1) AS base, left(seq, 4) || 'A' || substring(seq, 6) AS changed FROM {R} WHERE length(seq) >= 10")
+    add("f06_rc_substring", lambda s, d: doc(s, d).select("read_id", fs.subseq("seq", 3, 20).alias("sub"), fs.rc_subseq("seq", 3, 20).alias("rc_sub")), f"{D} SELECT read_id, substring(seq, 4, 20) AS sub, {rc('substring(seq, 4, 20)')} AS rc_sub FROM {R}")
+    pack_sql = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(left(seq, 21), ''), lambda c: CAST(instr('ACGT', c) - 1 AS BIGINT))), lambda a, b: a * 4 + b)"
+    add("f09_pack", lambda s, d: doc(s, d).select("read_id", fs.pack(F.expr("left(seq, 21)")).alias("packed")), f"{D} SELECT read_id, {pack_sql} AS packed FROM {R}")
+    add("f10_popcount", lambda s, d: doc(s, d).select("read_id", fs.popcount(fs.pack(F.expr("left(seq, 21)"))).cast("int").alias("bits")), f"{D} SELECT read_id, CAST(bit_count({pack_sql}) AS INTEGER) AS bits FROM {R}")
+    pair = lambda s, d: doc(s, d).where("mate = 0 AND len = 100").select(F.expr("read_id div 2").alias("p"), F.col("seq").alias("x")).join(doc(s, d).where("mate = 1 AND len = 100").select(F.expr("read_id div 2").alias("p"), F.col("seq").alias("y")), "p")
+    PAIR = f"{D}, q AS (SELECT a.read_id // 2 AS p, a.seq AS x, b.seq AS y FROM reads a JOIN reads b ON a.read_id // 2 = b.read_id // 2 AND a.mate = 0 AND b.mate = 1 WHERE length(a.seq) = 100 AND length(b.seq) = 100)"
+    add("f11_mismatches", lambda s, d: pair(s, d).select("p", fs.mismatches("x", "y").alias("mismatches")), f"{PAIR} SELECT p, CAST(hamming(x, y) AS INTEGER) AS mismatches FROM q")
+    add("f12_similar_enough", lambda s, d: pair(s, d).select("p", fs.similar_enough(F.expr("substring(x, 51, 50)"), F.expr("left(y, 47)"), 0.8).alias("similar")), f"{PAIR} SELECT p, levenshtein(substring(x, 51, 50), left(y, 47)) <= 10 AND 1 - levenshtein(substring(x, 51, 50), left(y, 47)) / 50.0 >= 0.8 AS similar FROM q")
+    add("f13_fold_palindrome", lambda s, d: doc(s, d).where("len = 100").select("read_id", fs.fold_palindrome(F.concat("seq", fs.rc("seq")), K).alias("folded")), f"{D} SELECT read_id, left(seq || {rc('seq')}, (200 - {K} - 1) // 2 + {K} + 1) AS folded FROM {R} WHERE length(seq) = 100")
+    clen = lambda s, d: stats.histogram(contig_table(s, d), "len")
+    add("f15_histogram", clen, f"WITH {CONTIGS} SELECT len AS value, count(*) AS n FROM contigs GROUP BY 1")
+    add("f15_summary", lambda s, d: stats.summary(clen(s, d)).select("n", "least", "greatest", "total", "mean", F.round("sd", 4).alias("sd")), f"WITH {CONTIGS} SELECT count(*) AS n, min(len) AS least, max(len) AS greatest, CAST(sum(len) AS BIGINT) AS total, CAST(sum(len) // count(*) AS BIGINT) AS mean, round(stddev_pop(len), 4) AS sd FROM contigs")
+    add("f15_percentile", lambda s, d: stats.percentile(clen(s, d), 0.9), f"WITH {CONTIGS}, h AS (SELECT len AS value, count(*) AS n FROM contigs GROUP BY 1), c AS (SELECT value, sum(n) OVER (ORDER BY value) AS c, sum(n) OVER () AS t FROM h) SELECT min(value) AS value FROM c WHERE c > floor(t * 0.9)")
+    add("f15_trim", lambda s, d: stats.trim(clen(s, d), 0.1), f"WITH {CONTIGS}, r AS (SELECT len, row_number() OVER (ORDER BY len) AS i, count(*) OVER () AS t FROM contigs) SELECT len AS value, count(*) AS n FROM r WHERE i > floor(t * 0.1 / 2 + 0.5) AND i <= t - floor(t * 0.1 / 2 + 0.5) GROUP BY 1")
+    add("f15_up_mean", lambda s, d: stats.up_mean(clen(s, d)).select(F.round("value", 6).alias("value")), f"WITH {CONTIGS}, t AS (SELECT sum(len) // count(*) AS m FROM contigs) SELECT round(avg(len), 6) AS value FROM contigs, t WHERE len >= m")
+
+    # explode, filter, count
+    add("p01_kmers", lambda s, d: kmers.enumerate_kmers(doc(s, d), K + 1, "seq", "read_id").groupBy("pos").agg(F.count("*").alias("n"), F.count_distinct("kmer").alias("n_distinct")), f"{D}, {occ_sql(K + 1)} SELECT CAST(pos AS INTEGER) AS pos, count(*) AS n, count(DISTINCT m) AS n_distinct FROM occ GROUP BY 1")
+    add("p02_neighbours", lambda s, d: kmers.with_neighbours(doc(s, d), K + 1).groupBy("strand", F.coalesce("prev", F.lit("$")).alias("prev"), F.coalesce("next", F.lit("$")).alias("next")).agg(F.count("*").alias("n")), f"{D}, {occ_sql(K + 1)}, {SIDES} SELECT strand, coalesce(prev, '$') AS prev, coalesce(nxt, '$') AS next, count(*) AS n FROM nb GROUP BY ALL")
+    add("p03_flanked_counts", lambda s, d: graph.flanked_counts(conv(s, d), K).where("mult >= 4").select("edge", F.coalesce("prev", F.lit("$")).alias("prev"), F.coalesce("next", F.lit("$")).alias("next"), "mult"), f"{C}, {occ_sql(K + 1)}, {SIDES} SELECT edge, coalesce(prev, '$') AS prev, coalesce(nxt, '$') AS next, count(*) AS mult FROM nb GROUP BY ALL HAVING count(*) >= 4")
+    add("p04_directed_edges", lambda s, d: dbg(s, d).select("src", "dst", "edge", "edge_rc", "mult"), f"{G} SELECT src, dst, edge, edge_rc, mult FROM dbg")
+    add("p05_length_filter", lambda s, d: report.filter_by_length(contig_table(s, d), 1000)[0].select("contig_id", "len"), f"WITH {CONTIGS} SELECT contig_id, len FROM contigs WHERE len >= 1000")
+    add("p06_solid_edges", lambda s, d: kmers.solid_edges(doc(s, d), K, 3), f"{D}, {occ_sql(K + 1)}, {edges_sql(3)} SELECT edge, mult FROM edges")
+    add("p07_auto_k", lambda s, d: auto_k(s, doc(s, d)), f"{D} SELECT k FROM (VALUES (21), (29), (39), (59), (79), (99), (119), (141)) t(k) WHERE k < (SELECT max(length(seq)) FROM reads) + 20")
+    add("a01_edge_counts", lambda s, d: kmers.count_edges(doc(s, d), K).groupBy(F.expr("left(edge, 4)").alias("prefix")).agg(F.count("*").alias("n"), F.sum("mult").alias("total")), f"{D}, {occ_sql(K + 1)}, {edges_sql(1)} SELECT left(edge, 4) AS prefix, count(*) AS n, CAST(sum(mult) AS BIGINT) AS total FROM edges GROUP BY 1")
+    add("a03_max_of_sources", lambda s, d: graph.merge_sources([solid(s, d).select(F.col("edge").alias("seq"), "mult"), conv(s, d).where("len >= 60").select("seq", F.lit(3).alias("mult"))], K), f"{G}, src AS (SELECT edge, mult FROM edges UNION ALL SELECT least(m, {rc('m')}), 3 FROM occ JOIN reads USING (read_id) WHERE length(seq) >= 60) SELECT edge, max(mult) AS mult FROM src GROUP BY 1")
+    add("a05_edge_sides", lambda s, d: kmers.edge_sides(doc(s, d), K, M).groupBy("has_in", "has_out").agg(F.count("*").alias("n"), F.sum("mult").alias("total")), f"{D}, {occ_sql(K + 1)}, {SIDES} SELECT has_in, has_out, count(*) AS n, CAST(sum(least(n, 65535)) AS BIGINT) AS total FROM sides GROUP BY 1, 2")
+    add("a06_read_tips", lambda s, d: kmers.read_tips(conv(s, d), K, M), f"{C}, {occ_sql(K + 1)}, {SIDES}, {TIPS} SELECT read_id, CAST(first_0_out AS INTEGER) AS first_0_out, CAST(last_0_in AS INTEGER) AS last_0_in FROM tips")
+    add("k04_mercy_candidates", lambda s, d: kmers.mercy_candidates(conv(s, d), K, M).select("read_id"), f"{C}, {occ_sql(K + 1)}, {SIDES}, {TIPS} SELECT read_id FROM tips WHERE last_0_in > first_0_out")
+    add("a07_multiplicity_histogram", lambda s, d: kmers.multiplicity_histogram(kmers.count_edges(doc(s, d), K)), f"{D}, {occ_sql(K + 1)}, {edges_sql(1)} SELECT mult, count(*) AS n FROM edges GROUP BY 1")
+    add("a09_n50", lambda s, d: report.n50(contig_table(s, d)), f"WITH {CONTIGS}, c AS (SELECT len, sum(len) OVER (ORDER BY len DESC, contig_id) AS c, sum(len) OVER () AS t FROM contigs) SELECT max(len) AS n50 FROM c WHERE c >= t * 0.5")
+    add("a10_filter_by_length", lambda s, d: report.filter_by_length(contig_table(s, d), 500)[1], f"WITH {CONTIGS}, k AS (SELECT * FROM contigs WHERE len >= 500), c AS (SELECT len, sum(len) OVER (ORDER BY len DESC, contig_id) AS c, sum(len) OVER () AS t FROM k) SELECT count(*) AS n_contigs, CAST(sum(len) AS BIGINT) AS total, min(len) AS least, max(len) AS greatest, CAST(sum(len) // count(*) AS BIGINT) AS avg, (SELECT max(len) FROM c WHERE c >= t * 0.5) AS n50 FROM k")
+    add("a11_read_stats", lambda s, d: report.read_stats(doc(s, d)).select("n", "total", "longest", "shortest", F.round("avg", 6).alias("avg")), f"{D} SELECT count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS total, max(length(seq)) AS longest, min(length(seq)) AS shortest, round(avg(length(seq)), 6) AS avg FROM reads")
+    add("a12_min_depth", lambda s, d: s.createDataFrame([(stats.infer_min_depth(stats.histogram(dbg(s, d), "mult")),)], "min_depth double"))
+    add("a14_symbol_counts", lambda s, d: graph.symbol_counts(dbg(s, d)), f"{G}, srcs AS (SELECT DISTINCT src FROM dbg) SELECT right(edge, 1) AS symbol, count(*) AS n, count(*) FILTER (srcs.src IS NULL) AS n_dead_ends FROM dbg LEFT JOIN srcs ON dbg.dst = srcs.src GROUP BY 1")
+
+    # joins
+    flags_sql = f"{G}, {occ_sql(K, 'nodes', K + 2)}, fl AS (SELECT read_id, pos, m AS kmer, m IN (SELECT dst FROM dbg) AS has_in, m IN (SELECT src FROM dbg) AS has_out FROM nodes)"
+    flags = lambda s, d: mercy.node_flags(conv(s, d), kmers.solid_edges(conv(s, d), K, 3), K)
+    FL = flags_sql.replace(edges_sql(M), edges_sql(3))
+    add("j01_mercy_lookup", lambda s, d: flags(s, d).groupBy("pos").agg(F.count_if("has_in").alias("n_in"), F.count_if("has_out").alias("n_out"), F.count("*").alias("n")), f"{FL} SELECT CAST(pos AS INTEGER) AS pos, count(*) FILTER (has_in) AS n_in, count(*) FILTER (has_out) AS n_out, count(*) AS n FROM fl GROUP BY 1")
+    STEP = 8
+    seeds_c = lambda s, d: conv(s, d).where("mate = 0").select(F.col("read_id").alias("contig_id"), "seq", ((F.col("read_id") % 5) + 1).cast("double").alias("multi"))
+    both = f"both_ AS (SELECT s, multi FROM (SELECT seq AS s, CAST(read_id % 5 + 1 AS DOUBLE) AS multi FROM reads WHERE mate = 0 AND length(seq) >= {K + 1} UNION ALL SELECT {rc('seq')}, CAST(read_id % 5 + 1 AS DOUBLE) FROM reads WHERE mate = 0 AND length(seq) > {K + 1}))"
+    fl_sql = f"{both}, f0 AS (SELECT left(s, {K + 1}) AS kmer, substring(s, {K + 2}, {STEP - 1}) AS ext, multi AS mul FROM both_), fr AS (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY length(ext) DESC, reverse(ext) DESC, mul DESC) AS r FROM f0 WHERE kmer != {rc('kmer')}), flank AS (SELECT kmer, ext, mul FROM fr WHERE r = 1)"
+    add("i01_flanks", lambda s, d: iterate.flanks(seeds_c(s, d), K, STEP), f"{C}, {fl_sql} SELECT kmer, ext, mul FROM flank")
+    hits = lambda s, d: iterate.read_hits(conv(s, d).where("mate = 1"), iterate.flanks(seeds_c(s, d), K, STEP), K, STEP)
+    hit_sql = f"{C}, {fl_sql}, odd AS (SELECT * FROM reads WHERE mate = 1 AND length(seq) >= {K + STEP + 1}), oc AS (SELECT read_id, p - 1 AS pos, substring(seq, p, {K + 1}) AS m FROM (SELECT read_id, seq, unnest(range(1, length(seq) - {K} + 1)) AS p FROM odd)), hits AS (SELECT read_id, pos, 0 AS way, ext, mul FROM oc JOIN flank ON m = kmer UNION ALL SELECT read_id, pos, 1, ext, mul FROM oc JOIN flank ON {rc('m')} = kmer)"
+    add("j02_flank_probe", lambda s, d: hits(s, d).select("read_id", "pos", "way", "ext", "mul"), f"{hit_sql} SELECT read_id, CAST(pos AS INTEGER) AS pos, way, ext, mul FROM hits")
+    cover_sql = (
+        f"{hit_sql}, hx AS (SELECT hits.*, odd.seq, CASE WHEN way = 0 THEN substring(seq, pos + {K + 2}, length(ext)) ELSE {rc('substring(seq, greatest(1, pos - length(ext) + 1), least(pos, length(ext)))')} END AS here FROM hits JOIN odd USING (read_id)), "
+        "hr AS (SELECT *, coalesce(list_max(list_filter(range(0, least(length(ext), length(here)) + 1), lambda i: left(here, i) = left(ext, i))), 0) AS reach FROM hx), "
+        "cov AS (SELECT read_id, p AS pos, avg(mul) AS mul FROM (SELECT read_id, mul, unnest(CASE WHEN way = 0 THEN range(pos, pos + reach + 1) ELSE range(pos - reach, pos + 1) END) AS p FROM hr) GROUP BY 1, 2)"
+    )
+    cover = lambda s, d: iterate.covered(conv(s, d).where("mate = 1"), hits(s, d), K)
+    add("i02_covered_places", lambda s, d: cover(s, d).select("read_id", "pos", F.round("mul", 6).alias("mul")), f"{cover_sql} SELECT read_id, CAST(pos AS INTEGER) AS pos, round(mul, 6) AS mul FROM cov")
+    add("i02_exact_scan", lambda s, d: iterate.scanned(conv(s, d).where("mate = 1"), hits(s, d), K))
+    add(
+        "w04_long_edges",
+        lambda s, d: iterate.long_edges(conv(s, d).where("mate = 1"), cover(s, d), K, STEP),
+        f"{cover_sql}, wr AS (SELECT read_id, pos, min(pos) OVER w AS f, count(*) OVER w AS n, avg(mul) OVER w AS m FROM cov WINDOW w AS (PARTITION BY read_id ORDER BY pos ROWS BETWEEN {STEP} PRECEDING AND CURRENT ROW)), "
+        f"le AS (SELECT substring(seq, f + 1, {K + STEP + 1}) AS e, m FROM wr JOIN odd USING (read_id) WHERE n = {STEP + 1} AND pos - f = {STEP}) SELECT least(e, {rc('e')}) AS edge, max(CAST(least(65535, floor(round(m, 6) + 0.5)) AS INTEGER)) AS mult FROM le GROUP BY 1",
+    )
+    add("j03_unique_seeds", lambda s, d: mapping.seeds(contig_table(s, d).where("flag != 2")).select("kmer", "contig_id", "offset", "cstrand"), f"WITH {CONTIGS}, sd AS (SELECT contig_id, p AS off, substring(seq, p + 1, 31) AS m FROM (SELECT contig_id, seq, unnest(range(0, len - 31 + 1, 8)) AS p FROM contigs WHERE len >= 200 AND flag != 2)) SELECT least(m, {rc('m')}) AS kmer, min(contig_id) AS contig_id, CAST(min(off) AS INTEGER) AS \"offset\", min(CASE WHEN m > {rc('m')} THEN 1 ELSE 0 END) AS cstrand FROM sd GROUP BY 1 HAVING count(*) = 1")
+    add("j04_adjacency", lambda s, d: graph.adjacency(dbg(s, d)), f"{G} SELECT a.edge, b.edge AS next_edge FROM dbg a JOIN dbg b ON a.dst = b.src")
+    add("j05_rc_lookup", lambda s, d: dbg(s, d).alias("a").join(dbg(s, d).alias("b"), F.expr("a.edge_rc = b.edge")).select(F.col("a.edge").alias("edge"), F.col("b.edge").alias("twin"), F.col("b.mult").alias("mult")), f"{G} SELECT a.edge, b.edge AS twin, b.mult FROM dbg a JOIN dbg b ON a.edge_rc = b.edge")
+    add("j06_unitig_adjacency", lambda s, d: unitigs.adjacency(piece_unitigs(s, d), UK).select("uid", "strand", "next_uid", "next_strand"), f"WITH {UNITIGS} SELECT uid, strand, next_uid, next_strand FROM adj")
+    add("j07_contig_links", lambda s, d: report.contig_links(piece_unitigs(s, d).select(F.col("uid").alias("contig_id"), "seq"), UK), f"WITH {UNITIGS.replace(' WHERE NOT pal', '')} SELECT uid AS contig, strand, next_uid AS next_contig, next_strand FROM adj WHERE length(uid) > 0")
+    add("j10_anti_join", lambda s, d: solid(s, d).join(kmers.solid_edges(conv(s, d), K, 4).select("edge"), "edge", "left_anti"), f"{G} SELECT edge, mult FROM edges WHERE mult < 4")
+
+    # graph and windows
+    add("g03_degrees", lambda s, d: graph.degrees(dbg(s, d)), f"{G}, x AS (SELECT src AS node, 0 AS i, 1 AS o FROM dbg UNION ALL SELECT dst, 1, 0 FROM dbg) SELECT node, CAST(sum(i) AS INTEGER) AS indeg, CAST(sum(o) AS INTEGER) AS outdeg FROM x GROUP BY 1")
+    add("g04_simple_links", lambda s, d: graph.simple_links(dbg(s, d)), f"{G}, i AS (SELECT dst AS node FROM dbg GROUP BY 1 HAVING count(*) = 1), o AS (SELECT src AS node FROM dbg GROUP BY 1 HAVING count(*) = 1) SELECT a.edge AS a, b.edge AS b FROM dbg a JOIN i ON a.dst = i.node JOIN o ON a.dst = o.node JOIN dbg b ON b.src = a.dst")
+    GAP = "st AS (SELECT read_id, pos, CAST(has_in AS INTEGER) + 2 * CAST(has_out AS INTEGER) AS s FROM fl), pv AS (SELECT read_id, pos, s, lag(s) OVER w AS ps, lag(pos) OVER w AS pp FROM st WHERE s > 0 WINDOW w AS (PARTITION BY read_id ORDER BY pos)), gap AS (SELECT read_id, pp AS gap_from, pos AS gap_to FROM pv WHERE s = 2 AND ps = 1)"
+    add("w01_mercy_gaps", lambda s, d: mercy.gaps(flags(s, d)), f"{FL}, {GAP} SELECT read_id, CAST(gap_from AS INTEGER) AS gap_from, CAST(gap_to AS INTEGER) AS gap_to FROM gap")
+    add("w02_node_flags", lambda s, d: flags(s, d).groupBy("read_id").agg(F.count_if("has_in").alias("n_in"), F.count_if("has_out").alias("n_out")), f"{FL} SELECT read_id, count(*) FILTER (has_in) AS n_in, count(*) FILTER (has_out) AS n_out FROM fl GROUP BY 1")
+    add("w03_one_pass_mercy", lambda s, d: mercy.one_pass_mercy(conv(s, d), K, M), f"{C}, {occ_sql(K + 1)}, {SIDES}, en AS (SELECT nb.read_id, nb.pos, CASE WHEN strand = 0 THEN NOT has_in ELSE NOT has_out END AS ni, CASE WHEN strand = 0 THEN NOT has_out ELSE NOT has_in END AS nu FROM nb JOIN sides USING (edge)), nd AS (SELECT read_id, pos, max(ni) AS ni, max(nu) AS nu FROM (SELECT read_id, pos, ni, false AS nu FROM en UNION ALL SELECT read_id, pos + 1, false, nu FROM en) GROUP BY 1, 2), pw AS (SELECT *, lag(pos) OVER w AS pp, lag(nu) OVER w AS pu FROM nd WINDOW w AS (PARTITION BY read_id ORDER BY pos)), fi AS (SELECT read_id, unnest(range(pp, pos)) AS pos FROM pw WHERE ni AND pu) SELECT read_id, CAST(pos AS INTEGER) AS pos FROM fi WHERE NOT EXISTS (SELECT 1 FROM en WHERE en.read_id = fi.read_id AND en.pos = fi.pos)")
+    add("w09_cumulative", lambda s, d: stats.histogram(contig_table(s, d), "len").withColumn("c", F.sum("n").over(stats._up())), f"WITH {CONTIGS}, h AS (SELECT len AS value, count(*) AS n FROM contigs GROUP BY 1) SELECT value, n, CAST(sum(n) OVER (ORDER BY value) AS BIGINT) AS c FROM h")
+    bench_u = lambda s, d: unitigs.build(graph.directed(kmers.solid_edges(reads(s, d, "benchmark", 25), K, M)), K)
+    add("g06_unitigs", lambda s, d: bench_u(s, d).select("uid", "seq", "length", "total_depth", "is_loop", "is_palindrome"))
+    add("g09_refresh", lambda s, d: unitigs.refresh(piece_unitigs(s, d), UK).select("uid", "seq", "length", "total_depth", "is_loop"))
+    add("a08_contig_stats", lambda s, d: report.contig_stats(unitigs.degrees(piece_unitigs(s, d), UK), UK), f"WITH {UNITIGS}, l AS (SELECT length + {UK} AS len, uid, indeg + outdeg = 0 AS alone FROM deg), c AS (SELECT len, sum(len) OVER (ORDER BY len DESC, uid) AS c, sum(len) OVER () AS t FROM l) SELECT max(len) AS greatest, min(len) AS least, CAST(sum(len) AS BIGINT) AS total, count(*) AS n_contigs, CAST(0 AS BIGINT) AS n_looped, count(*) FILTER (alone) AS n_isolated, (SELECT max(len) FROM c WHERE c >= t * 0.5) AS n50 FROM l")
+
+    # cleaning rules on a snapshot
+    add("c01_edge_tips", lambda s, d: cleaning.edge_tips(piece_unitigs(s, d), UK, 64), f"WITH {UNITIGS} SELECT uid FROM deg WHERE length < 64 AND ((outdeg = 0 AND indeg <= 1) OR (indeg = 0 AND outdeg <= 1))")
+    add("c02_unitig_tips", lambda s, d: cleaning.unitig_tips(piece_unitigs(s, d), UK, 90), f"WITH {UNITIGS}, nr AS (SELECT uid, max(next_depth) AS near FROM adj GROUP BY 1) SELECT uid FROM deg LEFT JOIN nr USING (uid) WHERE length < 90 AND (indeg + outdeg = 0 OR (indeg + outdeg = 1 AND near > 8 * (total_depth / length)))")
+    add("c06_weak_links", lambda s, d: cleaning.weak_links(piece_unitigs(s, d), UK, 0.3), f"WITH {UNITIGS}, x AS (SELECT adj.*, count(*) OVER w AS n, sum(next_depth) OVER w AS t FROM adj JOIN u USING (uid) WHERE NOT u.pal WINDOW w AS (PARTITION BY uid, strand)) SELECT DISTINCT next_uid AS uid, next_strand AS strand FROM x WHERE n > 1 AND next_depth <= 0.3 * t")
+    add("c07_low_depth", lambda s, d: cleaning.low_depth(piece_unitigs(s, d), 2.0), f"WITH {UNITIGS} SELECT uid FROM u WHERE total_depth / length < 2.0")
+    add("c08_local_low_depth", lambda s, d: cleaning.local_low_depth(piece_unitigs(s, d), UK, 5.0, 90, 50, 0.5).where("removed").select("uid"), f"WITH {UNITIGS}, ld AS (SELECT uid, sum(next_depth * least(next_length, 50)) / sum(least(next_length, 50)) AS mean FROM adj GROUP BY 1) SELECT uid FROM deg JOIN ld USING (uid) WHERE length <= 90 AND indeg + outdeg > 0 AND ((indeg <= 1 AND outdeg <= 1) OR indeg = 0 OR outdeg = 0) AND total_depth / length < least(5.0, mean * 0.5)")
+    add("c03_bubbles", lambda s, d: cleaning.bubbles(piece_unitigs(s, d), UK, 100).select("left", "right", "uid", "best_uid"))
+    add("c11_contigs", lambda s, d: cleaning.contigs(piece_unitigs(s, d), UK)[0].select("contig_id", "flag", "len", F.round("multi", 6).alias("multi")), f"WITH {UNITIGS} SELECT uid AS contig_id, CASE WHEN indeg + outdeg = 0 THEN 1 ELSE 0 END AS flag, CASE WHEN pal AND indeg + outdeg = 0 THEN (length - 1) // 2 + {UK + 1} ELSE length + {UK} END AS len, round(least(65535, total_depth / length), 6) AS multi FROM deg")
+    add("c10_assemble", lambda s, d: cleaning.assemble(graph.directed(kmers.solid_edges(reads(s, d, "benchmark", 25), K, M)), K)["contigs"])
+
+    # mapping
+    add("l02_map_reads", lambda s, d: mapping.map_reads(conv(s, d), contig_from_conv(s, d)).drop("rlen", "clen"))
+    add("l03_insert_sizes", lambda s, d: mapping.insert_sizes(mapping.map_reads(conv(s, d), contig_from_conv(s, d)), conv(s, d), one_lib(s)))
+    hx = lambda s, d: conv(s, d).select(F.expr("cast(read_id div 1000000 as string)").alias("contig_id"), F.col("mate").alias("end"), (F.col("len") % 3).cast("int").alias("offset"), F.lit(0).alias("is_mate"), (F.col("read_id") % 2).cast("int").alias("mismatch"), F.lit(0).alias("strand"), "read_id")
+    add("w08_three_per_place", lambda s, d: mapping.chosen_hits(hx(s, d), 99, 100).select("contig_id", "end", "offset", "read_id"), f"{C}, h AS (SELECT CAST(read_id // 1000000 AS VARCHAR) AS contig_id, mate AS \"end\", CAST(length(seq) % 3 AS INTEGER) AS \"offset\", read_id % 2 AS mm, read_id FROM reads), g AS (SELECT *, count(*) OVER (PARTITION BY contig_id, \"end\") AS n, row_number() OVER (PARTITION BY contig_id, \"end\", \"offset\" ORDER BY mm, read_id) AS r FROM h) SELECT contig_id, \"end\", \"offset\", read_id FROM g WHERE n > 0 AND r <= 3")
+    add("l08_local_assembly", lambda s, d: local.local_assembly(conv(s, d), one_lib(s), contig_from_conv(s, d).withColumn("flag", F.lit(0)), min_len=100))
+    add("r04_fastg", lambda s, d: report.fastg(piece_unitigs(s, d).select(F.col("uid").alias("contig_id"), "seq", unitigs.depth().alias("multi")), UK))
+    add("assembly", lambda s, d: plan.assembly(reads(s, d, "benchmark", 25), one_lib(s), Options(k_list=(21, 29), local=False)))
+
+
+def report_libs(r: DataFrame) -> DataFrame:
+    from ..sources.fastx import library_metadata
+
+    return library_metadata(r.withColumn("lib_id", (F.expr("read_id div 1000000") % 4).cast("int")))
+
+
+def auto_k(spark: SparkSession, r: DataFrame) -> DataFrame:
+    longest = r.agg(F.max("len")).first()[0] or 0
+    return spark.createDataFrame([(k,) for k in Options().for_reads(longest).k_list], "k int")
+
+
+def contig_from_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of 250 bases or more as a contig without its outer 20 bases."""
+    d = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.expr(IDS["conversations"]).cast("string").alias("contig_id"), tables.text_to_dna("text").alias("dna"))
+    return d.where("length(dna) >= 250").select("contig_id", F.expr("substring(dna, 21, length(dna) - 40)").alias("seq"))
+
+
+def one_lib(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, 0, 1 << 60, tables.READ, True, "interleaved")], "lib_id int, begin_id long, end_id long, max_read_len int, is_paired boolean, description string")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    if not _spark:
+        register()
+    return dict(_spark)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    if not _spark:
+        register()
+    return dict(_sql)

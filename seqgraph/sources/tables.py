@@ -16,12 +16,12 @@ def text_to_dna(text: Column | str) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), LETTERS, BASES), "[^ACGT]", "")
 
 
-def reads_from_table(spark: SparkSession, sf_dir: str, table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Reads of READ bases every STEP bases over the whole of every text; the last one may be shorter."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(id_col).alias("id"), text_to_dna(text_col).alias("dna")).where("length(dna) > 0")
-    n = F.greatest(F.lit(1), F.expr(f"(length(dna) - 1) div {STEP}").cast("int"))
+def reads_from_table(spark: SparkSession, sf_dir: str, table: str = "documents", id_col: str = "doc_id", text_col: str = "text", step: int = STEP) -> DataFrame:
+    """Reads of READ bases every `step` bases over the whole of every text; the last one may be shorter. id_col: SQL for a long id."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.expr(id_col).cast("long").alias("id"), text_to_dna(text_col).alias("dna")).where("length(dna) > 0")
+    n = F.greatest(F.lit(1), F.expr(f"(length(dna) - ({READ} - {step}) + {step} - 1) div {step}").cast("int"))
     df = df.select("id", "dna", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    seq = F.substring("dna", F.col("i") * STEP + 1, F.lit(READ))
+    seq = F.substring("dna", F.col("i") * step + 1, F.lit(READ))
     return df.select((F.col("id") * 1_000_000 + F.col("i")).alias("read_id"), F.lit(0).alias("lib_id"), (F.col("i") % 2).cast("int").alias("mate"), seq.alias("seq"), F.length(seq).alias("len"))
 
 
