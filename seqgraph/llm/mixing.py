@@ -76,14 +76,12 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, peri
     A document's rank in its source is its rank in a bucket of hashes plus the documents in lower buckets; buckets are
     so many that the largest source has a few thousand documents in each, so no task holds a source.
     """
-    names = {"_h": "_mix_h", "_b": "_mix_b"}
-    h, b = names["_h"], names["_b"]
-    counts = {r.s: r.n for r in docs.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
+    own = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_place")]
+    counts = {r.s: r.n for r in docs.groupBy(F.col("source").cast("string").alias("s")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    out_cols = [*docs.columns, "mix_block", "mix_slot", "mix_place"]
     if not counts:
-        return docs.withColumns({c: F.lit(None).cast("long") for c in out_cols[-3:]}).select(out_cols)
+        return docs.select(*own, *[F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_place")])
     given = weights or tempered(counts)
     rest = min(given.values())
     slots = whole_slots({s: given.get(s, rest) for s in counts}, period)
@@ -91,25 +89,24 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, peri
     seen: dict = dict.fromkeys(slots, 0)
     rows = []
     for t, s in enumerate(plan):
-        rows.append((s, seen[s], t, slots[s]))
+        rows.append((s, seen[s], t))
         seen[s] += 1
     spark = docs.sparkSession
-    table = spark.createDataFrame(rows, "mix_s string, mix_j long, mix_t long, mix_n long")  # a row for each slot of a period
     buckets = 1 << max(0, (max(counts.values()) // 4096).bit_length())
 
-    keyed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))).withColumn(b, F.pmod(F.shiftrightunsigned(h, 20), F.lit(buckets)))
-    sizes = keyed.groupBy(F.col("source").alias("mix_s"), F.col(b).alias("mix_b")).agg(F.count("*").alias("mix_c"))
-    below = sizes.withColumn("mix_below", F.sum("mix_c").over(W.partitionBy("mix_s").orderBy("mix_b").rowsBetween(W.unboundedPreceding, -1))).select("mix_s", "mix_b", F.coalesce("mix_below", F.lit(0)).alias("mix_below"))
-    ranked = keyed.withColumn("mix_r", F.row_number().over(W.partitionBy("source", b).orderBy(h, "doc_id")) - 1)
-    ranked = ranked.join(below, ranked["source"].eqNullSafe(below["mix_s"]) & (ranked[b] == below["mix_b"])).withColumn("mix_r", F.col("mix_r") + F.col("mix_below")).drop("mix_s", "mix_b", "mix_below")
-    blocks = ranked.withColumn("mix_block", F.floor(F.col("mix_r") / block).cast("long") + 1).withColumn("mix_place", F.pmod("mix_r", F.lit(block)).cast("long"))
-    per_source = spark.createDataFrame(list(slots.items()), "mix_s string, mix_n long")
-    blocks = blocks.join(F.broadcast(per_source), blocks["source"].eqNullSafe(per_source["mix_s"])).drop("mix_s")  # MAX_SOURCES rows at most
-    blocks = blocks.withColumn("mix_k", F.pmod(F.col("mix_block") - 1, "mix_n"))
-    slot = F.broadcast(table.drop("mix_n"))  # 4 x MAX_SOURCES rows at most
-    done = blocks.join(slot, blocks["source"].eqNullSafe(slot["mix_s"]) & (blocks["mix_k"] == slot["mix_j"]))
-    whole = F.floor((F.col("mix_block") - 1) / F.col("mix_n")).cast("long")
-    return done.withColumn("mix_slot", whole * len(plan) + F.col("mix_t")).select(out_cols)
+    # The document is one column meanwhile, so its columns may have any names.
+    keyed = docs.select(F.struct(*own).alias("doc"), F.col("source").cast("string").alias("s"), F.col("doc_id").cast("long").alias("i"), F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).alias("h"))
+    keyed = keyed.withColumn("b", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
+    sizes = keyed.groupBy(F.col("s").alias("s2"), F.col("b").alias("b2")).agg(F.count("*").alias("c"))
+    before = F.sum("c").over(W.partitionBy("s2").orderBy("b2").rowsBetween(W.unboundedPreceding, -1))
+    below = sizes.select("s2", "b2", F.coalesce(before, F.lit(0)).alias("below"))
+    ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy("s", "b").orderBy("h", "i")) - 1)
+    ranked = ranked.join(below, F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2"))).withColumn("r", F.col("r") + F.col("below"))
+    per_source = spark.createDataFrame(list(slots.items()), "s3 string, n long")  # MAX_SOURCES rows at most
+    placed = ranked.join(F.broadcast(per_source), F.col("s").eqNullSafe(F.col("s3"))).withColumn("block0", F.expr(f"r div {block}"))
+    slot = F.broadcast(spark.createDataFrame(rows, "s4 string, j long, t long"))  # a row for each slot of a period: 4 x MAX_SOURCES at most
+    done = placed.withColumn("k", F.pmod("block0", "n")).join(slot, F.col("s").eqNullSafe(F.col("s4")) & (F.col("k") == F.col("j")))
+    return done.select("doc.*", (F.col("block0") + 1).alias("mix_block"), (F.expr("block0 div n") * len(plan) + F.col("t")).alias("mix_slot"), F.pmod("r", F.lit(block)).cast("long").alias("mix_place"))
 
 
 def in_order(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
