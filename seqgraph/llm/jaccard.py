@@ -296,7 +296,8 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     member = member.join(total.select("label", blocks.alias("nb")), "label").withColumn("blk", F.pmod(F.hash("fp"), F.col("nb")))
     text = docs.select(F.col("doc_id").cast("long").alias("at_id"), "text")
-    rows = text.join(member.select("at_id", "th", "fp", "mult", "label", "nb", "blk"), "at_id").where(F.xxhash64("text") == F.col("th"))
+    # Members grow with the corpus, so their side is never broadcast: one plan at every size.
+    rows = text.join(member.select("at_id", "th", "fp", "mult", "label", "nb", "blk").hint("merge"), "at_id").where(F.xxhash64("text") == F.col("th"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select(F.xxhash64("label", F.least("blk", "o"), F.greatest("blk", "o")).alias("key"), "fp", "mult", "blk", (F.col("blk") != F.col("o")).alias("cross"), "text")
     # A key's two blocks carry cross for both: a row of block b meets block o's rows in the key of the pair.
