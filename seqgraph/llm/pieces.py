@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,24 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 CHUNK = 1 << 15
-MEMO = 400_000
+MEMO = 600_000
 MARK = "▁"
 #: A boundary state: characters from the cut to the edge, and the last piece before the cut.
 State = tuple[int, str]
 
 
+class Places(dict):
+    """Unit to its number; one that is missing gets the next number and joins the new ones."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, u: str) -> int:
+        self[u] = n = len(self)
+        self.new.append(u)
+        return n
+
+
 class Pieces:
     """Vocabulary of a sentencepiece BPE file: piece to (id, score)."""
 
@@ -67,16 +80,45 @@ class Pieces:
         cut = "" if any("\n" in p for p in self.id) else "\n"
         self.units = re.compile(f"{MARK}+[^{MARK}{cut}]*|[^{MARK}{cut}]+" + ("|\n" if cut else "")).findall
         self.line = cut
+        self.history: dict[str, tuple] = {}
         self.back: dict = {}
-        for p in self.id:  # pieces by their reversed characters
+        for p in self.id:  # the pieces that encode to themselves, by their reversed characters
+            if self._history(p) is None:
+                continue
             at = self.back
             for c in reversed(p):
                 at = at.setdefault(c, {})
             at[""] = p
-        self.alone: dict[str, bool] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.raw_start = np.cumsum([0, *map(len, self.raw)])
+        self.raw_flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo = Places()
+        self.first = np.empty(0, np.int64)
+        self.size = np.empty(0, np.int64)
+        self.flat = np.empty(0, np.int32)
+
+    def _history(self, p: str) -> tuple | None:
+        """Scores of a piece's merges in order, with its last and first symbol before each and at the end; None if it doesn't encode to itself."""
+        parts, score = list(p), self.score
+        scores, last, first = [], [parts[-1]], [parts[0]]
+        while len(parts) > 1:
+            best, at = -np.inf, -1
+            for i in range(len(parts) - 1):
+                v = score.get(parts[i] + parts[i + 1])
+                if v is not None and v > best:
+                    best, at = v, i
+            if at < 0:
+                return None
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            scores.append(best)
+            last.append(parts[-1])
+            first.append(parts[0])
+        got = self.history[p] = (scores, last, first)
+        return got
 
     def merged(self, s: str) -> list[str]:
         """The pieces of a short string, by merging the best pair until none is left."""
@@ -92,12 +134,6 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands(self, p: str) -> bool:
-        got = self.alone.get(p)
-        if got is None:
-            got = self.alone[p] = self.merged(p) == [p]
-        return got
-
     def fits(self, a: str, b: str) -> bool:
         """Whether a and b may be neighbours: the weight of the arc is 0, not minus infinity."""
         row = self.pairs.get(a)
@@ -108,9 +144,29 @@ class Pieces:
             if self.n_pairs > 4 * MEMO:
                 self.pairs, self.n_pairs = {a: (row := {})}, 0
             self.n_pairs += 1
-            got = row[b] = (b[0] == MARK and a[-1] != MARK) or self.merged(a + b) == [a, b]
+            got = row[b] = self._apart(a, b)
         return got
 
+    def _apart(self, a: str, b: str) -> bool:
+        """Whether merging a + b never merges over the border: both histories side by side, best score first, the left one on ties."""
+        if b[0] == MARK and a[-1] != MARK:
+            return True
+        sa, last, _ = self.history.get(a) or ([], [a], [a])  # an unknown character has no merges
+        sb, _, first = self.history.get(b) or ([], [b], [b])
+        i = j = 0
+        while True:
+            over = self.score.get(last[i] + first[j])
+            x = sa[i] if i < len(sa) else -np.inf
+            y = sb[j] if j < len(sb) else -np.inf
+            if over is not None and over > x and over >= y:
+                return False
+            if i == len(sa) and j == len(sb):
+                return over is None
+            if x >= y:
+                i += 1
+            else:
+                j += 1
+
     def ending(self, s: str, i: int, low: int) -> list[str]:
         """Pieces, or the unknown character, that end at i and begin at low or later."""
         out, at, j = [], self.back, i
@@ -123,7 +179,7 @@ class Pieces:
                 out.append(at[""])
         if s[i - 1] not in self.id:
             out.append(s[i - 1])
-        return [p for p in out if self.stands(p)]
+        return out
 
     def ids_of(self, p: str) -> list[int]:
         i = self.id.get(p)
@@ -131,43 +187,68 @@ class Pieces:
             return [i]
         return [self.bytes_id[b] for b in p.encode("utf-8", "surrogatepass")] if self.bytes_id else [self.unk]
 
-    def unit(self, s: str) -> tuple[int, ...]:
-        """Ids of a run that nothing merges out of: one best path from its left edge."""
+    def unit(self, s: str) -> list[int]:
+        """Ids of a run that nothing merges out of: one best path from its left edge, of which each place has one last piece."""
         last: list = [""] + [None] * len(s)
+        back, pairs, fits = self.back, self.pairs, self.fits
         for i in range(1, len(s) + 1):
-            for p in self.ending(s, i, 0):
-                a = last[i - len(p)]
-                if a is not None and (not a or self.fits(a, p)):
-                    last[i] = p
+            at, j = back, i
+            while j:
+                at = at.get(s[j - 1])
+                if at is None:
                     break
+                j -= 1
+                a = last[j]
+                if a is not None and "" in at:
+                    p = at[""]
+                    if not a:
+                        last[i] = p
+                        break
+                    row = pairs.get(a)
+                    ok = row.get(p) if row is not None else None
+                    if ok or (ok is None and fits(a, p)):
+                        last[i] = p
+                        break
+            if last[i] is None and last[i - 1] is not None and s[i - 1] not in self.id:
+                last[i] = s[i - 1]
         out, i = [], len(s)
         while i:
             out.append(last[i])
             i -= len(last[i])
-        return tuple(x for p in reversed(out) for x in self.ids_of(p))
+        return [x for p in reversed(out) for x in self.ids_of(p)]
 
     def escaped(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
+    def encode_many(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all escaped texts, where each one's begin and the last one's end). Units met before are looked up."""
+        if len(self.memo) > MEMO:
+            self._forget()
+        units = [self.units(s) for s in runs]
+        k = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(units)), np.int64, sum(map(len, units)))
+        if self.memo.new:
+            got = [self.unit(u) for u in self.memo.new]
+            self.memo.new = []
+            n = np.array([len(x) for x in got], np.int64)
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(n) - n])
+            self.size = np.concatenate([self.size, n])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.int32, int(n.sum()))])
+        n = self.size[k]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.first[k] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], np.cumsum([len(u) for u in units], dtype=np.int64)])]
+
     def encode_units(self, s: str) -> list[int]:
-        memo, out = self.memo, []
-        if len(memo) > MEMO:
-            memo.clear()
-        for u in self.units(s):
-            got = memo.get(u)
-            if got is None:
-                got = self.unit(u)
-                if len(u) <= 64:
-                    memo[u] = got
-            out += got
-        return out
+        return self.encode_many([s])[0].tolist()
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_units(self.escaped(text or ""))
 
     def decode(self, ids) -> str:
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        n = self.raw_start[ids + 1] - self.raw_start[ids]
+        ends = np.cumsum(n)
+        text = self.raw_flat[np.repeat(self.raw_start[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
     # Chunks: s is a chunk with up to 2 x longest characters of left context, edge the place where the chunk begins.
@@ -318,15 +399,20 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep: tuple
     kept_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     tail = "n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean"
 
-    def result(pc: Pieces, ids: list[int], text: str) -> tuple:
-        return len(ids), ids, zlib.crc32(np.array(ids, "<u4").tobytes()), pc.decode(ids) == text
+    def results(pc: Pieces, ids: np.ndarray, cuts: np.ndarray, texts: list[str]) -> dict:
+        parts = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return {
+            "n_tokens": np.diff(cuts), "ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())),
+            "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in parts], "round_trip": [pc.decode(x) == t for x, t in zip(parts, texts)],
+        }
 
     def short_setup():
         pc = pieces(path)
 
         def rows(b: pa.RecordBatch) -> dict:
-            got = [result(pc, pc.encode(t), t) for t in b.column("text").to_pylist()]
-            return {f.name: b.column(f.name) for f in kept} | {k: [x[i] for x in got] for i, k in enumerate(("n_tokens", "ids", "ids_crc32", "round_trip"))}
+            texts = b.column("text").to_pylist()
+            ids, cuts = pc.encode_many([pc.escaped(t) for t in texts])
+            return {f.name: b.column(f.name) for f in kept} | results(pc, ids, cuts, texts)
 
         return rows
 
@@ -374,8 +460,9 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep: tuple
                 ids: list[int] = []
                 for k, s, e in cut_up(pc.escaped(t), chunk, pc.longest):
                     ids += pc.backtrace(s, e, (backs[k], lasts[k]), (backs[k + 1], lasts[k + 1]))
-                got.append(result(pc, ids, t))
-            return {f.name: b.column(f.name) for f in kept} | {k: [x[i] for x in got] for i, k in enumerate(("n_tokens", "ids", "ids_crc32", "round_trip"))}
+                got.append(np.array(ids, np.int32))
+            cuts = np.cumsum([0, *map(len, got)])
+            return {f.name: b.column(f.name) for f in kept} | results(pc, np.concatenate(got), cuts, b.column("text").to_pylist())
 
         return rows
 
