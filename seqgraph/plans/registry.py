@@ -39,16 +39,13 @@ def contig_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def piece_unitigs(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
-    """Pieces of 100 bases that overlap by k, as unitigs with depths from how often they occur."""
-    d = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(tables.text_to_dna("text").alias("dna"))
+    """Pieces of 100 bases that overlap by k, as unitigs with depths from how often they occur; named by their sequence."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(tables.text_to_dna("text").alias("dna"))
     step = 100 - k
     s = d.select("dna", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(length(dna) - {k} - 1) div {step}").cast("int")))).alias("i")).select(F.substring("dna", F.col("i") * step + 1, F.lit(100)).alias("s")).where(F.length("s") > k)
-    first = lambda c: fs.colex(F.expr(f"left({c}, {k + 1})"))
-    o = s.withColumn("r", fs.rc("s")).withColumn("a", first("s")).withColumn("b", first("r"))
-    o = o.select(F.least("a", "b").alias("uid"), F.when(F.col("b") < F.col("a"), F.col("r")).otherwise(F.col("s")).alias("seq"))
-    g = o.groupBy("uid").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+    g = s.groupBy(fs.canonical("s").alias("seq")).agg(F.count("*").alias("n"))
     length = (F.length("seq") - k).cast("long")
-    return g.select("uid", "seq", length.alias("length"), (F.col("n") * length + length % 7).alias("total_depth"), F.lit(False).alias("is_loop"), (F.col("seq") == fs.rc("seq")).alias("is_palindrome"), F.lit(False).alias("is_changed"))
+    return g.select(F.col("seq").alias("uid"), "seq", length.alias("length"), (F.col("n") * length + length % 7).alias("total_depth"), F.lit(False).alias("is_loop"), (F.col("seq") == fs.rc("seq")).alias("is_palindrome"), F.lit(False).alias("is_changed"))
 
 
 # ---------------------------------------------------------------- SQL pieces
@@ -58,10 +55,6 @@ def rc(x: str) -> str:
     return f"translate(reverse({x}), 'ACGT', 'TGCA')"
 
 
-def colex(x: str) -> str:
-    return f"(reverse(left({x}, length({x}) - 1)) || right({x}, 1))"
-
-
 def dna(text: str = "text") -> str:
     return f"regexp_replace(translate(lower({text}), '{tables.LETTERS}', '{tables.BASES}'), '[^ACGT]', '', 'g')"
 
@@ -106,9 +99,8 @@ TIPS = (
 )
 UK = 15
 UNITIGS = (
-    f"udna AS (SELECT {dna()} AS dna FROM conversations), ucut AS (SELECT dna, unnest(range(0, greatest(0, (length(dna) - {UK} - 1) // {100 - UK}) + 1)) AS i FROM udna), "
-    f"up AS (SELECT substring(dna, i * {100 - UK} + 1, 100) AS s FROM ucut), uo AS (SELECT s, {rc('s')} AS r, {colex(f'left(s, {UK + 1})')} AS a, {colex(f'left({rc("s")}, {UK + 1})')} AS b FROM up WHERE length(s) > {UK}), "
-    f"ug AS (SELECT least(a, b) AS uid, min(CASE WHEN b < a THEN r ELSE s END) AS seq, count(*) AS n FROM uo GROUP BY 1), "
+    f"udna AS (SELECT {dna()} AS dna FROM documents), ucut AS (SELECT dna, unnest(range(0, greatest(0, (length(dna) - {UK} - 1) // {100 - UK}) + 1)) AS i FROM udna), "
+    f"up AS (SELECT substring(dna, i * {100 - UK} + 1, 100) AS s FROM ucut), ug AS (SELECT least(s, {rc('s')}) AS uid, least(s, {rc('s')}) AS seq, count(*) AS n FROM up WHERE length(s) > {UK} GROUP BY 1), "
     f"u AS (SELECT uid, seq, length(seq) - {UK} AS length, n * (length(seq) - {UK}) + (length(seq) - {UK}) % 7 AS total_depth, seq = {rc('seq')} AS pal FROM ug), "
     f"o AS (SELECT uid, 0 AS strand, seq AS s, length, total_depth, pal FROM u UNION ALL SELECT uid, 1, {rc('seq')}, length, total_depth, pal FROM u WHERE NOT pal), "
     f"adj AS (SELECT x.uid, x.strand, y.uid AS next_uid, y.strand AS next_strand, y.length AS next_length, y.total_depth / y.length AS next_depth FROM o x JOIN o y ON right(x.s, {UK}) = left(y.s, {UK})), "
@@ -256,7 +248,8 @@ def register() -> None:
 
     # mapping
     add("l02_map_reads", lambda s, d: mapping.map_reads(conv(s, d), contig_from_conv(s, d)).drop("rlen", "clen"))
-    add("l03_insert_sizes", lambda s, d: mapping.insert_sizes(mapping.map_reads(conv(s, d), contig_from_conv(s, d)), conv(s, d), one_lib(s)))
+    facing = lambda s, d: conv(s, d).withColumn("seq", F.when(F.col("mate") == 1, fs.rc("seq")).otherwise(F.col("seq")))
+    add("l03_insert_sizes", lambda s, d: mapping.insert_sizes(mapping.map_reads(facing(s, d), contig_from_conv(s, d)), facing(s, d), one_lib(s)).groupBy("insert").agg(F.count("*").alias("n")))
     hx = lambda s, d: conv(s, d).select(F.expr("cast(read_id div 1000000 as string)").alias("contig_id"), F.col("mate").alias("end"), (F.col("len") % 3).cast("int").alias("offset"), F.lit(0).alias("is_mate"), (F.col("read_id") % 2).cast("int").alias("mismatch"), F.lit(0).alias("strand"), "read_id")
     add("w08_three_per_place", lambda s, d: mapping.chosen_hits(hx(s, d), 99, 100).select("contig_id", "end", "offset", "read_id"), f"{C}, h AS (SELECT CAST(read_id // 1000000 AS VARCHAR) AS contig_id, mate AS \"end\", CAST(length(seq) % 3 AS INTEGER) AS \"offset\", read_id % 2 AS mm, read_id FROM reads), g AS (SELECT *, count(*) OVER (PARTITION BY contig_id, \"end\") AS n, row_number() OVER (PARTITION BY contig_id, \"end\", \"offset\" ORDER BY mm, read_id) AS r FROM h) SELECT contig_id, \"end\", \"offset\", read_id FROM g WHERE n > 0 AND r <= 3")
     add("l08_local_assembly", lambda s, d: local.local_assembly(conv(s, d), one_lib(s), contig_from_conv(s, d).withColumn("flag", F.lit(0)), min_len=100))
