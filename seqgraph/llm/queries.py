@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard, langid, mixing, pieces, quality, secrets, tokencount, tokenfile, toxicity
+from . import fingerprint, jaccard, langid, mixing, oracle, pieces, quality, secrets, tokencount, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality": oracle.QUALITY}

@@ -52,9 +52,12 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.theta - self.eta(text), -60, 60)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 2e-5, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds by Adam on the proportional-odds likelihood; thresholds are a start plus positive gaps."""
-    n, d = x.shape
+def fit_ordinal(row: np.ndarray, col: np.ndarray, d: int, y: np.ndarray, grades: int, l2: float = 2e-5, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of d sparse features and ascending thresholds by Adam on the proportional-odds likelihood.
+
+    Row row[i] has feature col[i]; thresholds are a start plus positive gaps.
+    """
+    n = len(y)
     p = np.zeros(d + grades - 1)
     share = np.array([max(1e-3, min(1 - 1e-3, (y >= k).mean())) for k in range(1, grades)])
     start = np.log((1 - share) / share)
@@ -64,7 +67,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 2e-5, ste
     for t in range(1, steps + 1):
         gaps = np.exp(p[d + 1 :])
         theta = p[d] + np.concatenate([[0.0], np.cumsum(gaps)])
-        eta = x @ p[:d]
+        eta = np.bincount(row, p[col], n)
         s = 1 / (1 + np.exp(np.clip(theta[None, :] - eta[:, None], -60, 60)))  # P(y >= k)
         upper = np.concatenate([np.ones((n, 1)), s], axis=1)
         lower = np.concatenate([s, np.zeros((n, 1))], axis=1)
@@ -74,7 +77,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 2e-5, ste
         dup = np.concatenate([np.zeros((n, 1)), ds], axis=1)[i, y] / pr
         dlo = np.concatenate([ds, np.zeros((n, 1))], axis=1)[i, y] / pr
         grad = np.zeros_like(p)
-        grad[:d] = -(x.T @ (dup - dlo)) / n + l2 * p[:d]
+        grad[:d] = -np.bincount(col, (dup - dlo)[row], d) / n + l2 * p[:d]
         dtheta = np.zeros(grades - 1)
         for k in range(1, grades):
             dtheta[k - 1] = (dup[y == k].sum() - dlo[y == k - 1].sum()) / n
@@ -86,17 +89,19 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 2e-5, ste
     return p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
 
 
-def fit_model(x: np.ndarray, grade: np.ndarray, chosen: list[str], strong: np.ndarray) -> OrdinalModel:
+def fit_model(bags: list[list[int]], grade: np.ndarray, chosen: list[str], strong: np.ndarray) -> OrdinalModel:
     """Fits weights for the chosen features. Binary labels are first graded 1 to 3 by terciles of a toxic document's strong features."""
     y = np.asarray(grade)
     if not len(y) or y.min() == y.max() or not chosen:
         return OrdinalModel()
+    row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    col = np.array([f for b in bags for f in b], np.int64)
     if y.max() == 1:
-        hits = x[:, strong].sum(axis=1)
+        hits = np.bincount(row, strong[col], len(y))
         cut = np.quantile(hits[y == 1], [1 / 3, 2 / 3], method="higher")
         y = np.where(y == 0, 0, 1 + (hits > cut[0]).astype(int) + (hits > cut[1]).astype(int))
         y = np.searchsorted(np.unique(y), y)
-    w, theta = fit_ordinal(x, y, int(y.max()) + 1)
+    w, theta = fit_ordinal(row, col, len(chosen), y, int(y.max()) + 1)
     return OrdinalModel({f: float(w[i]) for i, f in enumerate(chosen)}, theta)
 
 
@@ -137,10 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalMode
         return {"i": b.column("i"), "g": b.column("g"), "f": [sorted(place[f] for f in features(t) if f in place) for t in b.column("text").to_pylist()]}
 
     got = sorted(map_batches(sample, bags, "i long, g int, f array<int>").collect(), key=lambda r: r.i)
-    x = np.zeros((len(got), len(chosen)), np.float32)
-    for k, r in enumerate(got):
-        x[k, r.f] = 1
-    return fit_model(x, np.array([r.g for r in got]), chosen, strong)
+    return fit_model([r.f for r in got], np.array([r.g for r in got]), chosen, strong)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
