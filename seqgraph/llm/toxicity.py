@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import map_batches, minhash, shingles, universal, written
 
 #: Bound on labelled documents that the fit reads, for each of the two strata (grade 0, grade above 0).
 FIT_ROWS = 3000
@@ -28,6 +28,10 @@ FIT_ROWS = 3000
 FIT_FEATURES = 2000
 #: Lengths of word starts that are features: inflected and compound forms share them.
 STARTS = (4, 5)
+#: A feature is kept if its share among toxic documents is so many standard errors above that among clean ones.
+FIT_Z = 4.0
+#: ... and if it's so many times as frequent among them: a word that only long documents have is not a sign.
+FIT_RATIO = 6.0
 _WORD = re.compile(r"\w+")
 
 
@@ -52,10 +56,10 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.theta - self.eta(text), -60, 60)))
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, d: int, y: np.ndarray, grades: int, l2: float = 2e-5, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(row: np.ndarray, col: np.ndarray, d: int, y: np.ndarray, grades: int, signs: bool = False, l2: float = 2e-5, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights of d sparse features and ascending thresholds by Adam on the proportional-odds likelihood.
 
-    Row row[i] has feature col[i]; thresholds are a start plus positive gaps.
+    Row row[i] has feature col[i]; thresholds are a start plus positive gaps. signs: no weight below 0.
     """
     n = len(y)
     p = np.zeros(d + grades - 1)
@@ -86,6 +90,8 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, d: int, y: np.ndarray, grades:
             grad[d + k] = dtheta[k:].sum() * gaps[k - 1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        if signs:
+            np.maximum(p[:d], 0, out=p[:d])
     return p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
 
 
@@ -101,7 +107,7 @@ def fit_model(bags: list[list[int]], grade: np.ndarray, chosen: list[str], stron
         cut = np.quantile(hits[y == 1], [1 / 3, 2 / 3], method="higher")
         y = np.where(y == 0, 0, 1 + (hits > cut[0]).astype(int) + (hits > cut[1]).astype(int))
         y = np.searchsorted(np.unique(y), y)
-    w, theta = fit_ordinal(row, col, len(chosen), y, int(y.max()) + 1)
+    w, theta = fit_ordinal(row, col, len(chosen), y, int(y.max()) + 1, signs=True)
     return OrdinalModel({f: float(w[i]) for i, f in enumerate(chosen)}, theta)
 
 
@@ -118,6 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalMode
     spark = docs.sparkSession
     small = F.broadcast(spark.createDataFrame([(r.i, max(0, r.g)) for r in ids], "i long, g int"))  # 2 x rows at most
     sample = written(docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(small, "i").dropDuplicates(["i"]), "toxicity-sample")
+    sample = sample.join(F.broadcast(spark.createDataFrame([(i,) for i in _unlike(sample)], "i long")), "i", "left_semi")  # 2 x rows at most
     size = {bool(r.toxic): r.n for r in sample.groupBy((F.col("g") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(True, 0), size.get(False, 0)
     if not n1 or not n0:
@@ -133,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalMode
     df = map_batches(sample, counted, "f string, b long, a long").groupBy("f").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).where("a + b >= 4")
     rate = (F.col("a") + F.col("b")) / (n1 + n0)
     df = df.withColumn("z", (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0) + 1e-12))
-    top = df.where(F.abs("z") >= 4).orderBy(F.desc(F.abs("z")), "f").limit(FIT_FEATURES).collect()
+    ratio = F.col("a") * n0 / ((F.col("b") + 0.5) * n1)
+    top = df.where((F.col("z") >= FIT_Z) & (ratio >= FIT_RATIO)).orderBy(F.desc("z"), "f").limit(FIT_FEATURES).collect()
     chosen = [r.f for r in top]
     strong = np.array([r.z > 0 and r.a * n0 > 20 * r.b * n1 for r in top], bool)
     place = {f: i for i, f in enumerate(chosen)}
@@ -145,6 +153,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalMode
     return fit_model([r.f for r in got], np.array([r.g for r in got]), chosen, strong)
 
 
+def _unlike(sample: DataFrame) -> list[int]:
+    """Ids of the bounded sample without near copies of earlier ids: copies of one document would make its words look telling."""
+    u = universal(4, 1)
+
+    def rows(b: pa.RecordBatch) -> dict:
+        return {"i": b.column("i"), "m": [[] if not len(x := shingles(t)) else minhash(x, *u).astype(np.int64).tolist() for t in b.column("text").to_pylist()]}
+
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for r in sorted(map_batches(sample, rows, "i long, m array<long>").collect(), key=lambda r: r.i):
+        marks = set(enumerate(r.m))
+        if not marks & seen:
+            out.append(r.i)
+        seen |= marks
+    return out
+
+
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """doc_id, expected_severity, severity_grade (most thresholds passed at one half), is_toxic."""
 
