@@ -22,8 +22,7 @@ def merge_sources(sources: list[DataFrame], k: int) -> DataFrame:
         s = s.select("seq", F.col("mult").cast("int").alias("mult"))
         every = s if every is None else every.unionByName(s)
     cut = windows(every, k + 1)
-    subs = F.transform(F.sequence(F.lit(1), F.length("seq") - k), lambda p: F.substring("seq", p, F.lit(k + 1)))
-    df = cut.select("mult", F.explode(subs).alias("m"))
+    df = cut.select("mult", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k)).alias("p")).select("mult", F.substring("seq", F.col("p"), F.lit(k + 1)).alias("m"))
     return df.groupBy(F.least("m", rc("m")).alias("edge")).agg(F.least(F.max("mult"), F.lit(MAX_MULT)).alias("mult"))
 
 

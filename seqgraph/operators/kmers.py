@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.seq import canonical, rc
+from ..functions.seq import rc
 from ..functions.stats import MAX_MULT, histogram
 
 #: Longer sequences are cut into overlapping windows first, as a substring is found by walking from the start.
@@ -23,28 +23,37 @@ def windows(df: DataFrame, size: int, seq: str = "seq") -> DataFrame:
 def enumerate_kmers(reads: DataFrame, size: int, seq: str = "seq", *keep: str) -> DataFrame:
     """(keep..., pos, kmer): every substring of `size`; shorter sequences have none."""
     cut = windows(reads.select(*keep, seq), size, seq)
-    subs = F.transform(F.sequence(F.lit(1), F.length(seq) - (size - 1)), lambda p: F.substring(seq, p, F.lit(size)))
-    return cut.select(*keep, "piece_at", F.posexplode(subs).alias("p", "kmer")).select(*keep, (F.col("piece_at") + F.col("p")).alias("pos"), "kmer")
+    at = cut.select(*keep, seq, "piece_at", F.explode(F.sequence(F.lit(1), F.length(seq) - (size - 1))).alias("p"))
+    return at.select(*keep, (F.col("piece_at") + F.col("p") - 1).alias("pos"), F.substring(seq, F.col("p"), F.lit(size)).alias("kmer"))
+
+
+def _places(df: DataFrame, size: int, seq: str, *keep: str) -> DataFrame:
+    """(keep..., s, r, p): a row for each place p (from 1) of a substring, with the sequence and its reverse complement.
+
+    The reverse complement is taken once for a sequence, and what is made of a place is then compiled code, not a lambda.
+    """
+    both = df.where(F.length(seq) >= size).select(*keep, F.col(seq).alias("s"), rc(seq).alias("r"))
+    return both.select("*", F.explode(F.sequence(F.lit(1), F.length("s") - (size - 1))).alias("p"))
 
 
 def canonical_kmers(reads: DataFrame, size: int, seq: str = "seq") -> DataFrame:
     """(edge): canonical substrings only, for counting."""
-    cut = windows(reads.select(seq), size, seq)
-    subs = F.transform(F.sequence(F.lit(1), F.length(seq) - (size - 1)), lambda p: canonical(F.substring(seq, p, F.lit(size))))
-    return cut.select(F.explode(subs).alias("edge"))
+    df = _places(windows(reads.select(seq), size, seq), size, seq)
+    return df.select(F.least(F.substring("s", F.col("p"), F.lit(size)), F.substring("r", F.length("s") - (size - 2) - F.col("p"), F.lit(size))).alias("edge"))
 
 
 def with_neighbours(reads: DataFrame, size: int) -> DataFrame:
     """(read_id, pos, edge, strand, prev, next): canonical substrings with the bases beside them, swapped and complemented on strand 1; null at a read's ends."""
-    cut = reads.select("read_id", "seq").where(F.length("seq") >= size)
-    subs = F.transform(
-        F.sequence(F.lit(1), F.length("seq") - (size - 1)),
-        lambda p: F.struct((p - 1).alias("pos"), F.substring("seq", p, F.lit(size)).alias("m"), F.when(p > 1, F.substring("seq", p - 1, F.lit(1))).alias("b"), F.when(p + size <= F.length("seq"), F.substring("seq", p + size, F.lit(1))).alias("a")),
-    )
-    df = cut.select("read_id", F.inline(subs))
-    back = F.col("m") > rc("m")
-    flip = lambda c: F.translate(c, "ACGT", "TGCA")
-    return df.select("read_id", "pos", canonical("m").alias("edge"), back.cast("int").alias("strand"), F.when(back, flip(F.col("a"))).otherwise(F.col("b")).alias("prev"), F.when(back, flip(F.col("b"))).otherwise(F.col("a")).alias("next"))
+    n = F.length("s")
+    df = _places(reads, size, "seq", "read_id").withColumn("q", n - (size - 2) - F.col("p"))  # q: the same place on the other strand
+    df = df.withColumns({"m": F.substring("s", F.col("p"), F.lit(size)), "t": F.substring("r", F.col("q"), F.lit(size))})
+    side = lambda c, i: F.when((i >= 1) & (i <= n), F.substring(c, i, F.lit(1)))
+    back = F.col("m") > F.col("t")
+    return df.select(
+        "read_id", (F.col("p") - 1).alias("pos"), F.least("m", "t").alias("edge"), back.cast("int").alias("strand"),
+        F.when(back, side("r", F.col("q") - 1)).otherwise(side("s", F.col("p") - 1)).alias("prev"),
+        F.when(back, side("r", F.col("q") + size)).otherwise(side("s", F.col("p") + size)).alias("next"),
+    )
 
 
 def count_edges(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:

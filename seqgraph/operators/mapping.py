@@ -35,7 +35,7 @@ def seeds(contigs: DataFrame, opt: MapOptions = MapOptions()) -> DataFrame:
 def candidates(reads: DataFrame, contigs: DataFrame, index: DataFrame, opt: MapOptions = MapOptions()) -> DataFrame:
     """Distinct projections of reads onto contigs, clipped to the contig; a clipped one needs min_mapped_len bases."""
     r = reads.where((F.length("seq") >= opt.seed) & (F.length("seq") >= opt.min_read_len)).select("read_id", F.length("seq").alias("rlen"), "seq")
-    k = r.select("read_id", "rlen", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("seq") - opt.seed + 1), lambda p: F.substring("seq", p, F.lit(opt.seed)))).alias("pos", "m"))
+    k = r.select("*", F.explode(F.sequence(F.lit(0), F.length("seq") - opt.seed)).alias("pos")).select("read_id", "rlen", "pos", F.substring("seq", F.col("pos") + 1, F.lit(opt.seed)).alias("m"))
     k = k.select("read_id", "rlen", "pos", canonical("m").alias("kmer"), (F.col("m") > rc("m")).cast("int").alias("qstrand"))
     j = k.join(index, "kmer").withColumn("strand", F.col("cstrand").bitwiseXOR(F.col("qstrand")))
     ahead = F.when(F.col("strand") == 0, F.col("pos")).otherwise(F.col("rlen") - opt.seed - F.col("pos"))  # bases before the seed, along the contig
