@@ -34,13 +34,13 @@ def reads(spark: SparkSession, sf_dir: str, table: str, step: int = tables.STEP)
 
 def contig_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bases as a contig, with flags and multiplicities from its id."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tables.text_to_dna("text").alias("seq")).where("length(seq) > 0")
+    d = tables.spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", tables.text_to_dna("text").alias("seq")).where("length(seq) > 0")
     return d.select(F.format_string("c%d", F.col("doc_id")).alias("contig_id"), F.lit(K).alias("k"), (F.col("doc_id") % 4).cast("int").alias("flag"), ((F.col("doc_id") % 97) / 4.0 + 1).alias("multi"), F.length("seq").alias("len"), "seq")
 
 
 def piece_unitigs(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
     """Pieces of 100 bases that overlap by k, as unitigs with depths from how often they occur; named by their sequence."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(tables.text_to_dna("text").alias("dna"))
+    d = tables.spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(tables.text_to_dna("text").alias("dna"))
     step = 100 - k
     s = d.select("dna", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(length(dna) - {k} - 1) div {step}").cast("int")))).alias("i")).select(F.substring("dna", F.col("i") * step + 1, F.lit(100)).alias("s")).where(F.length("s") > k)
     g = s.groupBy(fs.canonical("s").alias("seq")).agg(F.count("*").alias("n"))
@@ -270,7 +270,7 @@ def auto_k(spark: SparkSession, r: DataFrame) -> DataFrame:
 
 def contig_from_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of 250 bases or more as a contig without its outer 20 bases."""
-    d = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.expr(IDS["conversations"]).cast("string").alias("contig_id"), tables.text_to_dna("text").alias("dna"))
+    d = tables.spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select(F.expr(IDS["conversations"]).cast("string").alias("contig_id"), tables.text_to_dna("text").alias("dna"))
     return d.where("length(dna) >= 250").select("contig_id", F.expr("substring(dna, 21, length(dna) - 40)").alias("seq"))
 
 

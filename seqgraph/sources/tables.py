@@ -10,6 +10,12 @@ LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]
 STANDALONE, LOOP = 1, 2
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if it has fewer: a table of one row group is read by one task otherwise."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def text_to_dna(text: Column | str) -> Column:
     """Letters as bases in turn, everything else dropped: synthetic, to exercise the operators on text."""
     text = F.col(text) if isinstance(text, str) else text
@@ -18,7 +24,7 @@ def text_to_dna(text: Column | str) -> Column:
 
 def reads_from_table(spark: SparkSession, sf_dir: str, table: str = "documents", id_col: str = "doc_id", text_col: str = "text", step: int = STEP) -> DataFrame:
     """Reads of READ bases every `step` bases over the whole of every text; the last one may be shorter. id_col: SQL for a long id."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.expr(id_col).cast("long").alias("id"), text_to_dna(text_col).alias("dna")).where("length(dna) > 0")
+    df = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")).select(F.expr(id_col).cast("long").alias("id"), text_to_dna(text_col).alias("dna")).where("length(dna) > 0")
     n = F.greatest(F.lit(1), F.expr(f"(length(dna) - ({READ} - {step}) + {step} - 1) div {step}").cast("int"))
     df = df.select("id", "dna", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     seq = F.substring("dna", F.col("i") * step + 1, F.lit(READ))
