@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprint, jaccard, langid, mixing, oracle, pieces, quality, secrets, tokencount, tokenfile, toxicity
+from .common import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def model_path(name: str) -> str:
     import public_tokenizers
 
@@ -21,25 +26,25 @@ def model_path(name: str) -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.count_tokens(table(spark, sf_dir, "documents"), model_path("piece_bpe_32k.model"))
+    return tokencount.count_tokens(documents(spark, sf_dir), model_path("piece_bpe_32k.model"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return langid.predict(docs, langid.fit(docs))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+    return quality.judged(documents(spark, sf_dir)).drop("char_distance", "word_distance")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(table(spark, sf_dir, "documents"), model_path("piece_bpe_32k.model"))
+    return pieces.encode_documents(documents(spark, sf_dir), model_path("piece_bpe_32k.model"))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +53,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(documents(spark, sf_dir))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.joined(table(spark, sf_dir, "documents")).drop("th")
+    return jaccard.joined(documents(spark, sf_dir)).drop("th")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
