@@ -180,7 +180,7 @@ def register() -> None:
     add("a01_edge_counts", lambda s, d: kmers.count_edges(doc(s, d), K).groupBy(F.expr("left(edge, 4)").alias("prefix")).agg(F.count("*").alias("n"), F.sum("mult").alias("total")), f"{D}, {occ_sql(K + 1)}, {edges_sql(1)} SELECT left(edge, 4) AS prefix, count(*) AS n, CAST(sum(mult) AS BIGINT) AS total FROM edges GROUP BY 1")
     add("a03_max_of_sources", lambda s, d: graph.merge_sources([solid(s, d).select(F.col("edge").alias("seq"), "mult"), conv(s, d).where("len >= 60").select("seq", F.lit(3).alias("mult"))], K), f"{G}, src AS (SELECT edge, mult FROM edges UNION ALL SELECT least(m, {rc('m')}), 3 FROM occ JOIN reads USING (read_id) WHERE length(seq) >= 60) SELECT edge, max(mult) AS mult FROM src GROUP BY 1")
     add("a05_edge_sides", lambda s, d: kmers.edge_sides(doc(s, d), K, M).groupBy("has_in", "has_out").agg(F.count("*").alias("n"), F.sum("mult").alias("total")), f"{D}, {occ_sql(K + 1)}, {SIDES} SELECT has_in, has_out, count(*) AS n, CAST(sum(least(n, 65535)) AS BIGINT) AS total FROM sides GROUP BY 1, 2")
-    add("a06_read_tips", lambda s, d: kmers.read_tips(conv(s, d), K, M), f"{C}, {occ_sql(K + 1)}, {SIDES}, {TIPS} SELECT read_id, CAST(first_0_out AS INTEGER) AS first_0_out, CAST(last_0_in AS INTEGER) AS last_0_in FROM tips")
+    add("a06_read_tips", lambda s, d: kmers.read_tips(conv(s, d), K, M).fillna(-1), f"{C}, {occ_sql(K + 1)}, {SIDES}, {TIPS} SELECT read_id, CAST(coalesce(first_0_out, -1) AS INTEGER) AS first_0_out, CAST(coalesce(last_0_in, -1) AS INTEGER) AS last_0_in FROM tips")
     add("k04_mercy_candidates", lambda s, d: kmers.mercy_candidates(conv(s, d), K, M).select("read_id"), f"{C}, {occ_sql(K + 1)}, {SIDES}, {TIPS} SELECT read_id FROM tips WHERE last_0_in > first_0_out")
     add("a07_multiplicity_histogram", lambda s, d: kmers.multiplicity_histogram(kmers.count_edges(doc(s, d), K)), f"{D}, {occ_sql(K + 1)}, {edges_sql(1)} SELECT mult, count(*) AS n FROM edges GROUP BY 1")
     add("a09_n50", lambda s, d: report.n50(contig_table(s, d)), f"WITH {CONTIGS}, c AS (SELECT len, sum(len) OVER (ORDER BY len DESC, contig_id) AS c, sum(len) OVER () AS t FROM contigs) SELECT max(len) AS n50 FROM c WHERE c >= t * 0.5")
