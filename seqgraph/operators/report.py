@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seq import rc, rc_any_case
@@ -61,9 +60,3 @@ def fastg(contigs: DataFrame, k: int) -> DataFrame:
 
 def write_fastg(contigs: DataFrame, path: str, k: int) -> None:
     fastg(contigs, k).select(F.col("record").alias("value")).write.mode("overwrite").text(path)
-
-
-def longest_per_group(df: DataFrame, group: str, n: int) -> DataFrame:
-    """The n longest sequences of each group: a report."""
-    w = W.partitionBy(group).orderBy(F.desc(F.length("seq")), "seq")
-    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)

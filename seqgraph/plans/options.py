@@ -25,7 +25,7 @@ class Options:
     merge_len: float = 20
     merge_similar: float = 0.95
     prune_level: int = 2
-    prune_depth: float = 0
+    prune_depth: float = 2
     disconnect_ratio: float = 0.1
     low_local_ratio: float = 0.2
     cleaning_rounds: int = 5
@@ -53,6 +53,11 @@ class Options:
                 raise ValueError(f"step from {a} to {b} is more than 28")
         if self.min_count < 1:
             raise ValueError("min_count must be positive")
+        if not 0 <= self.prune_level <= 3 or self.merge_len < 0 or self.cleaning_rounds < 1:
+            raise ValueError("prune_level is 0 to 3, merge_len at least 0, cleaning_rounds at least 1")
+        if self.prune_depth < 0 and self.prune_level < 3:  # at level 3 it's inferred from the multiplicities
+            object.__setattr__(self, "prune_depth", self.min_count)
+        object.__setattr__(self, "bubble_level", max(0, min(2, self.bubble_level)))
         if not 0 <= self.merge_similar <= 1 or not 0 <= self.disconnect_ratio <= 0.5 or not 0 < self.low_local_ratio <= 0.5:
             raise ValueError("a ratio is out of range")
         if self.min_count == 1:  # nothing is below the threshold
@@ -61,6 +66,15 @@ class Options:
         if self.memory != 0.9 or self.threads or self.mem_flag != 1:
             warnings.warn("memory, threads and mem_flag have no meaning here; set Spark's configuration instead", stacklevel=2)
 
+    @classmethod
+    def by_step(cls, k_min: int, k_max: int, k_step: int, **more) -> Options:
+        """k from k_min by even steps, with k_max as the last."""
+        if k_step % 2 or k_step <= 0:
+            raise ValueError("k_step must be even")
+        if k_min > k_max:
+            raise ValueError("k_min is more than k_max")
+        return cls(k_list=(*range(k_min, k_max, k_step), k_max), auto_k=False, **more)
+
     @classmethod
     def preset(cls, name: str, **more) -> Options:
         return cls(**(PRESETS[name] | more))

@@ -288,4 +288,8 @@ def test_options_are_checked():
     assert o.one_pass and not o.mercy
     assert Options.preset("meta-large").min_count == 1
     assert Options.from_json(o.to_json()) == o
+    assert Options.by_step(27, 127, 10).k_list == Options.preset("meta-large").k_list
+    with pytest.raises(ValueError):
+        Options.by_step(21, 41, 7)
+    assert Options(prune_depth=-1, min_count=3).prune_depth == 3 and Options(bubble_level=9).bubble_level == 2
     assert Options().for_reads(100).k_list[-1] == 119
