@@ -49,17 +49,18 @@ def letters(text: str | None) -> np.ndarray:
     return cp if len(cp) > 1 else cp[:0]
 
 
-def grams(cp: np.ndarray) -> np.ndarray:
-    """Hashes of all n-grams of the given letters, repeats included."""
+def grams_of(cp: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of the given letters, repeats included."""
     c = cp.astype(np.uint64)
-    parts = []
-    for n in ORDERS:
-        if len(c) >= n:
-            h = np.full(len(c) - n + 1, n, np.uint64)
-            for j in range(n):
-                h = h * np.uint64(0x100000001B3 * 2 + 1) + c[j : len(c) - n + 1 + j]
-            parts.append(mix(h))
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    h = np.full(max(0, len(c) - n + 1), n, np.uint64)
+    for j in range(n):
+        h = h * np.uint64(0x200000000367) + c[j : len(c) - n + 1 + j]
+    return mix(h)
+
+
+def grams(cp: np.ndarray, starts: int | None = None) -> np.ndarray:
+    """Hashes of all n-grams, or of those that begin at the first `starts` letters."""
+    return np.concatenate([grams_of(cp if starts is None else cp[: starts + n - 1], n) for n in ORDERS])
 
 
 @dataclass
@@ -106,7 +107,7 @@ class LanguageFilters:
         for at in range(0, max(1, len(cp) - step), _SLICE):  # n-grams that begin in a slice; the last slice has the short ends
             last = at + _SLICE >= len(cp) - step
             part = cp[at:] if last else cp[at : at + _SLICE + step]
-            g = grams(part) if last else grams_from(part, _SLICE)
+            g = grams(part, None if last else _SLICE)
             found = self.look_up(g)
             n += len(g)
             if self.masks.dtype == np.uint8:
@@ -119,19 +120,6 @@ class LanguageFilters:
         return self.langs[best], float(true[best] / true.sum()) if true.sum() > 0 else 1 / len(self.langs)
 
 
-def grams_from(cp: np.ndarray, starts: int) -> np.ndarray:
-    """Hashes of the n-grams that begin at the first `starts` letters."""
-    return np.concatenate([grams_of(cp[: starts + n - 1], n) for n in ORDERS])
-
-
-def grams_of(cp: np.ndarray, n: int) -> np.ndarray:
-    c = cp.astype(np.uint64)
-    h = np.full(max(0, len(c) - n + 1), n, np.uint64)
-    for j in range(n):
-        h = h * np.uint64(0x100000001B3 * 2 + 1) + c[j : len(c) - n + 1 + j]
-    return mix(h)
-
-
 def held_out() -> F.Column:
     """True for documents that the fit never reads."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
