@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seq import n_trim
+from ..operators.paths import cut_lineage
 
 READ_COLUMNS = ["read_id", "lib_id", "mate", "seq", "len"]
 
@@ -64,8 +65,11 @@ def encode(seq: Column | str) -> Column:
 
 
 def ordinal(df: DataFrame, order: str) -> DataFrame:
-    """Adds n, from 0, in the order of a LONG column, without a task that sees all rows: rank in a range plus the ranges before it."""
-    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_p", F.spark_partition_id())
+    """Adds n, from 0, in the order of a LONG column, without a task that sees all rows: rank in a range plus the ranges before it.
+
+    The ranges are written once: sampled again, their bounds could differ between the two places that they're used in.
+    """
+    ranged = cut_lineage(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row for each range
     return ranged.join(F.broadcast(before), "_p").withColumn("n", F.col("_b") + F.row_number().over(W.partitionBy("_p").orderBy(order)) - 1).drop("_p", "_b")
