@@ -41,9 +41,16 @@ def edited(text: str, following: str) -> str:
 
 
 def split_points(docs: DataFrame, partitions: int) -> list[int]:
-    """Ids that occur in docs and cut it into about equal ranges; as many as partitions at most."""
-    found = docs.select(F.col("doc_id").cast("double").alias("d")).stat.approxQuantile("d", [i / partitions for i in range(1, partitions)], 0.2 / partitions) if partitions > 1 else []
-    return sorted({int(x) for x in found})
+    """Ids that occur in docs and cut it into about equal ranges; fewer than partitions.
+
+    Quantiles come as doubles, which don't hold every long: the cuts are the greatest ids up to each of them.
+    """
+    if partitions < 2:
+        return []
+    found = docs.select(F.col("doc_id").cast("double").alias("d")).stat.approxQuantile("d", [i / partitions for i in range(1, partitions)], 0.2 / partitions)
+    near = F.array(*[F.lit(c).cast("long") for c in sorted({int(x) for x in found})]) if found else F.array().cast("array<long>")
+    tops = docs.groupBy(F.size(F.filter(near, lambda c: c < F.col("doc_id"))).alias("b")).agg(F.max("doc_id").alias("top"))
+    return sorted(r.top for r in tops.collect())[:-1]  # a row for each range
 
 
 def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -488,6 +488,16 @@ def test_fingerprints_match_plain_code(spark, none):
     assert len(one) == 1 and one[0].near_next == 1
 
 
+def test_fingerprints_with_ids_beyond_doubles(spark):
+    base = (1 << 62) + 12345
+    rows = [(base + 3 * i, prose(15, i), "en", "a") for i in range(40)] + [(-base - i, prose(15, 99 + i), "en", "a") for i in range(9)]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(frame(spark, rows), 7).collect()}
+    order = sorted(rows, key=lambda r: -r[0])
+    for j, (i, t, _, _) in enumerate(order):
+        nxt = order[(j + 1) % len(order)][1]
+        assert got[i].edited_sha256 == hashlib.sha256(fingerprint.edited(t, nxt).encode()).hexdigest()
+
+
 def test_fingerprints_of_repeated_rows(spark, odd):
     assert fingerprint.fingerprints(odd, 4).count() == len(odd_rows())
 
