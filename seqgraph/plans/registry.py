@@ -97,6 +97,27 @@ TIPS = (
     "tips AS (SELECT read_id, min(CASE WHEN (strand = 0 AND NOT has_out) OR (strand = 1 AND NOT has_in) THEN pos + 1 END) AS first_0_out, "
     "max(CASE WHEN (strand = 0 AND NOT has_in) OR (strand = 1 AND NOT has_out) THEN pos END) AS last_0_in FROM nb JOIN sides USING (edge) WHERE NOT has_in OR NOT has_out GROUP BY read_id)"
 )
+
+
+def map_sql(source: str) -> str:
+    """Best unique mappings of the reads in `source` onto the contigs cut from conversations."""
+    m = "m"
+    return (
+        f"cc AS (SELECT CAST({IDS['conversations']} AS VARCHAR) AS contig_id, substring(d, 21, length(d) - 40) AS cseq FROM (SELECT *, {dna()} AS d FROM conversations) WHERE length(d) >= 250), "
+        f"sk AS (SELECT contig_id, off, substring(cseq, off + 1, 31) AS m FROM (SELECT contig_id, cseq, unnest(range(0, length(cseq) - 30, 8)) AS off FROM cc WHERE length(cseq) >= 200)), "
+        f"sd AS (SELECT least(m, {rc(m)}) AS kmer, min(contig_id) AS contig_id, min(off) AS off, min(CASE WHEN m > {rc(m)} THEN 1 ELSE 0 END) AS cs FROM sk GROUP BY 1 HAVING count(*) = 1), "
+        f"rk AS (SELECT read_id, rlen, pos, substring(seq, pos + 1, 31) AS m FROM (SELECT read_id, seq, length(seq) AS rlen, unnest(range(0, length(seq) - 30)) AS pos FROM {source} WHERE length(seq) >= 50)), "
+        f"pr AS (SELECT DISTINCT read_id, rlen, contig_id, strand, off - CASE WHEN strand = 0 THEN pos ELSE rlen - 31 - pos END AS raw FROM (SELECT rk.*, sd.contig_id, sd.off, xor(sd.cs, CASE WHEN m > {rc(m)} THEN 1 ELSE 0 END) AS strand FROM rk JOIN sd ON sd.kmer = least(m, {rc(m)}))), "
+        f"cl AS (SELECT pr.*, cseq, length(cseq) AS clen, greatest(0, raw) AS cf, least(length(cseq) - 1, raw + rlen - 1) AS ct FROM pr JOIN cc USING (contig_id)), "
+        f"qu AS (SELECT cl.*, ct - cf + 1 AS n, CASE WHEN strand = 0 THEN cf - raw ELSE rlen - (cf - raw) - (ct - cf + 1) END AS qf FROM cl WHERE ct - cf + 1 >= rlen OR ct - cf + 1 >= 75), "
+        f"mm AS (SELECT qu.*, hamming(CASE WHEN strand = 0 THEN substring(seq, qf + 1, n) ELSE {rc('substring(seq, qf + 1, n)')} END, substring(cseq, cf + 1, n)) AS mis FROM qu JOIN {source} USING (read_id)), "
+        f"ok AS (SELECT *, max(n - mis) OVER (PARTITION BY read_id) AS best FROM mm WHERE n - mis >= greatest(1, floor(0.8 * n + 0.5))), "
+        f"mp AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY read_id) AS ties FROM ok WHERE n - mis = best) WHERE ties = 1)"
+    )
+
+
+HITS = 'contig_id, CAST("end" AS INTEGER) AS "end", CAST(CASE WHEN "end" = 0 THEN ct ELSE clen - 1 - cf END AS INTEGER) AS "offset"'
+FACING = f"facing AS (SELECT read_id, mate, CASE WHEN mate = 1 THEN {rc('seq')} ELSE seq END AS seq FROM reads)"
 UK = 15
 UNITIGS = (
     f"udna AS (SELECT {dna()} AS dna FROM documents), ucut AS (SELECT dna, unnest(range(0, greatest(0, (length(dna) - {UK} - 1) // {100 - UK}) + 1)) AS i FROM udna), "
@@ -247,9 +268,18 @@ def register() -> None:
     add("c10_assemble", lambda s, d: cleaning.assemble(graph.directed(kmers.solid_edges(reads(s, d, "benchmark", 25), K, M)), K)["contigs"])
 
     # mapping
-    add("l02_map_reads", lambda s, d: mapping.map_reads(conv(s, d), contig_from_conv(s, d)).drop("rlen", "clen"))
+    mapped = lambda s, d: mapping.map_reads(conv(s, d), contig_from_conv(s, d))
+    MP = f"{C}, {map_sql('reads')}"
+    add("l02_map_reads", lambda s, d: mapped(s, d).drop("rlen", "clen"), f"{MP} SELECT read_id, contig_id, CAST(cf AS INTEGER) AS contig_from, CAST(ct AS INTEGER) AS contig_to, CAST(qf AS INTEGER) AS query_from, CAST(qf + n - 1 AS INTEGER) AS query_to, CAST(mis AS INTEGER) AS mismatch, CAST(strand AS INTEGER) AS strand FROM mp")
     facing = lambda s, d: conv(s, d).withColumn("seq", F.when(F.col("mate") == 1, fs.rc("seq")).otherwise(F.col("seq")))
-    add("l03_insert_sizes", lambda s, d: mapping.insert_sizes(mapping.map_reads(facing(s, d), contig_from_conv(s, d)), facing(s, d), one_lib(s)).groupBy("insert").agg(F.count("*").alias("n")))
+    add(
+        "l03_insert_sizes",
+        lambda s, d: mapping.insert_sizes(mapping.map_reads(facing(s, d), contig_from_conv(s, d)), facing(s, d), one_lib(s)).groupBy("insert").agg(F.count("*").alias("n")),
+        f"{C}, {FACING}, {map_sql('facing')}, both2 AS (SELECT a.strand AS sa, a.cf AS af, a.ct AS at_, a.qf AS aq, a.n AS an, a.rlen AS ar, b.cf AS bf, b.ct AS bt, b.qf AS bq, b.n AS bn, b.rlen AS br FROM mp a JOIN mp b ON a.read_id // 2 = b.read_id // 2 AND a.read_id % 2 = 0 AND b.read_id % 2 = 1 WHERE a.contig_id = b.contig_id AND a.strand != b.strand), "
+        "ins AS (SELECT ar, br, CASE WHEN sa = 0 THEN bt + br - (bq + bn - 1) - (af - aq) ELSE at_ + ar - (aq + an - 1) - (bf - bq) END AS i FROM both2) SELECT CAST(i AS INTEGER) AS insert, count(*) AS n FROM ins WHERE i >= ar AND i >= br GROUP BY 1",
+    )
+    add("l05_single_hits", lambda s, d: mapping.single_hits(mapped(s, d), 99).select("contig_id", "end", "offset", "mismatch", "strand", "read_id"), f"{MP}, e AS (SELECT *, CASE WHEN ct < 99 AND qf != 0 AND qf + n = rlen THEN 0 WHEN cf + 99 >= clen AND qf + n < rlen AND qf = 0 THEN 1 END AS \"end\" FROM mp) SELECT {HITS}, CAST(mis AS INTEGER) AS mismatch, CAST(strand AS INTEGER) AS strand, read_id FROM e WHERE \"end\" IS NOT NULL")
+    add("l06_mate_hits", lambda s, d: mapping.mate_hits(mapped(s, d), conv(s, d), one_lib(s), 99).select("contig_id", "end", "offset", "mismatch", "strand", "read_id"), f"{MP}, e AS (SELECT x.*, xor(x.read_id, 1) AS mate_id, CASE WHEN x.ct < 99 AND x.strand = 1 THEN 0 WHEN x.cf + 99 >= x.clen AND x.strand = 0 THEN 1 END AS \"end\" FROM mp x LEFT JOIN mp y ON y.read_id = xor(x.read_id, 1) WHERE y.contig_id IS NULL OR y.contig_id != x.contig_id) SELECT {HITS}, CAST(mis AS INTEGER) AS mismatch, CAST(strand AS INTEGER) AS strand, mate_id AS read_id FROM e WHERE \"end\" IS NOT NULL")
     hx = lambda s, d: conv(s, d).select(F.expr("cast(read_id div 1000000 as string)").alias("contig_id"), F.col("mate").alias("end"), (F.col("len") % 3).cast("int").alias("offset"), F.lit(0).alias("is_mate"), (F.col("read_id") % 2).cast("int").alias("mismatch"), F.lit(0).alias("strand"), "read_id")
     add("w08_three_per_place", lambda s, d: mapping.chosen_hits(hx(s, d), 99, 100).select("contig_id", "end", "offset", "read_id"), f"{C}, h AS (SELECT CAST(read_id // 1000000 AS VARCHAR) AS contig_id, mate AS \"end\", CAST(length(seq) % 3 AS INTEGER) AS \"offset\", read_id % 2 AS mm, read_id FROM reads), g AS (SELECT *, count(*) OVER (PARTITION BY contig_id, \"end\") AS n, row_number() OVER (PARTITION BY contig_id, \"end\", \"offset\" ORDER BY mm, read_id) AS r FROM h) SELECT contig_id, \"end\", \"offset\", read_id FROM g WHERE n > 0 AND r <= 3")
     add("l08_local_assembly", lambda s, d: local.local_assembly(conv(s, d), one_lib(s), contig_from_conv(s, d).withColumn("flag", F.lit(0)), min_len=100))
