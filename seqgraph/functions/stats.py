@@ -49,11 +49,10 @@ def nx(h: DataFrame, share: float = 0.5) -> DataFrame:
 
 
 def trim(h: DataFrame, share: float) -> DataFrame:
-    """The histogram without int(share / 2 of the count) at either tail, whole or part of a value."""
+    """The histogram without the outermost values that, whole, make up share / 2 of the count (rounded) at most at either end."""
     t = h.agg(F.floor(F.sum("n") * F.lit(share) / 2 + 0.5).cast("long").alias("cut"))
     d = h.withColumn("lo", F.sum("n").over(_up())).withColumn("hi", F.sum("n").over(_down())).crossJoin(F.broadcast(t))  # t has one row
-    keep = F.col("n") - F.least(F.col("n"), F.greatest(F.lit(0), F.col("cut") - (F.col("lo") - F.col("n")))) - F.least(F.col("n"), F.greatest(F.lit(0), F.col("cut") - (F.col("hi") - F.col("n"))))
-    return d.select("value", keep.alias("n")).where("n > 0")
+    return d.where("lo > cut AND hi > cut").select("value", "n")
 
 
 def trim_low(h: DataFrame, threshold: float) -> DataFrame:
@@ -61,27 +60,27 @@ def trim_low(h: DataFrame, threshold: float) -> DataFrame:
     return h.where(F.col("value") >= threshold)
 
 
-def up_mean(h: DataFrame) -> DataFrame:
-    """One row: mean of the values at or above the integral mean."""
-    m = summary(h).select("mean")
-    return h.crossJoin(F.broadcast(m)).where(F.col("value") >= F.col("mean")).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))  # m has one row
+def up_mean(h: DataFrame, p: float) -> DataFrame:
+    """One row: mean of the greatest values, down to the one at which their count exceeds int(n * p)."""
+    t = h.agg(F.floor(F.sum("n") * F.lit(p)).alias("count"))
+    d = h.withColumn("hi", F.sum("n").over(_down())).crossJoin(F.broadcast(t)).where(F.col("hi") - F.col("n") <= F.col("count"))  # t has one row
+    return d.agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))
 
 
 def first_local_minimum(counts: dict[int, int], smoothing: int = 4) -> int:
-    """The value where counts stop falling for more than `smoothing` values after the last smaller one."""
+    """The last least count before `smoothing` greater ones in a row of values that occur; 0 if that's the greatest value."""
     values = sorted(counts)
     if not values:
         return 0
-    best = values[0]
-    since = 0
-    for v in range(values[0], values[-1] + 1):
-        if counts.get(v, 0) < counts.get(best, 0) or v == best:
-            best, since = v, 0
+    best, above = values[0], 0
+    for v in values:
+        if counts[v] <= counts[best]:
+            best, above = v, 0
         else:
-            since += 1
-            if since > smoothing:
-                return best
-    return best
+            above += 1
+            if above >= smoothing:
+                break
+    return 0 if best == values[-1] else best
 
 
 def median(counts: dict[int, int]) -> int:
@@ -102,8 +101,6 @@ def infer_min_depth(h: DataFrame) -> float:
     cov = float(first_local_minimum(counts))
     for _ in range(100):
         counts = {v: n for v, n in counts.items() if v >= math.floor(cov + 0.5)}
-        if not counts:
-            return 1.0
         new = math.sqrt(median(counts))
         if abs(new - cov) < 0.01:
             return cov

@@ -187,8 +187,8 @@ def register() -> None:
     add("f15_histogram", clen, f"WITH {CONTIGS} SELECT len AS value, count(*) AS n FROM contigs GROUP BY 1")
     add("f15_summary", lambda s, d: stats.summary(clen(s, d)).select("n", "least", "greatest", "total", "mean", F.round("sd", 4).alias("sd")), f"WITH {CONTIGS} SELECT count(*) AS n, min(len) AS least, max(len) AS greatest, CAST(sum(len) AS BIGINT) AS total, CAST(sum(len) // count(*) AS BIGINT) AS mean, round(stddev_pop(len), 4) AS sd FROM contigs")
     add("f15_percentile", lambda s, d: stats.percentile(clen(s, d), 0.9), f"WITH {CONTIGS}, h AS (SELECT len AS value, count(*) AS n FROM contigs GROUP BY 1), c AS (SELECT value, sum(n) OVER (ORDER BY value) AS c, sum(n) OVER () AS t FROM h) SELECT min(value) AS value FROM c WHERE c > floor(t * 0.9)")
-    add("f15_trim", lambda s, d: stats.trim(clen(s, d), 0.1), f"WITH {CONTIGS}, r AS (SELECT len, row_number() OVER (ORDER BY len) AS i, count(*) OVER () AS t FROM contigs) SELECT len AS value, count(*) AS n FROM r WHERE i > floor(t * 0.1 / 2 + 0.5) AND i <= t - floor(t * 0.1 / 2 + 0.5) GROUP BY 1")
-    add("f15_up_mean", lambda s, d: stats.up_mean(clen(s, d)).select(F.round("value", 6).alias("value")), f"WITH {CONTIGS}, t AS (SELECT sum(len) // count(*) AS m FROM contigs) SELECT round(avg(len), 6) AS value FROM contigs, t WHERE len >= m")
+    add("f15_trim", lambda s, d: stats.trim(clen(s, d), 0.1), f"WITH {CONTIGS}, h AS (SELECT len AS value, count(*) AS n FROM contigs GROUP BY 1), c AS (SELECT value, n, sum(n) OVER (ORDER BY value) AS lo, sum(n) OVER (ORDER BY value DESC) AS hi, floor(sum(n) OVER () * 0.1 / 2 + 0.5) AS cut FROM h) SELECT value, n FROM c WHERE lo > cut AND hi > cut")
+    add("f15_up_mean", lambda s, d: stats.up_mean(clen(s, d), 0.25).select(F.round("value", 6).alias("value")), f"WITH {CONTIGS}, h AS (SELECT len AS value, count(*) AS n FROM contigs GROUP BY 1), c AS (SELECT value, n, sum(n) OVER (ORDER BY value DESC) AS hi, floor(sum(n) OVER () * 0.25) AS k FROM h) SELECT round(sum(value * n) / sum(n), 6) AS value FROM c WHERE hi - n <= k")
 
     # explode, filter, count
     add("p01_kmers", lambda s, d: kmers.enumerate_kmers(doc(s, d), K + 1, "seq", "read_id").groupBy("pos").agg(F.count("*").alias("n"), F.count_distinct("kmer").alias("n_distinct")), f"{D}, {occ_sql(K + 1)} SELECT CAST(pos AS INTEGER) AS pos, count(*) AS n, count(DISTINCT m) AS n_distinct FROM occ GROUP BY 1")
