@@ -34,7 +34,7 @@ from .common import shared_dir
 FRAME_IDS = 1 << 18
 _SKIP, _TABLE_MAGIC, _INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 _NO_ID = -(1 << 63)
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 #: Letters, numbers and white space below U+0100, for the standard library's faster patterns.
