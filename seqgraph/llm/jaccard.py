@@ -2,9 +2,9 @@
 
 Every document's shingle set is embedded as a MinHash vector. In each of several runs a set walks down a tree: a node
 picks which of the sampled tokens (vector places) to split on, and sets that share the token's value go on together.
-Small nodes are compared by brute force; larger ones are split further; those that stay large although all their
-members share four tokens are compared block by block. Runs are repeated until a pair at the threshold is met with
-the target probability. What meets and looks alike is gathered into loose clusters, in which every pair's Jaccard
+Small nodes are compared by brute force. A larger one is split further where that saves comparisons, at several places
+at once so that hardly a pair is lost; otherwise, or when its members share four tokens, it's compared block by block.
+Runs are repeated until a pair at the threshold is met with the target probability even where its nodes are all split. What meets and looks alike is gathered into loose clusters, in which every pair's Jaccard
 similarity is then worked out exactly on the full sets.
 
 Sets that are equal are one class of copies from the start, with a count. A row of the result is a document: class_id
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, map_batches, minhash, mix, shingles, universal, written
@@ -33,24 +33,42 @@ THRESHOLD, SHINGLE, PLACES, SEED = 0.8, 5, 64, 8
 RECALL = 0.9999
 #: Rows that a node may have to be compared by brute force, and sets and shingles that an exact block may hold.
 NODE, BLOCK_SETS, BLOCK_SHINGLES = 2048, 1024, 400_000
-#: Share of equal MinHash values from which two sets are held for candidates: four standard deviations below the threshold.
-LOOSE = 38 / 64
+#: Places that a large node is split at, each into children of its own, and how often it can be split. PLACES is a multiple of SPLIT.
+SPLIT, SPLITS = 4, 2
+#: A large node is split if that leaves less than this share of its comparisons.
+GAIN = 1.0
+#: Share of equal MinHash values from which two sets are held for candidates: more than four standard deviations below the threshold.
+LOOSE = 37 / 64
 #: A table of so many keys may be broadcast (16 bytes each).
 BROADCAST_ROWS = 100_000
 
 
 def runs_for(recall: float, threshold: float) -> int:
-    """Runs after which a pair at the threshold has met with probability recall (see paths: one place, or two in one of four)."""
-    second = threshold * (0.75 * threshold + 0.25 * (1 - (1 - threshold) ** 2))
-    one_run = 0.75 * second + 0.25 * (1 - (1 - second) ** 2)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - one_run)))
+    """Runs after which a pair at the threshold is a candidate with probability recall, though all its nodes be split SPLITS times.
+
+    A run takes one place, or two in one of four, at the root and at depth 1 (see paths), and SPLIT at each level below.
+    The number of places at which the pair agrees is binomial; with too few of them (LOOSE) it's lost in any run.
+    """
+    agree = [(c / PLACES, math.comb(PLACES, c) * threshold**c * (1 - threshold) ** (PLACES - c)) for c in range(PLACES + 1)]
+    lost = sum(p for q, p in agree if q < LOOSE)
+    if lost >= 1 - recall:
+        raise ValueError(f"{PLACES} places are too few for a recall of {recall} at {threshold}")
+
+    def missed(q: float) -> float:
+        second = q * (0.75 * q + 0.25 * (1 - (1 - q) ** 2)) * (1 - (1 - q) ** SPLIT) ** SPLITS
+        return 1 - (0.75 * second + 0.25 * (1 - (1 - second) ** 2))
+
+    runs = 1
+    while lost + sum(p * missed(q) ** runs for q, p in agree if q >= LOOSE) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def paths(sig: np.ndarray, runs: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """For a matrix of MinHash vectors: (rows, their nodes at depth 2, 3 and 4) for each chosen path.
+    """For a matrix of MinHash vectors: (rows, [their nodes at depth 2]) for each chosen path.
 
     Places are chosen by the node, so all sets in a node agree on them. The root takes one place, in every fourth run
-    two; a node at depth 1 takes one, one node in four two; deeper nodes take one.
+    two; a node at depth 1 takes one, one node in four two.
     """
     n, width = sig.shape
     rows = np.arange(n)
@@ -68,10 +86,7 @@ def paths(sig: np.ndarray, runs: int) -> Iterator[tuple[np.ndarray, list[np.ndar
                 at = rows if not twin else np.flatnonzero((one >> np.uint64(40)) % np.uint64(4) == 0)
                 shift = np.uint64(8 + 16 * twin)
                 place = ((first + 1 + (one[at] >> shift) % np.uint64(width - 1)).astype(np.int64)) % width
-                nodes = [step(one[at], place, at)]
-                for _ in range(2):
-                    nodes.append(step(nodes[-1], ((nodes[-1] >> np.uint64(20)) % np.uint64(width)).astype(np.int64), at))
-                yield at, nodes
+                yield at, [step(one[at], place, at)]
 
 
 def parts(n: int, alike) -> list[list[int]]:
@@ -138,20 +153,20 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def node_rows(sets: DataFrame, runs: int) -> DataFrame:
-    """fp, vector (a byte of each value) and the nodes of all chosen paths."""
+    """fp, vector (a byte of each value) and node (key) of each chosen path."""
 
     def rows(b: pa.RecordBatch) -> dict:
         sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(b.num_rows, PLACES)
         fp = b.column("fp").to_numpy()
         small = [x.tobytes() for x in sig.astype(np.uint8)]
         at, nodes = [], []
-        for rows_, levels in paths(sig, runs):
+        for rows_, (node,) in paths(sig, runs):
             at.append(rows_)
-            nodes.append(np.stack(levels))
-        place, level = np.concatenate(at), np.concatenate(nodes, axis=1).view(np.int64)
-        return {"fp": fp[place], "small": [small[i] for i in place.tolist()], "p2": level[0], "p3": level[1], "p4": level[2]}
+            nodes.append(node)
+        place = np.concatenate(at)
+        return {"fp": fp[place], "small": [small[i] for i in place.tolist()], "key": np.concatenate(nodes).view(np.int64)}
 
-    return map_batches(sets.select("fp", "sig"), rows, "fp long, small binary, p2 long, p3 long, p4 long")
+    return map_batches(sets.select("fp", "sig"), rows, "fp long, small binary, key long")
 
 
 def crowded(df: DataFrame, key: str, most: int) -> DataFrame | None:
@@ -161,21 +176,49 @@ def crowded(df: DataFrame, key: str, most: int) -> DataFrame | None:
     return None if not n else F.broadcast(found) if n <= BROADCAST_ROWS else found
 
 
-def loose_edges(sets: DataFrame, runs: int, node: int = NODE) -> DataFrame:
-    """(a, b): a spanning forest of the candidates met in each node."""
-    df = node_rows(sets, runs).withColumn("key", F.col("p2")).withColumn("open", F.lit(True))
-    many = crowded(df, "p2", node)
-    df = df.withColumn("pair", F.lit(0))
-    for nxt in ("p3", "p4"):
+def children() -> Column:
+    """The nodes below a row's node (key): one for each of SPLIT places that the node chooses, by the value there."""
+    place = [F.pmod(F.xxhash64("key"), F.lit(PLACES // SPLIT)) + F.lit(k * (PLACES // SPLIT)) for k in range(SPLIT)]
+    return F.array(*[F.xxhash64("key", p, F.substring("small", p.cast("int") + 1, F.lit(1))) for p in place])
+
+
+def in_blocks(df: DataFrame, node: int) -> DataFrame:
+    """Rows of large nodes (cn rows each), once for each pair of blocks that they belong to: all blocks against each other."""
+    df = df.withColumn("nb", F.ceil(F.col("cn") / node).cast("int")).withColumn("blk", F.pmod(F.hash("fp"), F.col("nb")))
+    df = df.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return df.select(F.xxhash64("key", F.least("blk", "o"), F.greatest("blk", "o")).alias("key"), "fp", "small")
+
+
+def node_groups(sets: DataFrame, runs: int, node: int) -> DataFrame:
+    """(key, fp, small): every key's rows are to be compared, those of a node or of two blocks of a large one.
+
+    A large node is split where its children make fewer comparisons than it does; near copies that no place tells apart
+    and nodes split SPLITS times are compared in blocks, which loses nothing.
+    """
+    df, out = node_rows(sets, runs), None
+    for level in range(SPLITS + 1):
+        many = crowded(df, "key", node)
         if many is None:
             break
-        df = df.join(many, df["key"] == many["ck"], "left").withColumn("open", F.col("cn").isNotNull()).withColumn("key", F.when(F.col("open"), F.xxhash64("key", nxt)).otherwise(F.col("key"))).drop("ck", "cn")
-        many = crowded(df.where("open"), "key", node)
-    if many is not None:  # their members share four tokens: all blocks of rows against each other
-        df = df.join(many, df["key"] == many["ck"], "left").withColumn("nb", F.ceil(F.coalesce("cn", F.lit(1)) / node).cast("int"))
-        df = df.withColumn("blk", F.pmod(F.hash("fp"), F.col("nb"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        df = df.withColumn("key", F.when(F.col("nb") > 1, F.xxhash64("key", F.least("blk", "o"), F.greatest("blk", "o"))).otherwise(F.col("key")))
-    rows = df.select("key", "fp", "small").repartition("key").sortWithinPartitions("key", "fp")
+        few = df.join(many, df["key"] == many["ck"], "left_anti").select("key", "fp", "small")
+        stay = written(df.join(many, df["key"] == many["ck"]).select("key", "fp", "small", "cn"), "large")
+        df = None
+        if level < SPLITS:
+            below = stay.select("key", "cn", F.explode(children()).alias("child")).groupBy("key", "cn", "child").agg(F.count("*").cast("double").alias("c"))
+            worth = below.groupBy("key", "cn").agg(F.sum(F.col("c") * F.col("c")).alias("cost")).where(F.col("cost") < F.col("cn").cast("double") * F.col("cn") * GAIN)
+            worth = written(worth.select(F.col("key").alias("ck")), "worth")
+            df = stay.join(worth, stay["key"] == worth["ck"], "left_semi").select(F.explode(children()).alias("key"), "fp", "small")
+            stay = stay.join(worth, stay["key"] == worth["ck"], "left_anti")
+        done = few.unionByName(in_blocks(stay, node))
+        out = done if out is None else out.unionByName(done)
+        if df is None:
+            return out
+    return df if out is None else out.unionByName(df)
+
+
+def loose_edges(sets: DataFrame, runs: int, node: int = NODE) -> DataFrame:
+    """(a, b): a spanning forest of the candidates met in each node."""
+    rows = node_groups(sets, runs, node).repartition("key").sortWithinPartitions("key", "fp")
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])

@@ -450,6 +450,19 @@ def test_recall_of_a_run():
     assert met.mean() > 0.995 and jaccard.runs_for(0.9999, 0.8) >= 7
 
 
+@pytest.mark.parametrize("gain", [1.0, 1e9])
+def test_recall_in_large_nodes(spark, monkeypatch, gain):
+    """Pairs whose nodes are all too large are met as often as others, in blocks as well as at the deepest level."""
+    monkeypatch.setattr(jaccard, "GAIN", gain, raising=False)
+    r = np.random.default_rng(11)
+    n = 8000
+    a = r.integers(0, 1 << 32, (n, jaccard.PLACES), dtype=np.uint64).astype("<u4")
+    b = np.where(r.random(a.shape) < 0.8, a, r.integers(0, 1 << 32, a.shape, dtype=np.uint64).astype("<u4"))
+    sets = spark.createDataFrame([(2 * i + k, x[i].tobytes()) for i in range(n) for k, x in enumerate((a, b))], "fp long, sig binary")
+    got = {(x.a, x.b) for x in jaccard.loose_edges(sets, jaccard.runs_for(0.9999, 0.8), 1).collect()}
+    assert sum((2 * i, 2 * i + 1) not in got for i in range(n)) <= 5  # 0.8 are expected; a place a level would lose 50
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r.v: r.label for r in jaccard.components(e).collect()}
