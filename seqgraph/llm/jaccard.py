@@ -12,7 +12,8 @@ is the least doc_id of its connected class, n_links the number of other rows tha
 with. Links are counted in blocks and never listed, so a group of m near copies makes m rows.
 
 Null texts and texts without words have no shingles: no links, and themselves as class. Texts of fewer than five words
-have one shingle, all their words. Repeated rows count as copies. Null ids: a class has the least id that isn't null.
+have one shingle, all their words. Repeated rows count as copies. Null ids: a class has the least id that isn't null; such rows have
+links as others have.
 An empty table gives an empty result. Other columns are not looked at. Sets are told apart by 64-bit hashes.
 """
 
@@ -331,16 +332,17 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     t = written(signed(docs), "signed")
-    sets = t.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("mult"), F.min("doc_id").alias("first_id"), F.min("size").alias("size"), F.min_by(F.struct("sig", "th", "doc_id"), F.struct("doc_id", "th")).alias("x"))
+    sets = t.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("mult"), F.min("doc_id").alias("first_id"), F.min("size").alias("size"), F.min_by(F.struct("sig", "th", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("x"))
     sets = written(sets.select("fp", "mult", "first_id", "size", "x.sig", "x.th", F.col("x.doc_id").alias("at_id")), "sets")
     loose = components(loose_edges(sets, runs_for(recall, threshold)))
     member = written(loose.withColumnRenamed("v", "fp").join(sets.drop("sig"), "fp"), "members")
     total = member.groupBy("label").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     member = member.join(total.select("label", blocks.alias("nb")), "label").withColumn("blk", F.pmod(F.hash("fp"), F.col("nb")))
-    text = docs.select(F.col("doc_id").cast("long").alias("at_id"), "text")
+    text = docs.select(F.col("doc_id").cast("long").alias("d"), "text", F.xxhash64("text").alias("dh"))
     # Members grow with the corpus, so their side is never broadcast: one plan at every size.
-    rows = text.join(member.select("at_id", "th", "fp", "mult", "label", "nb", "blk").hint("merge"), "at_id").where(F.xxhash64("text") == F.col("th"))
+    # A set with null ids only is found by a null id and its text.
+    rows = text.join(member.select("at_id", "th", "fp", "mult", "label", "nb", "blk").hint("merge"), F.col("d").eqNullSafe(F.col("at_id")) & (F.col("dh") == F.col("th")))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select(F.xxhash64("label", F.least("blk", "o"), F.greatest("blk", "o")).alias("key"), "fp", "mult", "blk", (F.col("blk") != F.col("o")).alias("cross"), "text")
     # A key's two blocks carry cross for both: a row of block b meets block o's rows in the key of the pair.

@@ -427,6 +427,16 @@ def test_jaccard_join_matches_brute_force(spark, odd):
     assert as_counter(jaccard.joined(frame(spark, rows))) == joined_py(rows)
 
 
+def test_jaccard_join_with_null_ids(spark):
+    """Exact and near copies without ids, beside copies with ids and among themselves."""
+    vocab = [f"w{i}" for i in range(500)]
+    a, b = prose(100, 31, vocab), prose(100, 32, vocab)
+    texts = [(None, a), (7, a), (8, a + " more"), (None, a + " other"), (3, a + " other words"), (None, b), (None, b), (None, b + " more"), (None, b + " other")]
+    rows = [(i, t, "en", "a") for i, t in texts] + near_rows(3, 5, 6)
+    got = as_counter(jaccard.joined(frame(spark, rows)))
+    assert got == joined_py(rows) and got[(7, 3, 4)] == 1
+
+
 def test_jaccard_join_in_many_blocks(spark, monkeypatch):
     """Nodes, blocks and clusters that are too large take the way over deeper nodes and pairs of blocks."""
     for name, v in (("NODE", 8), ("BLOCK_SETS", 7), ("BLOCK_SHINGLES", 900), ("BROADCAST_ROWS", 0)):
