@@ -31,7 +31,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.count_tokens(documents(spark, sf_dir), model_path("piece_bpe_32k.model"))
+    return tokencount.count_tokens(documents(spark, sf_dir), model_path("piece_bpe_32k.model"), max_chars=None)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ a failure link and the precomputed number of pieces popped on the way, so each c
 once and each failure is paid for by a piece.
 
 Words are runs of word characters, and every other visible character by itself. A word that the vocabulary can't
-cover, or longer than max_chars, counts as one unknown piece. Null and empty texts have 0 pieces; repeated rows give
+cover counts as one unknown piece, and so does one longer than max_chars (the library's default is 100; the registered
+query has no limit). Null and empty texts have 0 pieces; repeated rows give
 repeated results; other columns are not looked at.
 """
 
@@ -25,12 +26,14 @@ _WORDS = re.compile(r"\w+|[^\w\s]")
 MAX_CHARS = 100
 #: Words whose count a worker remembers; when so many are known it begins anew.
 MEMO = 1 << 18
+#: Longer words aren't remembered: the memo stays small.
+MEMO_CHARS = 100
 
 
 class PieceCounter:
     """initial: pieces that begin a word; following: pieces that continue one."""
 
-    def __init__(self, initial: set[str], following: set[str], max_chars: int = MAX_CHARS):
+    def __init__(self, initial: set[str], following: set[str], max_chars: int | None = MAX_CHARS):
         self.max_chars = max_chars
         child: list[dict[str, int]] = [{}, {}]
         token = [False, False]
@@ -66,7 +69,7 @@ class PieceCounter:
     def count(self, word: str) -> int:
         """Pieces of one word; -1 if the vocabulary can't cover it."""
         child, fail, pops = self.child, self.fail, self.pops
-        if len(word) > self.max_chars:
+        if self.max_chars is not None and len(word) > self.max_chars:
             return -1
         u = n = 0
         for c in word:
@@ -87,7 +90,7 @@ class PieceCounter:
 
 
 @lru_cache(2)
-def counter_from(model_path: str, max_chars: int = MAX_CHARS) -> PieceCounter:
+def counter_from(model_path: str, max_chars: int | None = MAX_CHARS) -> PieceCounter:
     """Pieces of a sentencepiece file as word pieces: those with the word mark begin words, the others continue them."""
     import sentencepiece
 
@@ -106,7 +109,9 @@ def count_text(counter: PieceCounter, memo: dict[str, int], text: str | None) ->
     for w in words:
         n = get(w)
         if n is None:
-            n = memo[w] = count(w)
+            n = count(w)
+            if len(w) <= MEMO_CHARS:
+                memo[w] = n
         if n < 0:
             unknown += 1
         else:
@@ -114,8 +119,8 @@ def count_text(counter: PieceCounter, memo: dict[str, int], text: str | None) ->
     return len(words), total + unknown, unknown
 
 
-def count_tokens(docs: DataFrame, model_path: str, max_chars: int = MAX_CHARS) -> DataFrame:
-    """doc_id, n_words, n_tokens, n_unknown for each document."""
+def count_tokens(docs: DataFrame, model_path: str, max_chars: int | None = MAX_CHARS) -> DataFrame:
+    """doc_id, n_words, n_tokens, n_unknown for each document; max_chars None: words of any length are counted."""
 
     def setup():
         counter, memo = counter_from(model_path, max_chars), {}

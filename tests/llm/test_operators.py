@@ -141,6 +141,26 @@ def test_piece_counts_match_library(spark, odd):
         assert (got[i].n_words, got[i].n_tokens) == (len(words), sum(want[w] for w in words)), i
 
 
+def test_long_words_are_counted(spark, tmp_path):
+    from tokenizers import Tokenizer, models
+
+    import sentencepiece
+    from seqgraph.llm import queries
+
+    r = random.Random(8)
+    long = ["a" * 50_000, "".join(r.choice("abcdefghij0123456789") for _ in range(600)), "日本" * 200, "b" * 101]
+    frame(spark, [(i, f"see {w}, {w}", "en", "a") for i, w in enumerate(long)]).write.parquet(f"{tmp_path}/documents.parquet")
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ps = [sp.id_to_piece(i) for i in range(259, sp.get_piece_size())]
+    vocab = {("##" + p if not p.startswith("▁") else p[1:]): i for i, p in enumerate(ps) if p.strip("▁")} | {"[UNK]": 99_999}
+    tok = Tokenizer(models.WordPiece(vocab, unk_token="[UNK]", max_input_chars_per_word=1000))
+    got = {x.doc_id: x for x in queries.op2_token_counts(spark, str(tmp_path)).collect()}
+    for i, w in list(enumerate(long))[1:]:  # the library takes too long for the first
+        n = [len(tok.encode(x, add_special_tokens=False).ids) for x in ("see", w, ",")]
+        assert (got[i].n_words, got[i].n_tokens) == (4, n[0] + 2 * n[1] + n[2])
+    assert got[0].n_tokens > 1000
+
+
 # ------------------------------------------------------------------ 3
 
 
