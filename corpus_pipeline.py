@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqgraph.llm import jaccard, mixing, pieces, secrets, toxicity
-from seqgraph.llm.common import shared_dir
+from seqgraph.llm.common import shared_dir, written
 from seqgraph.llm.queries import model_path, table
 
 
@@ -32,9 +33,25 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.in_order(docs)
 
 
+def position(docs: DataFrame) -> Column:
+    """A number that rises along the rows as they were written: number of the task, of its file, and row in the file.
+
+    Spark packs splits of files by size when it reads them, so the order of reading isn't that of writing. Rows that
+    come from no file have the order of their partitions.
+    """
+    if not docs.inputFiles():
+        return F.monotonically_increasing_id()
+    name = F.col("_metadata.file_name")
+    task, file = (F.coalesce(F.regexp_extract(name, p, 1).try_cast("long"), F.lit(0)) for p in (r"^part-(\d+)", r"-c(\d+)\."))
+    return F.shiftleft(task, 42) + F.shiftleft(file, 32) + F.col("_metadata.row_index")
+
+
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, checked by decoding."""
-    return pieces.encode_documents(docs, model_path("piece_bpe_32k.model"), keep=("source",))
+    """Piece ids of each document, checked by decoding, in the order in which docs were written; position rises along it."""
+    placed = docs.withColumn("position", position(docs))
+    got = written(pieces.encode_documents(placed, model_path("piece_bpe_32k.model"), keep=("source", "position")), "encoded")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return got.repartitionByRange(n, "position").sortWithinPartitions("position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -659,6 +659,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == docs.count()
 
 
+def test_pipeline_rows_come_in_the_order_of_the_mix(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, prose(30 if i % 50 else 8000, i, [f"w{k}" for k in range(900)]), "en", "hot" if i % 3 else f"s{i % 5}") for i in range(400)]
+    d = f"{tmp_path}/sf"
+    frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{d}/labels.parquet")
+    got = corpus_pipeline.run(spark, d).collect()
+    want = sorted(mixing.mixed(frame(spark, rows).select("doc_id", "source")).collect(), key=lambda r: (r.mix_slot, r.mix_place))
+    assert max(len(t) for _, t, _, _ in rows) >= pieces.CHUNK
+    assert [r.doc_id for r in got] == [r.doc_id for r in want]
+    assert all(a.position < b.position for a, b in zip(got, got[1:]))
+
+
 def test_registered_queries():
     import __spark_entry__ as e
 
