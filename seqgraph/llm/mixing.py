@@ -1,11 +1,11 @@
 """Mixing sources to target weights by proportionate-fair (Pfair) scheduling.
 
 Every source's documents, in the order of a hash of their id, are cut into blocks. Block j of a source of weight w is
-released at slot floor((j-1)/w) and due by slot ceil(j/w); earliest-deadline-first over a period of slots gives each
-block its slot, so that after any number of slots each source is less than one block from its share, as long as it has
-documents. Weights are whole slots of a period, so the schedule repeats; only one period is built, and its size is
-bounded by the number of sources. A source that runs out gives its slots up and the others go on: no document is
-dropped or repeated.
+released at slot floor((j-1)/w) and due by slot ceil(j/w); earliest-deadline-first over all slots gives each block its
+slot, so that after any number of slots each source is less than one block from its share, as long as it has documents.
+Weights are exact fractions of the targets: nothing is rounded and nothing repeats. One task works the slots out, block
+after block, and writes them as it goes; it holds one block of each source. A source that runs out gives its slots up
+and the others go on: no document is dropped or repeated, and slots that no block is released for stay empty.
 
 A null source is a source of its own. Repeated rows keep a row each; ties in the hash go by id, then by a row's place
 within its group. Null ids sort first. An empty table gives an empty result. Other columns ride along untouched.
@@ -14,18 +14,24 @@ within its group. Null ids sort first. An empty table gives an empty result. Oth
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 BLOCK, PERIOD, TEMPERATURE = 16, 1000, 2.0
 MAX_SOURCES = 100_000
 
 
 def whole_slots(weights: dict, period: int) -> dict:
-    """Weights as whole numbers of slots that sum up to the period (largest remainder), at least one each."""
+    """Weights as whole numbers of slots that sum up to the period (largest remainder), at least one each: for a plan that repeats (see schedule)."""
     total = sum(weights.values())
     period = max(period, 4 * len(weights))
     exact = {s: Fraction(w).limit_denominator(10**9) / Fraction(total).limit_denominator(10**9) * period for s, w in weights.items()}
@@ -40,29 +46,49 @@ def whole_slots(weights: dict, period: int) -> dict:
     return slots
 
 
-def schedule(slots: dict) -> list:
-    """The source of every slot of one period, by earliest deadline first among released blocks.
+def slots_of(weights: dict, blocks: dict) -> Iterator[tuple]:
+    """(source, block from 0, slot) of all blocks, in the order of slots, by earliest deadline first among released blocks.
 
-    With weight w = n / period, block j has release floor((j-1)/w) and deadline ceil(j/w). Ties in the deadline go to
-    the block whose window overlaps the next one of its source, then to the later group deadline's stand-in, the
-    heavier weight, then by name.
+    With weight w, block j (from 1) has release floor((j-1)/w) and deadline ceil(j/w), in whole numbers throughout. Ties
+    in the deadline go to the block whose window overlaps the next one of its source, then to the heavier weight, then
+    by name.
     """
-    period = sum(slots.values())
-    waiting: list[list] = [[] for _ in range(period + 1)]
-    for s, n in slots.items():
-        for j in range(1, n + 1):
-            overlap = 0 if (j * period) % n else 1
-            waiting[(j - 1) * period // n].append((-(-j * period // n), overlap, -n, str(s), j, s))
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if min(exact.values(), default=1) <= 0:
+        raise ValueError("weights must be above 0")
+    scale = math.lcm(*[x.denominator for x in exact.values()])
+    heavy = {s: int(x * scale) for s, x in exact.items()}
+    total = sum(heavy.values())
+
+    def block(s, j: int) -> tuple:
+        due, rest = divmod(j * total, heavy[s])
+        return (j - 1) * total // heavy[s], due + (rest > 0), 1 if rest else 0
+
+    waiting: list = []
+    for s, n in blocks.items():
+        if n:
+            heapq.heappush(waiting, (0, str(s), s is None, 1, s))
     ready: list = []
-    out = []
-    for t in range(period):
-        for x in waiting[t]:
-            heapq.heappush(ready, x)
-        due, *_, s = heapq.heappop(ready)
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            _, name, none, j, s = heapq.heappop(waiting)
+            _, due, overlap = block(s, j)
+            heapq.heappush(ready, (due, -overlap, -heavy[s], name, none, j, s))
+        due, _, _, name, none, j, s = heapq.heappop(ready)
         if due <= t:
             raise ValueError("a block misses its deadline")
-        out.append(s)
-    return out
+        yield s, j - 1, t
+        t += 1
+        if j < blocks[s]:
+            heapq.heappush(waiting, (block(s, j + 1)[0], name, none, j + 1, s))
+
+
+def schedule(slots: dict) -> list:
+    """The source of every slot of a period in which each source has its weight's number of slots."""
+    return [s for s, _, _ in slots_of(slots, slots)]
 
 
 def tempered(counts: dict, temperature: float = TEMPERATURE) -> dict:
@@ -70,7 +96,7 @@ def tempered(counts: dict, temperature: float = TEMPERATURE) -> dict:
     return {s: max(1, n) ** (1 / temperature) for s, n in counts.items()}
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
     """docs with mix_block (from 1, within the source), mix_slot (from 0) and mix_place (within the block, from 0).
 
     A document's rank in its source is its rank in a bucket of hashes plus the documents in lower buckets; buckets are
@@ -84,13 +110,8 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, peri
         return docs.select(*own, *[F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_place")])
     given = weights or tempered(counts)
     rest = min(given.values())
-    slots = whole_slots({s: given.get(s, rest) for s in counts}, period)
-    plan = schedule(slots)
-    seen: dict = dict.fromkeys(slots, 0)
-    rows = []
-    for t, s in enumerate(plan):
-        rows.append((s, seen[s], t))
-        seen[s] += 1
+    targets = {s: given.get(s, rest) for s in counts}
+    blocks = {s: -(-n // block) for s, n in counts.items()}
     spark = docs.sparkSession
     buckets = 1 << max(0, (max(counts.values()) // 4096).bit_length())
 
@@ -99,14 +120,25 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, peri
     keyed = keyed.withColumn("b", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
     sizes = keyed.groupBy(F.col("s").alias("s2"), F.col("b").alias("b2")).agg(F.count("*").alias("c"))
     before = F.sum("c").over(W.partitionBy("s2").orderBy("b2").rowsBetween(W.unboundedPreceding, -1))
-    below = sizes.select("s2", "b2", F.coalesce(before, F.lit(0)).alias("below"))
+    below = sizes.select("s2", "b2", F.coalesce(before, F.lit(0)).alias("below"), "c")
+
+    def plan(batches):
+        schema = pa.schema([("s4", pa.string()), ("j", pa.int64()), ("t", pa.int64())])
+        for batch in batches:
+            found = slots_of(targets, blocks) if batch.num_rows else iter(())
+            while rows := list(islice(found, 8192)):
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+
+    slot = written(spark.range(0, 1, 1, 1).mapInArrow(plan, "s4 string, j long, t long"), "slots")
+    # Each bucket gets the slots of its own blocks, so documents are dealt out no more than for their ranks.
+    spans = below.withColumn("j2", F.explode(F.expr(f"sequence(below div {block}, (below + c - 1) div {block})")))
+    spans = spans.join(slot, F.col("s2").eqNullSafe(F.col("s4")) & (F.col("j2") == F.col("j")))
+    spans = spans.groupBy("s2", "b2", "below").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy("s", "b").orderBy("h", "i")) - 1)
-    ranked = ranked.join(below, F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2"))).withColumn("r", F.col("r") + F.col("below"))
-    per_source = spark.createDataFrame(list(slots.items()), "s3 string, n long")  # MAX_SOURCES rows at most
-    placed = ranked.join(F.broadcast(per_source), F.col("s").eqNullSafe(F.col("s3"))).withColumn("block0", F.expr(f"r div {block}"))
-    slot = F.broadcast(spark.createDataFrame(rows, "s4 string, j long, t long"))  # a row for each slot of a period: 4 x MAX_SOURCES at most
-    done = placed.withColumn("k", F.pmod("block0", "n")).join(slot, F.col("s").eqNullSafe(F.col("s4")) & (F.col("k") == F.col("j")))
-    return done.select("doc.*", (F.col("block0") + 1).alias("mix_block"), (F.expr("block0 div n") * len(plan) + F.col("t")).alias("mix_slot"), F.pmod("r", F.lit(block)).cast("long").alias("mix_place"))
+    placed = ranked.join(spans, F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2"))).withColumn("r", F.col("r") + F.col("below"))
+    block0 = F.expr(f"r div {block}")
+    at = F.expr(f"ts[cast(r div {block} - below div {block} as int)]")
+    return placed.select("doc.*", (block0 + 1).alias("mix_block"), at.alias("mix_slot"), F.pmod("r", F.lit(block)).cast("long").alias("mix_place"))
 
 
 def in_order(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -349,6 +350,25 @@ def test_mix_is_whole_and_on_target(spark):
     assert ordered.columns == docs.columns and ordered.count() == 3000
 
 
+def test_slots_follow_the_exact_targets():
+    """The deviation from the targets themselves stays below a block however long the schedule is."""
+    weights = mixing.tempered({None: 5_000_000} | {f"s{i}": 500_000 + i for i in range(19)} | {"rare": 7})
+    blocks = {s: int(40_000 * w / sum(weights.values())) + 1 for s, w in weights.items()}
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    seen = Counter()
+    for n, (s, j, t) in enumerate(mixing.slots_of(weights, blocks)):
+        assert seen[s] == j
+        seen[s] += 1
+        if any(seen[x] == blocks[x] for x in ("rare", None, "s0")):
+            break
+        if n % 97 == 0:
+            assert t == n and all(abs(seen[x] - (t + 1) * w / total) < 1 for x, w in exact.items())
+    assert n > 20_000
+    rare = [t for s, _, t in mixing.slots_of({"a": 9999, "b": 1}, {"a": 99_990, "b": 10}) if s == "b"]
+    assert [t // 10_000 for t in rare] == list(range(10))
+
+
 def test_mix_odd_inputs(odd, none):
     got = mixing.mixed(odd).collect()
     assert len(got) == len(odd_rows()) and len({(r.mix_slot, r.mix_place) for r in got}) == len(got)
