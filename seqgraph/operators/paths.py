@@ -10,21 +10,34 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own where it is unset."""
+    """The shared folder that the cluster names; on a local master one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="seqgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """df written to the shared folder and read again; survives lost executors."""
-    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes what cut_lineage wrote for frames that nothing reads any more; only folders within the shared one."""
+    for df in frames:
+        spark = df.sparkSession
+        shared = checkpoint_dir(spark)
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.split(":", 1)[-1].lstrip("/").startswith(shared.split(":", 1)[-1].lstrip("/") + "/"):
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _double(rows: DataFrame) -> DataFrame:
     """Runs (id, p, d, done, mn) until no more rows come to an end: p moves towards the head, d counts steps, mn is the least id passed."""
     rows = cut_lineage(rows)
@@ -32,7 +45,8 @@ def _double(rows: DataFrame) -> DataFrame:
     while left:
         a, b = rows.where("NOT done"), rows.select(F.col("id").alias("p"), F.col("p").alias("p2"), F.col("d").alias("d2"), F.col("done").alias("done2"), F.col("mn").alias("mn2"))
         step = a.join(b, "p").select("id", F.col("p2").alias("p"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done"), F.least("mn", "mn2").alias("mn"))
-        rows = cut_lineage(step.unionByName(rows.where("done")))
+        old, rows = rows, cut_lineage(step.unionByName(rows.where("done")))
+        discard(old)
         now = rows.where("NOT done").count()
         if now == left:
             break
@@ -53,10 +67,13 @@ def chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
     rings = rows.where("NOT done")
     if rings.isEmpty():
         return linear
+    old = None
     while True:  # every further doubling sees twice as much of a ring
         b = rings.select(F.col("id").alias("p"), F.col("p").alias("p2"), F.col("mn").alias("mn2"))
         nxt = cut_lineage(rings.join(b, "p").select("id", F.col("p2").alias("p"), F.lit(0).cast("long").alias("d"), F.lit(False).alias("done"), F.least("mn", "mn2").alias("mn"), (F.col("mn2") < F.col("mn")).alias("moved")))
-        rings = nxt.drop("moved")
+        if old is not None:
+            discard(old)
+        rings = old = nxt.drop("moved")
         if nxt.where("moved").isEmpty():
             break
     ring = rings.select("id", "mn").join(links.select(F.col("b").alias("id"), F.col("a").alias("prev")), "id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import colex, rc
 from .graph import simple_links
-from .paths import chains, cut_lineage
+from .paths import chains, cut_lineage, discard
 
 COLUMNS = ["uid", "seq", "length", "total_depth", "is_loop", "is_palindrome", "is_changed"]
 
@@ -97,7 +97,8 @@ def refresh(unitigs: DataFrame, k: int, removed: DataFrame | None = None, mark_c
     outs, ins = every.groupBy(F.col("end").alias("node")).agg(F.count("*").alias("i")), every.groupBy(F.col("start").alias("node")).agg(F.count("*").alias("o"))
     through = outs.join(ins, "node").where("i = 1 AND o = 1").select("node")
     links = o.select(F.col("oid").alias("a"), F.col("end").alias("node")).join(through, "node").join(o.select(F.col("oid").alias("b"), F.col("start").alias("node")), "node").select("a", "b")
-    placed = chains(o.select(F.col("oid").alias("id")), cut_lineage(links)).join(o.withColumnRenamed("oid", "id"), "id").join(unitigs.select("uid", "is_changed"), "uid")
+    chained = chains(o.select(F.col("oid").alias("id")), cut_lineage(links))
+    placed = chained.join(o.withColumnRenamed("oid", "id"), "id").join(unitigs.select("uid", "is_changed"), "uid")
     g = placed.groupBy("head", "is_loop").agg(
         F.sort_array(F.collect_list(F.struct("rank", F.col("oseq").alias("s"), "uid"))).alias("path"), F.sum("length").alias("length"), F.sum("total_depth").alias("total_depth"), F.count("*").alias("n"), F.max("is_changed").alias("changed"),
     )
@@ -111,4 +112,6 @@ def refresh(unitigs: DataFrame, k: int, removed: DataFrame | None = None, mark_c
         F.col("k0").alias("uid"), "seq", "length", "total_depth", "is_loop", (~F.col("is_loop") & (F.col("seq") == F.col("r"))).alias("is_palindrome"),
         (F.col("changed") | (F.lit(mark_changed) & (F.col("n") > 1))).alias("is_changed"),
     )
-    return cut_lineage(merged.unionByName(unitigs.where("is_loop OR is_palindrome").select(COLUMNS)))
+    done = cut_lineage(merged.unionByName(unitigs.where("is_loop OR is_palindrome").select(COLUMNS)))
+    discard(chained, o, unitigs)
+    return done
