@@ -2,56 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-#: Rows in one Arrow batch handed to Python; texts may be long, so batches are small.
-BATCH_ROWS = 256
+from ..operators.paths import cut_lineage, discard
+from ..operators.paths import checkpoint_dir as shared_dir
+from ..sources.tables import spread
 
+__all__ = ["discard", "map_batches", "minhash", "mix", "shared_dir", "shingles", "slices", "spread", "universal", "word_hashes", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="seqgraph-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Rows that Python code looks at together; texts may be long, so Arrow batches (64 MiB by Spark's default) are cut.
+BATCH_ROWS = 256
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut_lineage(df, name)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over as many tasks as there are cores, if it has fewer: a table of one row group is read by one task otherwise."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into pieces of a few rows; empty ones left out."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, setup: Callable | None = None) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict] | None, schema: str | StructType, setup: Callable | None = None) -> DataFrame:
     """mapInArrow over small batches. fn (or what setup() returns on the executor) maps a batch to columns by name."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = setup() if setup else fn
-        for b in batches:
-            if b.num_rows:
-                got = f(b)
-                yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) for x in out], schema=out)
+        for b in slices(batches):
+            got = f(b)
+            yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) for x in out], schema=out)
 
     return df.mapInArrow(run, schema)
 

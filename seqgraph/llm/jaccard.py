@@ -20,14 +20,14 @@ An empty table gives an empty result. Other columns are not looked at. Sets are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, map_batches, minhash, mix, shingles, universal, written
+from .common import discard, map_batches, minhash, mix, shingles, slices, universal, written
 
 THRESHOLD, SHINGLE, PLACES, SEED = 0.8, 5, 64, 8
 #: Chance that a pair at the threshold meets in some run.
@@ -42,6 +42,8 @@ GAIN = 1.0
 LOOSE = 37 / 64
 #: A table of so many keys may be broadcast (16 bytes each).
 BROADCAST_ROWS = 100_000
+#: Words of 64 bits, and bits set for a key, of the Bloom filter that texts pass before they are shuffled: its only size.
+SIEVE, SIEVE_BITS = 1 << 18, 3
 
 
 def runs_for(recall: float, threshold: float) -> int:
@@ -107,11 +109,9 @@ def parts(n: int, alike) -> list[list[int]]:
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Rows sorted by key, as tables that end where a key ends: about BATCH_ROWS rows or one group."""
+    """Rows sorted by key, as tables that end where a key ends: a slice's rows or one group."""
     held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in slices(batches):
         k = b.column(key)
         if held and k[0].as_py() == k[b.num_rows - 1].as_py() == held[-1].column(key)[held[-1].num_rows - 1].as_py():
             held.append(b)
@@ -135,9 +135,12 @@ def bounds(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cut[:-1].tolist(), cut[1:].tolist()))
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """A row per row of docs: doc_id, hash of the text, hash of the shingle set (null: empty), its size and MinHash vector."""
-    u = universal(PLACES, SEED)
+def signed(docs: DataFrame, permutations: int = PLACES, seed: int = SEED, kind: str = "<u4") -> DataFrame:
+    """A row per row of docs: doc_id, hash of the text, hash of the shingle set (null: empty), its size and MinHash vector.
+
+    kind: numpy type of the vector's values, whose upper bits go if it's narrower than 32.
+    """
+    u = universal(permutations, seed)
 
     def rows(b: pa.RecordBatch) -> dict:
         out: dict = {"fp": [], "size": [], "sig": []}
@@ -147,7 +150,7 @@ def signed(docs: DataFrame) -> DataFrame:
             sums = mix(np.array([np.bitwise_xor.reduce(mix(s)) + np.uint64(n)])) if n else None
             out["fp"].append(int(sums.view(np.int64)[0]) if n else None)
             out["size"].append(n)
-            out["sig"].append(minhash(s, *u).astype("<u4").tobytes() if n else None)
+            out["sig"].append(minhash(s, *u).astype(kind).tobytes() if n else None)
         return out | {"doc_id": b.column("doc_id"), "th": b.column("th")}
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")), rows, "doc_id long, th long, fp long, size int, sig binary")
@@ -218,15 +221,20 @@ def node_groups(sets: DataFrame, runs: int, node: int) -> DataFrame:
 
 
 def loose_edges(sets: DataFrame, runs: int, node: int = NODE) -> DataFrame:
-    """(a, b): a spanning forest of the candidates met in each node."""
-    rows = node_groups(sets, runs, node).repartition("key").sortWithinPartitions("key", "fp")
+    """(a, b): a spanning forest of the candidates met in each node of the chosen paths."""
+    return spanning(node_groups(sets, runs, node))
+
+
+def spanning(groups: DataFrame, kind: type = np.uint8) -> DataFrame:
+    """(a, b): a spanning forest of what looks alike within each key of (key, fp, small); small: vectors of `kind`."""
+    rows = groups.repartition("key").sortWithinPartitions("key", "fp")
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         least = LOOSE * PLACES
         for t in grouped(batches, "key"):
             keys, fp = t.column("key").to_numpy(), t.column("fp").to_numpy()
-            small = np.frombuffer(b"".join(t.column("small").to_pylist()), np.uint8).reshape(len(fp), PLACES)
+            small = np.frombuffer(b"".join(t.column("small").to_pylist()), kind).reshape(len(fp), PLACES)
             a: list[int] = []
             b: list[int] = []
             for lo, hi in bounds(keys):
@@ -258,11 +266,40 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("l"))
         jump = labels.select(F.col("v").alias("l"), F.col("label").alias("far"))
         nxt = written(step.join(jump, "l", "left").select("v", "old", F.least("l", "far").alias("label")), "labels")
+        discard(labels)
         labels = nxt.select("v", "label")
         if nxt.where("label != old").isEmpty():
+            discard(e)
             return labels
 
 
+def row_key(doc_id: str, th: str) -> Column:
+    """One key of an id, which may be null, and the hash of a text."""
+    return F.xxhash64(F.col(doc_id).isNull(), doc_id, th)
+
+
+def _probe(key: Column) -> tuple[Column, Column]:
+    """A key's word of the sieve and its bits there."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 20 + 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+    bits = bit(0)
+    for i in range(1, SIEVE_BITS):
+        bits = bits.bitwiseOR(bit(i))
+    return key.bitwiseAND(F.lit(SIEVE - 1)), bits
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """(word, bits): a blocked Bloom filter of the column key. SIEVE rows at most, however many keys there are."""
+    word, bits = _probe(F.col("key"))
+    return keys.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def sieved(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows (column key) without most of those whose key isn't among keys: what is left is worth a shuffle. A full sieve lets all pass."""
+    word, bits = _probe(F.col("key"))
+    got = rows.join(F.broadcast(sieve(keys)).withColumnsRenamed({"word": "sieve_word", "bits": "sieve_bits"}), word == F.col("sieve_word"))  # SIEVE rows at most
+    return got.where(F.col("sieve_bits").bitwiseAND(bits) == bits).drop("sieve_word", "sieve_bits")
+
+
 def exact_links(groups: DataFrame, threshold: float) -> DataFrame:
     """From (key, fp, mult, blk, cross, text) rows dealt out and sorted by key: (fp, links, root).
 
@@ -329,20 +366,22 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """A row per row of docs: doc_id, th (hash of the text), class_id, n_links."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    t = written(signed(docs), "signed")
+    return linked(docs, signed(docs), lambda sets: loose_edges(sets, runs_for(recall, threshold)), threshold)
+
+
+def linked(docs: DataFrame, signatures: DataFrame, edges: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """A row per row of docs: doc_id, th, class_id, n_links, from `signed` rows and a way to find loose edges among sets (fp, sig)."""
+    t = written(signatures, "signed")
     sets = t.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("mult"), F.min("doc_id").alias("first_id"), F.min("size").alias("size"), F.min_by(F.struct("sig", "th", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("x"))
-    sets = written(sets.select("fp", "mult", "first_id", "size", "x.sig", "x.th", F.col("x.doc_id").alias("at_id")), "sets")
-    loose = components(loose_edges(sets, runs_for(recall, threshold)))
+    sets = written(sets.select("fp", "mult", "first_id", "size", "x.sig", "x.th", F.col("x.doc_id").alias("at_id")).withColumn("key", row_key("at_id", "th")).drop("at_id", "th"), "sets")
+    loose = components(edges(sets.select("fp", "sig")))
     member = written(loose.withColumnRenamed("v", "fp").join(sets.drop("sig"), "fp"), "members")
     total = member.groupBy("label").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    member = member.join(total.select("label", blocks.alias("nb")), "label").withColumn("blk", F.pmod(F.hash("fp"), F.col("nb")))
-    text = docs.select(F.col("doc_id").cast("long").alias("d"), "text", F.xxhash64("text").alias("dh"))
+    dealt = member.join(total.select("label", blocks.alias("nb")), "label").withColumn("blk", F.pmod(F.hash("fp"), F.col("nb")))
+    text = docs.select(F.col("doc_id").cast("long").alias("d"), "text", F.xxhash64("text").alias("dh")).select(row_key("d", "dh").alias("key"), "text")
     # Members grow with the corpus, so their side is never broadcast: one plan at every size.
-    # A set with null ids only is found by a null id and its text.
-    rows = text.join(member.select("at_id", "th", "fp", "mult", "label", "nb", "blk").hint("merge"), F.col("d").eqNullSafe(F.col("at_id")) & (F.col("dh") == F.col("th")))
+    rows = sieved(text, member.select("key")).join(dealt.select("key", "fp", "mult", "label", "nb", "blk").hint("merge"), "key")
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select(F.xxhash64("label", F.least("blk", "o"), F.greatest("blk", "o")).alias("key"), "fp", "mult", "blk", (F.col("blk") != F.col("o")).alias("cross"), "text")
     # A key's two blocks carry cross for both: a row of block b meets block o's rows in the key of the pair.
@@ -362,7 +401,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Rows with a null id stay unless they have copies with an id.
     """
-    drop = joined(docs, threshold).where(F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    drop = drop.select(F.col("doc_id").alias("_dup_id"), F.col("th").alias("_dup_th")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_dup_id")) & F.xxhash64("text").eqNullSafe(F.col("_dup_th"))
-    return docs.join(drop, same, "left_anti").dropDuplicates([c for c in ("doc_id", "text") if c in docs.columns])
+    drop = joined(docs, threshold).where(F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(row_key("doc_id", "th").alias("key")).distinct()
+    # The document is one column meanwhile, so its columns may have any names; one key for both steps, so one shuffle.
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("dh")).select("doc", row_key("d", "dh").alias("key"))
+    return keyed.join(drop, "key", "left_anti").dropDuplicates(["key"]).select("doc.*")

@@ -5,17 +5,21 @@ itself and each two neighbours encode to just those two, so encoding is a best-p
 piece) whose arcs weigh 0 where two neighbours go together and minus infinity where they don't. In the max-plus
 semiring on {0, -inf} a row of a transfer matrix is a bit mask, and the path is the only one of finite weight.
 
-Short documents are one chunk with one boundary state. A giant one is split into chunks of CHUNK code points wherever
-that falls; every chunk yields a transfer matrix from the states at its left edge to those at its right edge, the
-matrices are combined associatively, and each chunk is backtraced by itself between the states found for its edges.
+Short documents are one chunk with one boundary state. A giant one is cut into chunks of CHUNK code points wherever that
+falls, a row each, dealt out over all tasks; every chunk yields a transfer matrix from the states at its left edge to
+those at its right edge. Neighbouring matrices are combined, RADIX at a time, in rounds of rows, up to the matrix of the
+whole text. Its entries are the text's two ends; from there the states at the edges within are worked out level by
+level, each group from its own two ends. Then every chunk is backtraced by itself between the states found for its edges.
 
 Null and empty texts have no pieces. Characters outside the vocabulary become bytes. decode(encode(text)) is the text
 unless it holds the word mark itself. Repeated rows give repeated results, ties can't arise as the path is unique;
-other columns ride along where a query keeps them.
+other columns ride along where a query keeps them, whatever their names. An empty table gives an empty result. A very
+long text is many rows until its ids are gathered into its own one.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,10 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import map_batches
+from .common import map_batches, written
 
-CHUNK = 1 << 15
+#: Code points of a chunk, and matrices or ranges that are combined at a time.
+CHUNK, RADIX = 1 << 15, 16
 MEMO = 600_000
 MARK = "▁"
 #: A boundary state: characters from the cut to the edge, and the last piece before the cut.
@@ -245,11 +251,15 @@ class Pieces:
         return self.encode_units(self.escaped(text or ""))
 
     def decode(self, ids) -> str:
+        text = self.spelled(ids)
+        return text[1:] if text.startswith(" ") else text
+
+    def spelled(self, ids) -> str:
+        """The text of some pieces, wherever they stand."""
         ids = np.asarray(ids, np.int64)
         n = self.raw_start[ids + 1] - self.raw_start[ids]
         ends = np.cumsum(n)
-        text = self.raw_flat[np.repeat(self.raw_start[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes().decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.raw_flat[np.repeat(self.raw_start[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes().decode("utf-8", "replace")
 
     # Chunks: s is a chunk with up to 2 x longest characters of left context, edge the place where the chunk begins.
 
@@ -339,11 +349,15 @@ Matrix = dict[State, dict[State, int]]
 def combine(x: Matrix, y: Matrix) -> Matrix:
     """Max-plus product: the best weight from a state before x to one after y. Associative."""
     out: Matrix = {}
+    seen: dict[frozenset, dict[State, int]] = {}  # rows of x are often alike
     for a, row in x.items():
-        best: dict[State, int] = {}
-        for b, w in row.items():
-            for c, v in y.get(b, {}).items():
-                best[c] = max(best.get(c, w + v), w + v)
+        key = frozenset(row.items())
+        best = seen.get(key)
+        if best is None:
+            best = seen[key] = {}
+            for b, w in row.items():
+                for c, v in y.get(b, {}).items():
+                    best[c] = max(best.get(c, w + v), w + v)
         if best:
             out[a] = best
     return out
@@ -356,19 +370,39 @@ def tree(mats: list[Matrix]) -> Matrix:
     return mats[0]
 
 
-def edges(mats: list[Matrix]) -> list[State]:
-    """The states at all edges on the path of finite weight, from (0, "") to a cut at the very end."""
-    after: list[set[State]] = [{(0, "")}]
+def ends(whole: Matrix) -> tuple[State, State]:
+    """The states before and after a whole text on its path: nothing, and a cut at the very end."""
+    at = next((x for x in sorted(whole.get((0, ""), {})) if x[0] == 0), None)
+    if at is None:
+        raise ValueError("no path through a text")
+    return (0, ""), at
+
+
+def between(mats: list[Matrix], entry: State, leave: State) -> list[State]:
+    """The states at all edges of neighbouring matrices on the path of finite weight from entry to leave."""
+    after: list[set[State]] = [{entry}]
     for m in mats:
         after.append({c for a in after[-1] for c in m.get(a, {})})
-    at = next(x for x in sorted(after[-1]) if x[0] == 0)
-    out = [at]
+    if leave not in after[-1]:
+        raise ValueError("no path between two states")
+    out = [leave]
     for k in range(len(mats) - 1, -1, -1):
-        at = next(a for a in sorted(after[k]) if at in mats[k].get(a, {}))
-        out.append(at)
+        out.append(next(a for a in sorted(after[k]) if out[-1] in mats[k].get(a, {})))
     return out[::-1]
 
 
+def to_text(m: Matrix) -> str:
+    """A matrix as JSON: [entries, exits with weights] of rows that are alike."""
+    alike: dict[tuple, list[State]] = {}
+    for a, row in m.items():
+        alike.setdefault(tuple(sorted(row.items())), []).append(a)
+    return json.dumps([[list(x), [[b, q, w] for (b, q), w in row]] for row, x in alike.items()])
+
+
+def from_text(s: str) -> Matrix:
+    return {(a, p): {(b, q): w for b, q, w in row} for x, row in json.loads(s) for a, p in x}
+
+
 @lru_cache(2)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -381,92 +415,140 @@ def cut_up(s: str, chunk: int, longest: int) -> Iterator[tuple[int, str, int]]:
         yield k, s[low : at + chunk], at - low
 
 
-def encode_chunked(pc: Pieces, text: str, chunk: int) -> list[int]:
-    """The scan in one process: the same steps as encode_documents takes for a giant text."""
+def encode_chunked(pc: Pieces, text: str, chunk: int, radix: int = RADIX) -> list[int]:
+    """The scan in one process: the same steps as encode_giants takes."""
     parts = list(cut_up(pc.escaped(text), chunk, pc.longest))
     if not parts:
         return []
-    mats = [pc.transfer(s, e) for _, s, e in parts]
-    assert any(x[0] == 0 for x in tree(mats)[(0, "")])
-    on = edges(mats)
+    levels = [[pc.transfer(s, e) for _, s, e in parts]]
+    while len(levels[-1]) > 1:
+        levels.append([tree(levels[-1][i : i + radix]) for i in range(0, len(levels[-1]), radix)])
+    on = list(ends(levels[-1][0]))
+    for mats in reversed(levels[:-1]):
+        found = [between(mats[i * radix : (i + 1) * radix], *on[i : i + 2]) for i in range(len(on) - 1)]
+        on = [s for x in found for s in x[:-1]] + [found[-1][-1]]
     return [x for (_, s, e), a, b in zip(parts, on, on[1:]) for x in pc.backtrace(s, e, a, b)]
 
 
-def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of keep, n_tokens, ids, ids_crc32 and round_trip (decodes to the text) of each document."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in keep], F.coalesce("text", F.lit("")).alias("text"))
-    kept = [base.schema[c] for c in ("doc_id", *keep)]
-    kept_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    tail = "n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean"
-
-    def results(pc: Pieces, ids: np.ndarray, cuts: np.ndarray, texts: list[str]) -> dict:
-        parts = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        return {
-            "n_tokens": np.diff(cuts), "ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())),
-            "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in parts], "round_trip": [pc.decode(x) == t for x, t in zip(parts, texts)],
-        }
+def chunks_of(texts: DataFrame, path: str, chunk: int) -> DataFrame:
+    """(sha, k, s, edge): the chunks of (sha, text), with their left context, dealt out by number and not by text."""
 
-    def short_setup():
+    def setup():
         pc = pieces(path)
 
         def rows(b: pa.RecordBatch) -> dict:
-            texts = b.column("text").to_pylist()
-            ids, cuts = pc.encode_many([pc.escaped(t) for t in texts])
-            return {f.name: b.column(f.name) for f in kept} | results(pc, ids, cuts, texts)
+            out: dict = {"sha": [], "k": [], "s": [], "edge": []}
+            for sha, t in zip(b.column("sha").to_pylist(), b.column("text").to_pylist()):
+                for k, s, e in cut_up(pc.escaped(t), chunk, pc.longest):
+                    for c, v in (("sha", sha), ("k", k), ("s", s), ("edge", e)):
+                        out[c].append(v)
+            return out
 
         return rows
 
-    short = map_batches(base.where(F.length("text") < chunk), None, f"{kept_ddl}, {tail}", short_setup)
-    giant = base.where(F.length("text") >= chunk).withColumn("sha", F.sha2("text", 256))
+    cut = map_batches(texts, None, "sha string, k int, s string, edge int", setup)
+    n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.sparkSession.sparkContext.defaultParallelism)
+    return written(cut.repartition(n, "sha", "k"), "chunks")
 
-    def matrices_setup():
+
+def groups_of(level: DataFrame, radix: int) -> DataFrame:
+    """(sha, g, ms): up to radix neighbouring matrices of a level in a row, in order."""
+    g = level.groupBy("sha", F.expr(f"k div {radix}").cast("int").alias("g")).agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("x"))
+    return g.select("sha", "g", F.col("x.m").alias("ms"))
+
+
+def boundary_states(chunks: DataFrame, path: str, radix: int = RADIX) -> DataFrame:
+    """(sha, k, a, p, b, q): the states (a, p) and (b, q) at the edges of every chunk, by a tree of products up and down again."""
+
+    def matrices():
+        pc = pieces(path)
+        return lambda b: {"sha": b.column("sha"), "k": b.column("k"), "m": [to_text(pc.transfer(s, e)) for s, e in zip(b.column("s").to_pylist(), b.column("edge").to_pylist())]}
+
+    def product(b: pa.RecordBatch) -> dict:
+        return {"sha": b.column("sha"), "k": b.column("g"), "m": [to_text(tree([from_text(m) for m in ms])) for ms in b.column("ms").to_pylist()]}
+
+    def top(b: pa.RecordBatch) -> dict:
+        found = [ends(from_text(m)) for m in b.column("m").to_pylist()]
+        return {"sha": b.column("sha"), "k": b.column("k")} | {c: [x[i][j] for x in found] for c, i, j in (("a", 0, 0), ("p", 0, 1), ("b", 1, 0), ("q", 1, 1))}
+
+    def inner(b: pa.RecordBatch) -> dict:
+        out: dict = {c: [] for c in ("sha", "k", "a", "p", "b", "q")}
+        for x in b.to_pylist():
+            on = between([from_text(m) for m in x["ms"]], (x["a"], x["p"]), (x["b"], x["q"]))
+            for i, (s, t) in enumerate(zip(on, on[1:])):
+                for c, v in zip(out, (x["sha"], x["g"] * radix + i, *s, *t)):
+                    out[c].append(v)
+        return out
+
+    states = "sha string, k int, a int, p string, b int, q string"
+    levels = [written(map_batches(chunks, None, "sha string, k int, m string", matrices), "matrices")]
+    n = (levels[0].agg(F.max("k")).first()[0] or 0) + 1
+    while n > 1:
+        levels.append(written(map_batches(groups_of(levels[-1], radix), product, "sha string, k int, m string"), "products"))
+        n = -(-n // radix)
+    at = written(map_batches(levels.pop(), top, states), "states")
+    while levels:
+        both = groups_of(levels.pop(), radix).join(at.withColumnRenamed("k", "g"), ["sha", "g"])
+        at = written(map_batches(both, inner, states), "states")
+    return at
+
+
+def encode_giants(texts: DataFrame, path: str, chunk: int = CHUNK, radix: int = RADIX) -> DataFrame:
+    """(sha, ids, ok) of (sha, text): ok if every chunk's pieces decode to the characters between its cuts."""
+    chunks = chunks_of(texts, path, chunk)
+    states = boundary_states(chunks, path, radix)
+
+    def trace():
         pc = pieces(path)
 
         def rows(b: pa.RecordBatch) -> dict:
-            out: dict = {"sha": [], "k": [], "m": []}
-            for sha, t in zip(b.column("sha").to_pylist(), b.column("text").to_pylist()):
-                for k, s, e in cut_up(pc.escaped(t), chunk, pc.longest):
-                    out["sha"].append(sha)
-                    out["k"].append(k)
-                    out["m"].append([{"a": x[0], "p": x[1], "b": y[0], "q": y[1]} for x, row in pc.transfer(s, e).items() for y in row])
+            out: dict = {"sha": b.column("sha"), "k": b.column("k"), "ids": [], "ok": []}
+            for x in b.to_pylist():
+                s, e = x["s"], x["edge"]
+                ids = pc.backtrace(s, e, (x["a"], x["p"]), (x["b"], x["q"]))
+                out["ids"].append(ids)
+                out["ok"].append(pc.spelled(ids) == s[e - x["a"] : len(s) - x["b"]].replace(MARK, " "))
             return out
 
         return rows
 
-    import pandas as pd
+    traced = written(map_batches(chunks.join(states, ["sha", "k"]), None, "sha string, k int, ids array<int>, ok boolean", trace), "traced")
+    whole = traced.groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("x"), F.bool_and("ok").alias("ok"))  # a text's ids: its own result
+    return whole.select("sha", F.flatten("x.ids").alias("ids"), "ok")
 
-    mats = map_batches(giant.dropDuplicates(["sha"]).select("sha", "text"), None, "sha string, k int, m array<struct<a:int,p:string,b:int,q:string>>", matrices_setup)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ms = []
-        for m in pdf.sort_values("k")["m"]:
-            mat: Matrix = {}
-            for x in m:
-                mat.setdefault((x["a"], x["p"]), {})[(x["b"], x["q"])] = 0
-            ms.append(mat)
-        if not any(x[0] == 0 for x in tree(ms).get((0, ""), {})):
-            raise ValueError("no path through a text")
-        on = edges(ms)
-        return pd.DataFrame({"sha": [pdf["sha"].iloc[0]], "backs": [[x[0] for x in on]], "lasts": [[x[1] for x in on]]})
-
-    states = mats.groupBy("sha").applyInPandas(solve, "sha string, backs array<int>, lasts array<string>")  # a group: one text's chunks
+def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of keep, n_tokens, ids, ids_crc32 and round_trip (decodes to the text) of each document."""
+    given = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in keep])  # one column meanwhile, so they may have any names
+    base = docs.select(given.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    row = base.schema["row"].dataType
 
-    def trace_setup():
+    def short_setup():
         pc = pieces(path)
 
         def rows(b: pa.RecordBatch) -> dict:
-            got = []
-            for t, backs, lasts in zip(*(b.column(c).to_pylist() for c in ("text", "backs", "lasts"))):
-                ids: list[int] = []
-                for k, s, e in cut_up(pc.escaped(t), chunk, pc.longest):
-                    ids += pc.backtrace(s, e, (backs[k], lasts[k]), (backs[k + 1], lasts[k + 1]))
-                got.append(np.array(ids, np.int32))
-            cuts = np.cumsum([0, *map(len, got)])
-            return {f.name: b.column(f.name) for f in kept} | results(pc, np.concatenate(got), cuts, b.column("text").to_pylist())
+            texts = b.column("text").to_pylist()
+            ids, cuts = pc.encode_many([pc.escaped(t) for t in texts])
+            parts = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            return {
+                "row": b.column("row"), "n_tokens": np.diff(cuts), "ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())),
+                "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in parts], "round_trip": [pc.decode(x) == t for x, t in zip(parts, texts)],
+            }
 
         return rows
 
-    return short.unionByName(map_batches(giant.join(states, "sha"), None, f"{kept_ddl}, {tail}", trace_setup))
+    def digest(b: pa.RecordBatch) -> dict:
+        ids = b.column("ids")
+        crc = [zlib.crc32(ids[i].values.to_numpy().astype("<u4").tobytes()) for i in range(len(ids))]
+        return {c: b.column(c) for c in ("sha", "ids", "ok")} | {"ids_crc32": crc}
+
+    short = map_batches(base.where(F.length("text") < chunk), None, StructType([StructField("row", row), *StructType.fromDDL("n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")]), short_setup)
+    giant = base.where(F.length("text") >= chunk).withColumn("sha", F.sha2("text", 256))
+    found = map_batches(encode_giants(giant.dropDuplicates(["sha"]).select("sha", "text"), path, chunk), digest, "sha string, ids array<int>, ok boolean, ids_crc32 long")
+    # A text with a word mark of its own decodes to a space there.
+    giant = giant.select("row", "sha", (F.instr("text", MARK) == 0).alias("plain")).join(found, "sha")
+    giant = giant.select("row", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_crc32", (F.col("ok") & F.col("plain")).alias("round_trip"))
+    return short.unionByName(giant).select("row.*", "n_tokens", "ids", "ids_crc32", "round_trip")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -61,7 +61,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprint.with_classes(documents(spark, sf_dir))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,5 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     def clean(t: pa.Array) -> pa.Array:
         return pa.array([redacted(x) for x in t.to_pylist()], pa.string())
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns) if "n_chars" in docs.columns else out

@@ -217,7 +217,6 @@ class Reader:
 def write(docs: DataFrame, path: str, out: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """Encodes and writes docs under the folder `out`; one row for each file: part, file, n_docs, n_ids."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = dealt.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -234,7 +233,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int, partitions: int | N
         fs.create_dir(folder, recursive=True)
         with fs.open_output_stream(temp) as f:
             w, end = Writer(f), np.array([end_id], np.uint32)
-            for b in batches:
+            for b in slices(batches):
                 for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
                     w.add(d, np.concatenate([ids, end]))
                     n_docs, n_ids = n_docs + 1, n_ids + len(ids) + 1

@@ -188,5 +188,4 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     def clean(t: pa.Array) -> pa.Array:
         return pa.array([bool(model.at_least(x)[0] < 0.5) for x in t.to_pylist()], pa.bool_())
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return docs.where(clean("text"))

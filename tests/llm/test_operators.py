@@ -317,6 +317,43 @@ def test_piece_documents(spark, odd, none, pc):
     assert all(back[i] == (t or "") for i, t, _, _ in odd_rows())
 
 
+def test_tree_decides_the_states(pc, monkeypatch):
+    t = "".join(texts(40, 3))
+    ids = pc.encode(t)
+    assert pieces.encode_chunked(pc, t, 20, 3) == ids
+    # A product that loses a state of its last matrix: the path's own is among them.
+    monkeypatch.setattr(pieces, "combine", lambda x, y, f=pieces.combine: {a: {b: w for b, w in row.items() if b[0]} for a, row in f(x, y).items()})
+    with pytest.raises(ValueError):
+        pieces.encode_chunked(pc, t, 20, 3)
+
+
+def test_matrix_text_round_trip(pc):
+    s = pc.escaped("some text of a few words == 00 é😀")
+    for _, x, e in pieces.cut_up(s, 9, pc.longest):
+        m = pc.transfer(x, e)
+        assert pieces.from_text(pieces.to_text(m)) == m
+
+
+def test_chunks_of_one_giant_are_tasks_of_their_own(spark, pc):
+    t = prose(30_000, 8)
+    chunks = pieces.chunks_of(spark.createDataFrame([("x", t)], "sha string, text string"), PIECES, 4096)
+    n = -(-(len(t) + 1) // 4096)
+    assert chunks.count() == n
+    by_task = [r.n for r in pieces.chunks_of(spark.createDataFrame([("x", t)], "sha string, text string"), PIECES, 4096).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(by_task) == 4 and max(by_task) < n  # four partitions in this session
+    got = pieces.encode_giants(spark.createDataFrame([("x", t)], "sha string, text string"), PIECES, 4096, radix=2).collect()
+    assert [(r.sha, r.ids, r.ok) for r in got] == [("x", pc.encode(t), True)]
+
+
+def test_giant_with_a_mark_and_clashing_columns(spark, pc):
+    long = "".join(texts(60, 4)) + " é😀"
+    df = spark.createDataFrame([(1, long, "a", 1), (2, long, "b", 2), (2, long, "b", 2), (3, None, "c", 3)], "doc_id long, text string, sha string, ids int")
+    got = sorted(pieces.encode_documents(df.withColumnRenamed("ids", "row"), PIECES, chunk=100, keep=("sha", "row")).collect(), key=lambda r: (r.doc_id, r.row))
+    assert [(r.doc_id, r.sha, r.row) for r in got] == [(1, "a", 1), (2, "b", 2), (2, "b", 2), (3, "c", 3)]
+    assert got[0].ids == got[1].ids == pc.encode(long) and got[3].ids == []
+    assert [r.round_trip for r in got] == [pc.decode(pc.encode(long)) == long] * 3 + [True]
+
+
 # ------------------------------------------------------------------ 6
 
 
@@ -519,6 +556,13 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_one_of_each_with_clashing_columns(spark):
+    t = prose(60, 3)
+    df = spark.createDataFrame([(1, t, "x", 1), (2, t, "y", 2), (1, t, "x", 1), (3, "other words", "z", 3)], "doc_id long, text string, key string, d int").withColumnRenamed("d", "_dup_id")
+    got = sorted((r.doc_id, r.key, r._dup_id) for r in jaccard.one_of_each(df).collect())
+    assert got == [(1, "x", 1), (3, "z", 3)]
+
+
 def test_one_of_each(spark, none):
     rows = odd_rows() + near_rows(10, 6, 4)
     want = {c for _, c, _ in joined_py(rows)}
@@ -576,13 +620,48 @@ def test_minhash_estimates_jaccard():
         assert abs((common.minhash(s, *u) == common.minhash(t, *u)).mean() - true) < 0.08
 
 
-def test_near_pairs_are_verified(spark):
-    rows = near_rows(25, 5, 9)
-    sets = {i: set(common.shingles(t).tolist()) for i, t, _, _ in rows}
-    got = fingerprint.near_pairs(frame(spark, rows)).collect()
-    assert got
-    for r in got:
-        assert abs(r.jaccard - len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b])) < 1e-12 and r.jaccard >= 0.8
+def test_band_join_matches_brute_force(spark, odd, none):
+    """Classes and exact numbers of links; a pair at the threshold is missed with a chance of 0.0002."""
+    rows = odd_rows() + near_rows(40, 12, 1) + [(None, odd_rows()[3][1] + " more", "en", "a"), (None, None, "en", "a")]
+    assert as_counter(fingerprint.near_classes(frame(spark, rows))) == joined_py(rows)
+    assert fingerprint.near_classes(none).count() == 0
+    want = joined_py(rows)
+    got = fingerprint.with_classes(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == want
+    plain = {(r.doc_id, r.fingerprint, r.edited_sha256) for r in fingerprint.fingerprints(frame(spark, rows)).collect()}
+    assert plain == {(r.doc_id, r.fingerprint, r.edited_sha256) for r in got}
+
+
+def test_band_join_in_blocks(spark, monkeypatch):
+    for name, v in (("NODE", 8), ("BLOCK_SETS", 7), ("BLOCK_SHINGLES", 900)):
+        monkeypatch.setattr(jaccard, name, v)
+    rows = near_rows(3, 60, 2)
+    assert as_counter(fingerprint.near_classes(frame(spark, rows))) == joined_py(rows)
+
+
+def test_band_recall_against_brute_force():
+    """Links that share a band, of all links of at least the threshold."""
+    rows = near_rows(150, 8, 9)
+    sets = [common.shingles(t) for _, t, _, _ in rows]
+    sig = [fingerprint.signature(t).astype("<u2").reshape(fingerprint.BANDS, -1) for _, t, _, _ in rows]
+    met = links = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                links += 1
+                met += bool((sig[i] == sig[j]).all(axis=1).any()) and float((sig[i] == sig[j]).mean()) >= jaccard.LOOSE
+    assert links > 500 and met >= 0.98 * links
+
+
+def test_sieve_loses_nothing(spark):
+    keys = spark.range(0, 3000).select(F.xxhash64("id").alias("key"))
+    rows = spark.range(0, 200_000).select("id", F.xxhash64("id").alias("key"))
+    left = [r.id for r in jaccard.sieved(rows, keys).collect()]
+    assert set(range(3000)) <= set(left) and len(left) < 10_000
+    assert jaccard.sieved(rows, keys.limit(0)).count() == 0
+    full = spark.range(0, jaccard.SIEVE).select(F.col("id").alias("word"), F.lit(-1).cast("long").alias("bits"))
+    assert jaccard.sieve(rows.unionByName(rows)).count() <= jaccard.SIEVE and full.count() == jaccard.SIEVE
 
 
 def test_shingles_in_slices(monkeypatch):
