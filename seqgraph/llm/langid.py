@@ -2,11 +2,17 @@
 
 One bit-sliced Bloom filter holds, at each place, a bit for every language: a look-up of a character n-gram takes the
 AND of a few places and gives all languages that contain it. Per-language popcounts over a text's n-grams, corrected
-for each filter's false positives, decide.
+for each filter's false positives, decide; a n-gram counts the less, the more languages contain it. A language contains
+what at least one in a hundred of its sampled documents has; no n-gram is taken from it because another has it, too.
+
+There may be any number of languages (a mask takes as many words as they need); one document is enough to learn one.
+The driver holds the filter: a row for each language and n-gram that it contains, of which a sample has 100 times the
+distinct n-grams of its mean document at most.
 
 Texts are lower-cased, everything but letters becomes one space. A null text or one without a letter is `und` with
 score 0. Ties go to the language with more training documents, then by name. Repeated rows give repeated results;
-other columns are not looked at. Without training rows every text is `und`.
+other columns are not looked at. Without training rows every text is `und`; an empty table gives an empty result. Very
+long texts are looked up whole, a slice at a time.
 """
 
 from __future__ import annotations
@@ -19,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix
+from .common import map_batches, mix, written
 
 ORDERS = (2, 3, 4)
 #: Expected number of training documents for each language, by a hash of the id.
 FIT_ROWS = 2000
-#: Most n-grams kept for a language and most languages: 64 bits of a mask.
-FIT_GRAMS, FIT_LANGS = 20_000, 64
+#: A language contains an n-gram if this share of its sampled documents has it.
+FIT_SHARE = 0.01
 _SLICE = 1 << 20
+_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
 @lru_cache(1)
@@ -63,9 +70,14 @@ def grams(cp: np.ndarray, starts: int | None = None) -> np.ndarray:
     return np.concatenate([grams_of(cp if starts is None else cp[: starts + n - 1], n) for n in ORDERS])
 
 
+def weights_of(n: int) -> np.ndarray:
+    """Weight of an n-gram by the number of languages (0 to n) that contain it: they share a vote. In none counts as in one."""
+    return 1 / np.maximum(1, np.arange(n + 1))
+
+
 @dataclass
 class LanguageFilters:
-    """langs in order of their bits; masks: the sliced filter; rate: false positives of each language."""
+    """langs in order of their bits; masks: the sliced filter, a row of mask words for a place; rate: false positives of each language."""
 
     langs: list[str]
     masks: np.ndarray
@@ -76,12 +88,12 @@ class LanguageFilters:
     def build(cls, by_lang: dict[str, np.ndarray], order: list[str], hashes: int = 2) -> LanguageFilters:
         most = max([1, *map(len, by_lang.values())])
         bits = max(10, int(np.ceil(np.log2(most * hashes * 8))))
-        kind = np.uint8 if len(order) <= 8 else np.uint64
-        masks = np.zeros(1 << bits, kind)
+        kind, width = (np.uint8, 8) if len(order) <= 8 else (np.uint64, 64)
+        masks = np.zeros((1 << bits, max(1, -(-len(order) // width))), kind)
         for i, lang in enumerate(order):
             for place in cls._places(by_lang[lang], bits, hashes):
-                np.bitwise_or.at(masks, place, kind(1 << i))
-        rate = np.array([float(((masks >> kind(i)) & kind(1)).mean()) ** hashes for i in range(len(order))])
+                masks[place, i // width] |= kind(1 << i % width)  # the same bit for all, so repeated places do no harm
+        rate = np.array([float(((masks[:, i // width] >> kind(i % width)) & kind(1)).mean()) ** hashes for i in range(len(order))])
         return cls(order, masks, rate, hashes)
 
     @staticmethod
@@ -90,7 +102,7 @@ class LanguageFilters:
         return [((g >> np.uint64(64 - bits * (j + 1))) & np.uint64((1 << bits) - 1)).astype(np.int64) for j in range(hashes)]
 
     def look_up(self, g: np.ndarray) -> np.ndarray:
-        """For each n-gram, a mask of the languages that contain it."""
+        """For each n-gram, the mask words of the languages that contain it."""
         bits = len(self.masks).bit_length() - 1
         places = self._places(g, bits, self.hashes)
         out = self.masks[places[0]]
@@ -98,23 +110,29 @@ class LanguageFilters:
             out = out & self.masks[p]
         return out
 
+    def tally(self, found: np.ndarray) -> np.ndarray:
+        """Look-ups by language (the last row: all) and popcount of their mask."""
+        n = len(self.langs)
+        if self.masks.dtype == np.uint8:
+            by_mask = np.bincount(found[:, 0], minlength=256)
+            pop = _BITS.sum(axis=1).clip(0, n)
+            return np.stack([np.bincount(pop[x], by_mask[x], n + 1) for x in (*(_BITS[:, i] == 1 for i in range(n)), slice(None))]).astype(np.int64)
+        pop = np.bitwise_count(found).sum(axis=1, dtype=np.int64).clip(0, n)
+        has = (((found[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(bool) for i in range(n))
+        return np.stack([np.bincount(pop[x], minlength=n + 1) for x in (*has, slice(None))])
+
     def predict(self, text: str | None) -> tuple[str, float]:
         cp = letters(text)
         if not len(cp) or not self.langs:
             return "und", 0.0
-        n, hits = 0, np.zeros(len(self.langs))
+        counts: np.ndarray | int = 0
         step = max(ORDERS) - 1
         for at in range(0, max(1, len(cp) - step), _SLICE):  # n-grams that begin in a slice; the last slice has the short ends
             last = at + _SLICE >= len(cp) - step
             part = cp[at:] if last else cp[at : at + _SLICE + step]
-            g = grams(part, None if last else _SLICE)
-            found = self.look_up(g)
-            n += len(g)
-            if self.masks.dtype == np.uint8:
-                by_mask = np.bincount(found, minlength=256)
-                hits += [by_mask[(np.arange(256) >> i) & 1 == 1].sum() for i in range(len(self.langs))]
-            else:
-                hits += [int(((found >> np.uint64(i)) & np.uint64(1)).sum()) for i in range(len(self.langs))]
+            counts = counts + self.tally(self.look_up(grams(part, None if last else _SLICE)))
+        weight = counts @ weights_of(len(self.langs))
+        hits, n = weight[:-1], weight[-1]
         true = np.clip((hits - self.rate * n) / (1 - self.rate + 1e-12), 0, None)
         best = int(np.argmax(true))
         return self.langs[best], float(true[best] / true.sum()) if true.sum() > 0 else 1 / len(self.langs)
@@ -126,15 +144,18 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilters:
-    """Learns the filters from a bounded sample of the documents outside the held-out quarter that have a lang."""
+    """Learns the filters from a bounded sample of the documents outside the held-out quarter that have a lang.
+
+    About `rows` documents a language, by a hash of the id; all of a language that has fewer.
+    """
     known = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS).collect()
-    order = [r.lang for r in top]
+    counts = known.groupBy("lang").count()
+    order = [r.lang for r in counts.orderBy(F.desc("count"), "lang").select("lang").collect()]  # a row for each language
     if not order:
-        return LanguageFilters([], np.zeros(1, np.uint8), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for r in top for x in (r.lang, min(1.0, rows / r["count"]))])
+        return LanguageFilters([], np.zeros((1, 1), np.uint8), np.zeros(0))
     hashed = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.length("text")), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.where(hashed < share[F.col("lang")])
+    share = F.broadcast(counts.select(F.col("lang").alias("of"), (F.lit(float(rows)) / F.col("count")).alias("share")))  # a row for each language
+    sample = known.join(share, F.col("lang") == F.col("of")).where(hashed < F.col("share")).select("lang", "text")
 
     def counted(b: pa.RecordBatch) -> dict:
         out: dict = {"lang": [], "g": [], "df": []}
@@ -143,27 +164,16 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilters:
             by.setdefault(lang, []).append(np.unique(grams(letters(t))))
         for lang, all_grams in by.items():
             g, n = np.unique(np.concatenate(all_grams), return_counts=True)
-            out["lang"] += [lang] * len(g)
-            out["g"] += g.view(np.int64).tolist()
-            out["df"] += n.tolist()
+            for c, v in (("lang", [lang] * (len(g) + 1)), ("g", [None, *g.view(np.int64).tolist()]), ("df", [len(all_grams), *n.tolist()])):
+                out[c] += v
         return out
 
-    df = map_batches(sample, counted, "lang string, g long, df long").groupBy("lang", "g").agg(F.sum("df").alias("df"))
-    docs_in = {r.lang: min(rows, r["count"]) for r in top}
-    least = F.create_map(*[F.lit(x) for k, v in docs_in.items() for x in (k, max(2.0, 0.01 * v))])
-    from pyspark.sql import Window as W
-
-    kept = df.where(F.col("df") >= least[F.col("lang")])  # few: each is in a hundredth of a bounded sample
-    kept = kept.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("df"), "g"))).where(F.col("r") <= FIT_GRAMS)
-    by_lang: dict[str, dict[int, float]] = {x: {} for x in order}
-    for r in kept.collect():  # FIT_LANGS x FIT_GRAMS at most
-        by_lang[r.lang][r.g] = r.df / docs_in[r.lang]
-    best: dict[int, float] = {}
-    for found in by_lang.values():
-        for g, v in found.items():
-            best[g] = max(best.get(g, 0.0), v)
-    final = {x: np.array(sorted(g for g, v in found.items() if v >= 0.5 * best[g]), np.int64).view(np.uint64) for x, found in by_lang.items()}
-    return LanguageFilters.build(final, order)
+    df = written(map_batches(sample, counted, "lang string, g long, df long").groupBy("lang", "g").agg(F.sum("df").alias("df")), "grams")
+    total = F.broadcast(df.where("g IS NULL").select(F.col("lang").alias("of"), F.col("df").alias("all")))  # a row for each language
+    kept = df.where("g IS NOT NULL").join(total, F.col("lang") == F.col("of")).where(F.col("df") >= F.lit(FIT_SHARE) * F.col("all")).select("lang", "g")
+    found = kept.toArrow()
+    lang, g = np.asarray(found.column("lang").to_pylist(), object), found.column("g").to_numpy().view(np.uint64)
+    return LanguageFilters.build({x: np.sort(g[lang == x]) for x in order}, order)
 
 
 def predict(docs: DataFrame, filters: LanguageFilters) -> DataFrame:

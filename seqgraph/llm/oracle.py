@@ -8,7 +8,7 @@ _TERM = "CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
 _JS = _TERM.format(x="p", p="p", q="q") + " + " + _TERM.format(x="q", p="p", q="q")
 
 QUALITY = rf"""
-WITH d AS (SELECT doc_id, coalesce(lang, '*') AS lang, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS t FROM documents),
 w AS (
   SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS words,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines,
@@ -34,6 +34,6 @@ base AS (
   SELECT c.doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(t) - cls[2] AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, n < 20 OR 100 * coalesce(n_repeat, 0) > 30 * n AS base_failed
   FROM c LEFT JOIN rep USING (doc_id))
-SELECT base.*, NOT base_failed AND coalesce(char_distance, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} AS kept
+SELECT base.*, NOT base_failed AND coalesce(char_distance, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} AS kept, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
 FROM base LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id)
 """

@@ -40,7 +40,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(documents(spark, sf_dir)).drop("char_distance", "word_distance")
+    return quality.judged(documents(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,11 +184,54 @@ def test_filters_have_no_false_negatives():
     sets = {x: r.integers(0, 1 << 63, 3000, dtype=np.uint64) for x in ("a", "b", "c")}
     f = langid.LanguageFilters.build(sets, ["a", "b", "c"])
     for i, x in enumerate("abc"):
-        assert ((f.look_up(sets[x]) >> i) & 1).all()
-        other = f.look_up(r.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+        assert ((f.look_up(sets[x])[:, 0] >> i) & 1).all()
+        other = f.look_up(r.integers(0, 1 << 63, 20_000, dtype=np.uint64))[:, 0]
         assert abs(((other >> i) & 1).mean() - f.rate[i]) < 0.02
 
 
+def predict_py(text, sets, order):
+    """Languages that contain an n-gram share its vote; plain sets instead of filters. Also the margin of the best."""
+    t = re.sub(r"[^\W\d_]", lambda m: m[0].lower()[0], re.sub(r"[\W\d_]+", " ", f" {text or ''} "))
+    got = dict.fromkeys(order, 0.0)
+    for n in langid.ORDERS:
+        for i in range(len(t) - n + 1):
+            have = [x for x in order if t[i : i + n] in sets[x]]
+            for x in have:
+                got[x] += 1 / len(have)
+    best = sorted(got.values(), reverse=True)
+    return max(order, key=lambda x: got[x]), (best[0] - (best[1:] or [0])[0]) / max(1.0, sum(best)), t.strip() == ""
+
+
+@pytest.mark.parametrize("n_langs", [3, 70])
+def test_language_matches_plain_sets(spark, n_langs):
+    """More languages than a mask word has bits, each with one to three documents; every one of them can be predicted."""
+    r = random.Random(4)
+    vocab = {f"l{k}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäöüß") for _ in range(r.randint(2, 7))) for _ in range(60)] for k in range(n_langs)}
+    shared = [x[0] for x in vocab.values()]
+    rows = []
+    for lang, words in vocab.items():
+        free = [i for i in range(len(rows) * 10, len(rows) * 10 + 40) if zlib.crc32(str(i).encode()) % 4 != 2]
+        rows += [(free[j], " ".join(r.choice(words + shared) for _ in range(60)), lang, "a") for j in range(1 + len(rows) % 3)]
+    rows = list({x[0]: x for x in rows}.values())
+    order = sorted({x[2] for x in rows}, key=lambda x: (-sum(y[2] == x for y in rows), x))
+    sets = {x: set() for x in order}
+    for _, t, lang, _ in rows:
+        s = f" {t} "
+        sets[lang] |= {s[i : i + n] for n in langid.ORDERS for i in range(len(s) - n + 1)}
+    f = langid.fit(frame(spark, rows))
+    assert f.langs == order and f.masks.shape[1] == (1 if n_langs == 3 else 2)
+    tests = [(1000 + i, " ".join(r.choice(vocab[x]) for _ in range(30)) + ", 42!", None, "b") for i, x in enumerate(order)]
+    for row in langid.predict(frame(spark, tests), f).collect():
+        want, margin, empty = predict_py(tests[row.doc_id - 1000][1], sets, order)
+        assert not empty and (row.lang_pred == want or margin < 0.02)
+        assert row.lang_pred == order[row.doc_id - 1000]
+
+
+def test_language_ties_go_to_the_larger(spark):
+    f = langid.LanguageFilters.build({"b": langid.grams(langid.letters("same text")), "a": langid.grams(langid.letters("same text"))}, ["b", "a"])
+    assert f.predict("same text")[0] == "b"
+
+
 def test_language_slices_change_nothing(spark, monkeypatch):
     docs = frame(spark, lang_rows())
     f = langid.fit(docs)
@@ -238,21 +281,28 @@ def test_quality_base_and_verdict(spark, odd):
         rows.append((i, r.choice(["\n", " ", "\r\n", "\x0b"]).join(parts), r.choice(["en", None]), "a"))
     rows.append((99, " ".join("%&|<>"[j % 5] * (12 + j) for j in range(60)), "en", "a"))
     docs = frame(spark, rows)
-    refs = quality.references(docs)
+    refs = {r.lang: r.asDict() for r in quality.references(docs).collect()}
+    assert set(refs) == {"en", "fr", None}
+    for lang, ref in refs.items():  # the references by plain code
+        c = Counter(w for _, t, x, _ in rows if x == lang for w in re.findall(r"[^\x20\x09-\x0D]+", t or "") if len(w) <= quality.COMMON_CHARS)
+        top = sorted((w for w in c if c[w] >= sum(c.values()) * quality.COMMON_SHARE), key=lambda w: (-c[w], w))[: quality.COMMON_WORDS]
+        assert ref["ref_words"] == top and all(abs(x - c[w] / sum(c[v] for v in top)) < 1e-9 for w, x in zip(top, ref["word_shares"]))
+        whole = "".join(t or "" for _, t, x, _ in rows if x == lang)
+        assert abs(ref["chars"][0] - sum("a" <= x <= "z" for x in whole) / len(whole)) < 1e-9
     got = {}
-    for x in quality.judged(docs, refs).collect():
+    for x in quality.judged(docs).collect():
         got.setdefault(x.doc_id, []).append(x)
     for i, t, lang, _ in rows:
         x = got[i][0]
         want = base_py(t)
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == want, i
-        ref = refs.get(lang, refs[None])
+        ref = refs[lang]
         t = t or ""
         kinds = [sum(map(f, t)) for f in (lambda c: "a" <= c <= "z", lambda c: c in " \t\n\x0b\x0c\r", lambda c: "A" <= c <= "Z", lambda c: "0" <= c <= "9")]
         punct = sum(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in t)
         kinds += [punct, len(t) - sum(kinds) - punct]
         cd = js_py(kinds, ref["chars"]) if len(t) >= quality.MIN_CHARS else None
-        n = [t.split().count(w) for w in ref["words"]]
+        n = [t.split().count(w) for w in ref["ref_words"]]
         wd = js_py(n, ref["word_shares"]) if sum(n) >= quality.MIN_COMMON else None
         assert (x.char_distance is None) == (cd is None) and abs((x.char_distance or 0) - (cd or 0)) < 1e-9, i
         assert (x.word_distance is None) == (wd is None) and abs((x.word_distance or 0) - (wd or 0)) < 1e-9, i
@@ -264,6 +314,26 @@ def test_quality_empty(none):
     assert quality.judged(none).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1000, 0])
+def test_quality_matches_its_sql(spark, tmp_path, monkeypatch, broadcast):
+    """A third of the languages null, some of those texts in another script; by either plan."""
+    import duckdb
+
+    from seqgraph.llm import oracle, queries
+
+    monkeypatch.setattr(quality, "BROADCAST_LANGS", broadcast)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    none_of = F.col("doc_id") % 3 == 0
+    docs = docs.withColumn("lang", F.when(~none_of, F.col("lang"))).withColumn("text", F.when(none_of & (F.col("doc_id") % 2 == 0), F.upper("text")).otherwise(F.col("text")))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT doc_id, n_words, n_repeat_words, base_failed, kept, char_distance, word_distance FROM ({oracle.QUALITY})").fetchall()
+    key = lambda r: [-1 if x is None else x for x in r]
+    got = [tuple(r) for r in queries.op4_quality(spark, str(tmp_path)).select("doc_id", "n_words", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance").collect()]
+    assert sorted(got, key=key) == sorted(want, key=key) and len(got) == 200
+
+
 # ------------------------------------------------------------------ 5
 
 
