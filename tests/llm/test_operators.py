@@ -508,6 +508,84 @@ def test_lexer_passes_constants_on():
     assert secrets.lexed("It was late: the passphrase was a word. See https://x.org/token") == []
 
 
+A, B = "Zx81kq0Pw2mN", "qW3rTy77uIoP"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f'password_part = "{A}" + \\\n    "{B}"', [A, B]),
+        (f'auth_token = (\n    "{A}"  # first half\n    f"{B}"\n)', [A, B]),
+        (f'client_secret: str = """{A}"""', [A]),
+        (f'db_passphrase = VALUE\nVALUE = "{A}"', [A]),  # defined after its use
+        (f'x = "{A}"\ny = x\nx = "nothing here"\nprivate_token = y', [A]),
+        (f'x = "{A}"\nx = "{B}"\nprivate_token = x', [B]),  # the nearest definition
+        (f'# x = "{A}"\nprivate_token = x\nx = "{B}"', [B]),  # a comment defines nothing
+        (f'credentials:\n  value: {A}\nother:\n  value: {B}', [A]),
+        (f'{{"credentials": {{"value": "{A}"}}, "other": {{"value": "{B}"}}}}', [A]),
+        (f'signing_secret: |\n  {A}\n  {B}\nname: x', [A, B]),
+        (f"Authorization: Bearer {A}{B}", [A + B]),
+        (f'export BASE={A}\nexport ENCRYPTION_PASSWORD="${{BASE}}{B}"', [A, B]),
+        (f"settings['client_secret'] = '{A}'", [A]),
+        (f'config.dbPwd := `{A}`', [A]),
+        (f'private_token = loop\nloop = private_token\nname = "{A}"', []),
+        (f'title = "{A}"\nurl: https://example.org/{B}', []),
+        (f'access_token = os.environ["{A}"]', []),
+    ],
+)
+def test_lexer_reads_syntax(text, want):
+    assert [text[a:b] for a, b in secrets.lexed(text)] == want
+
+
+def test_lexer_matches_an_evaluator():
+    """Random programs of definitions in any order, evaluated from their structure and not from their text."""
+    r = random.Random(9)
+    for _ in range(400):
+        n = r.randint(1, 9)
+        names = [r.choice(["alpha", "beta", "gamma", "delta", "db_password", "clientSecret", "auth_token"]) for _ in range(n)]
+        program = []
+        for k in range(n):
+            parts = [r.choice([("lit", "".join(r.choice("abcXYZ019/+") for _ in range(r.randint(2, 14)))), ("name", r.choice(names))]) for _ in range(r.randint(1, 3))]
+            program.append((names[k], parts))
+        text, at = "", {}
+        for k, (name, parts) in enumerate(program):
+            text += name + r.choice([" = ", "=", ": "])
+            for i, (kind, v) in enumerate(parts):
+                text += r.choice([" + ", "+"]) if i else ""
+                quote = kind == "lit"
+                at[k, i] = (len(text) + quote, len(text) + quote + len(v))
+                text += f'"{v}"' if kind == "lit" else v
+            text += "\n"
+
+        def flat(k, seen, program=program):
+            out = []
+            for i, (kind, v) in enumerate(program[k][1]):
+                if kind == "lit":
+                    out.append((k, i))
+                    continue
+                before = [j for j in range(k) if program[j][0] == v]
+                after = [j for j in range(len(program)) if program[j][0] == v and j != k]
+                d = before[-1] if before else after[0] if after else None
+                if d is None and len(program[k][1]) == 1 and (v != program[k][0]):
+                    out.append((k, i))  # a bare word
+                if d is not None and d not in seen:
+                    seen.add(d)
+                    out += flat(d, seen)
+            return out
+
+        want = set()
+        for k in range(n):
+            spans = list(dict.fromkeys(at[x] for x in flat(k, {k})))
+            if spans and secrets.name_score(names[k]) * secrets.literal_score("".join(text[a:b] for a, b in spans)) >= 0.5:
+                want |= set(spans)
+        assert set(secrets.lexed(text)) == want, text
+
+
+def test_lexer_is_linear_in_odd_texts():
+    for t in ("a=" * 50_000, "key: " * 50_000, 'x = "' * 20_000, "a={" * 30_000, "password = (" * 20_000, "secret " * 100_000 + "= 1", "\n".join(f"a{i} = a{i - 1}" for i in range(20_000)) + "\nsecret = a19999"):
+        secrets.lexed(t)
+
+
 def test_secret_scan_odd_inputs(spark, odd, none):
     rows = [*odd_rows(), (50, 'é password = "hunter2hunter2" é', "en", "a")]
     for r in secrets.scan(frame(spark, rows)).collect():
