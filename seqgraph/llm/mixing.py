@@ -26,26 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK, PERIOD, TEMPERATURE = 16, 1000, 2.0
+BLOCK, TEMPERATURE = 16, 2.0
 MAX_SOURCES = 100_000
 
 
-def whole_slots(weights: dict, period: int) -> dict:
-    """Weights as whole numbers of slots that sum up to the period (largest remainder), at least one each: for a plan that repeats (see schedule)."""
-    total = sum(weights.values())
-    period = max(period, 4 * len(weights))
-    exact = {s: Fraction(w).limit_denominator(10**9) / Fraction(total).limit_denominator(10**9) * period for s, w in weights.items()}
-    slots = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))
-    at = 0
-    while sum(slots.values()) < period:
-        slots[order[at % len(order)]] += 1
-        at += 1
-    while sum(slots.values()) > period:
-        slots[max(slots, key=lambda s: (slots[s], str(s)))] -= 1
-    return slots
-
-
 def slots_of(weights: dict, blocks: dict) -> Iterator[tuple]:
     """(source, block from 0, slot) of all blocks, in the order of slots, by earliest deadline first among released blocks.
 
@@ -86,11 +70,6 @@ def slots_of(weights: dict, blocks: dict) -> Iterator[tuple]:
             heapq.heappush(waiting, (block(s, j + 1)[0], name, none, j + 1, s))
 
 
-def schedule(slots: dict) -> list:
-    """The source of every slot of a period in which each source has its weight's number of slots."""
-    return [s for s, _, _ in slots_of(slots, slots)]
-
-
 def tempered(counts: dict, temperature: float = TEMPERATURE) -> dict:
     """Default targets: document counts to the power 1 / temperature."""
     return {s: max(1, n) ** (1 / temperature) for s, n in counts.items()}
@@ -99,15 +78,29 @@ def tempered(counts: dict, temperature: float = TEMPERATURE) -> dict:
 def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
     """docs with mix_block (from 1, within the source), mix_slot (from 0) and mix_place (within the block, from 0).
 
-    A document's rank in its source is its rank in a bucket of hashes plus the documents in lower buckets; buckets are
-    so many that the largest source has a few thousand documents in each, so no task holds a source.
+    Columns of docs that have these names are replaced. A document's rank in its source is its rank in a bucket of hashes
+    plus the documents in lower buckets; buckets are so many that the largest source has a few thousand documents in
+    each, so no task holds a source.
     """
-    own = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_place")]
+    added = ("mix_block", "mix_slot", "mix_place")
+    own = [f"doc.`{c}`" for c in docs.columns if c not in added]
+    return _placed(docs, weights, block).select(*own, *[F.col(p).alias(c) for p, c in zip(("block", "slot", "place"), added)])
+
+
+def in_order(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
+    """All rows of docs, the same columns whatever their names, in the order of the mix: ranges of slots by task, sorted within."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _placed(docs, weights, block).repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select("doc.*")
+
+
+def _placed(docs: DataFrame, weights: dict | None, block: int) -> DataFrame:
+    """(doc, block, slot, place): a document is one column, so its own may have any names."""
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("block", "slot", "place")]
     counts = {r.s: r.n for r in docs.groupBy(F.col("source").cast("string").alias("s")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
     if not counts:
-        return docs.select(*own, *[F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_place")])
+        return docs.select(F.struct(*docs.columns).alias("doc"), *nothing)
     given = weights or tempered(counts)
     rest = min(given.values())
     targets = {s: given.get(s, rest) for s in counts}
@@ -115,8 +108,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> D
     spark = docs.sparkSession
     buckets = 1 << max(0, (max(counts.values()) // 4096).bit_length())
 
-    # The document is one column meanwhile, so its columns may have any names.
-    keyed = docs.select(F.struct(*own).alias("doc"), F.col("source").cast("string").alias("s"), F.col("doc_id").cast("long").alias("i"), F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).alias("h"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").cast("string").alias("s"), F.col("doc_id").cast("long").alias("i"), F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).alias("h"))
     keyed = keyed.withColumn("b", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
     sizes = keyed.groupBy(F.col("s").alias("s2"), F.col("b").alias("b2")).agg(F.count("*").alias("c"))
     before = F.sum("c").over(W.partitionBy("s2").orderBy("b2").rowsBetween(W.unboundedPreceding, -1))
@@ -136,13 +128,5 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> D
     spans = spans.groupBy("s2", "b2", "below").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy("s", "b").orderBy("h", "i")) - 1)
     placed = ranked.join(spans, F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2"))).withColumn("r", F.col("r") + F.col("below"))
-    block0 = F.expr(f"r div {block}")
     at = F.expr(f"ts[cast(r div {block} - below div {block} as int)]")
-    return placed.select("doc.*", (block0 + 1).alias("mix_block"), at.alias("mix_slot"), F.pmod("r", F.lit(block)).cast("long").alias("mix_place"))
-
-
-def in_order(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
-    """All rows of docs, the same columns, in the order of the mix: ranges of slots by task, sorted within."""
-    placed = mixed(docs, weights, block)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(n, "mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(docs.columns)
+    return placed.select("doc", (F.expr(f"r div {block}") + 1).alias("block"), at.alias("slot"), F.pmod("r", F.lit(block)).cast("long").alias("place"))

@@ -4,9 +4,14 @@ One weight vector is shared by all ordered thresholds: P(grade >= k) = sigmoid(w
 expected severity, sum over k of P(grade >= k); a document is toxic if P(grade >= 1) is at least one half.
 Features are the presence of a word and of a short word start, kept if they tell the grades apart.
 
+The labels at hand say toxic or not. Toxic documents are then graded 1 to 3 by terciles of their telling words, so that
+severity above 1 says how much of what makes a text toxic it has; labels with grades of their own are used as they are.
+Labels of the held-out quarter of the ids (crc32 of the id as text, modulo 4, is 2) are never read by the fit.
+
 Null and empty texts have no features and get the base rates. Labels with a null id or grade don't count, repeated
-labels count once with the highest grade; without labels everything has severity 0. Repeated rows and ties get equal
-results. Other columns are not looked at.
+labels count once with the highest grade, of several texts with one id the least counts; without labels, and in an empty
+table, everything there is has severity 0. Repeated rows and ties get equal results. Very long texts are scored whole.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -17,21 +22,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, minhash, shingles, universal, written
 
 #: Bound on labelled documents that the fit reads, for each of the two strata (grade 0, grade above 0).
 FIT_ROWS = 3000
-#: Bound on features of the fitted model.
+#: Bound on features of the fitted model: it's fitted on the driver from 2 x FIT_ROWS documents, with which more can't be told apart.
 FIT_FEATURES = 2000
+#: Documents of the sample count once if this share of their MinHash values agrees.
+NEAR, NEAR_VALUES, NEAR_BANDS = 0.5, 32, 16
 #: Lengths of word starts that are features: inflected and compound forms share them.
 STARTS = (4, 5)
 #: A feature is kept if its share among toxic documents is so many standard errors above that among clean ones.
-FIT_Z = 4.0
+FIT_Z = 5.0
 #: ... and if it's so many times as frequent among them: a word that only long documents have is not a sign.
-FIT_RATIO = 6.0
+FIT_RATIO = 8.0
 _WORD = re.compile(r"\w+")
 
 
@@ -116,14 +123,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalMode
 
     The sample is written once; the features that tell the grades apart are counted and chosen in Spark.
     """
-    lab = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").cast("int").alias("g")).dropna().groupBy("i").agg(F.max("g").alias("g"))
+    lab = labels.where(~held_out()).select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").cast("int").alias("g")).dropna().groupBy("i").agg(F.max("g").alias("g"))
     picked = [lab.where(cond).orderBy(F.xxhash64("i"), "i").limit(rows) for cond in (F.col("g") <= 0, F.col("g") > 0)]
     ids = picked[0].unionByName(picked[1]).collect()  # 2 x rows at most
     if not ids:
         return OrdinalModel()
     spark = docs.sparkSession
     small = F.broadcast(spark.createDataFrame([(r.i, max(0, r.g)) for r in ids], "i long, g int"))  # 2 x rows at most
-    sample = written(docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(small, "i").dropDuplicates(["i"]), "toxicity-sample")
+    sample = written(docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(small, "i").groupBy("i").agg(F.first("g").alias("g"), F.min("text").alias("text")), "toxicity-sample")
     sample = sample.join(F.broadcast(spark.createDataFrame([(i,) for i in _unlike(sample)], "i long")), "i", "left_semi")  # 2 x rows at most
     size = {bool(r.toxic): r.n for r in sample.groupBy((F.col("g") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(True, 0), size.get(False, 0)
@@ -155,29 +162,36 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalMode
 
 def _unlike(sample: DataFrame) -> list[int]:
     """Ids of the bounded sample without near copies of earlier ids: copies of one document would make its words look telling."""
-    u = universal(4, 1)
+    u = universal(NEAR_VALUES, 1)
 
     def rows(b: pa.RecordBatch) -> dict:
         return {"i": b.column("i"), "m": [[] if not len(x := shingles(t)) else minhash(x, *u).astype(np.int64).tolist() for t in b.column("text").to_pylist()]}
 
-    seen: set[tuple[int, int]] = set()
+    by_band: dict[tuple, list[np.ndarray]] = {}
     out = []
-    for r in sorted(map_batches(sample, rows, "i long, m array<long>").collect(), key=lambda r: r.i):
-        marks = set(enumerate(r.m))
-        if not marks & seen:
+    for r in sorted(map_batches(sample, rows, "i long, m array<long>").collect(), key=lambda r: r.i):  # 2 x FIT_ROWS at most
+        m = np.array(r.m)
+        bands = [(k, *x) for k, x in enumerate(m.reshape(NEAR_BANDS, -1).tolist())] if len(m) else []
+        if not any((m == x).mean() >= NEAR for band in bands for x in by_band.get(band, ())):
             out.append(r.i)
-        seen |= marks
+            for band in bands:
+                by_band.setdefault(band, []).append(m)
     return out
 
 
+def held_out() -> Column:
+    """True for documents whose labels the fit never reads."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 4 == 2, F.lit(False))
+
+
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """doc_id, expected_severity, severity_grade (most thresholds passed at one half), is_toxic."""
+    """doc_id, expected_severity, severity_grade (most thresholds passed at one half), is_toxic, held_out."""
 
     def rows(b: pa.RecordBatch) -> dict:
         p = [model.at_least(t) for t in b.column("text").to_pylist()]
-        return {"doc_id": b.column("doc_id"), "expected_severity": [float(x.sum()) for x in p], "severity_grade": [int((x >= 0.5).sum()) for x in p], "is_toxic": [bool(x[0] >= 0.5) for x in p]}
+        return {"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "expected_severity": [float(x.sum()) for x in p], "severity_grade": [int((x >= 0.5).sum()) for x in p], "is_toxic": [bool(x[0] >= 0.5) for x in p]}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, expected_severity double, severity_grade int, is_toxic boolean")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", held_out().alias("held_out")), rows, "doc_id long, expected_severity double, severity_grade int, is_toxic boolean, held_out boolean")
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:

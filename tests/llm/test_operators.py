@@ -427,17 +427,54 @@ def test_giant_with_a_mark_and_clashing_columns(spark, pc):
 # ------------------------------------------------------------------ 6
 
 
-def test_schedule_stays_within_a_block():
+def edf_py(weights, blocks):
+    """Slots by trying every source at every slot: among released blocks that with the earliest deadline."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    share = {s: w / sum(exact.values()) for s, w in exact.items()}
+    done, out, t = Counter(), [], 0
+    while any(done[s] < n for s, n in blocks.items()):
+        ready = []
+        for s, w in share.items():
+            j = done[s] + 1
+            if j <= blocks[s] and math.floor((j - 1) / w) <= t:
+                due = math.ceil(j / w)
+                ready.append((due, -(1 if due != j / w else 0), -w, str(s), s))
+        if ready:
+            s = min(ready)[-1]
+            out.append((s, done[s], t))
+            done[s] += 1
+        t += 1
+    return out
+
+
+def test_slots_match_brute_force():
     r = random.Random(3)
-    for _ in range(30):
-        w = {f"s{i}": r.randint(1, 40) for i in range(r.randint(1, 12))}
-        slots = mixing.whole_slots(w, 100)
-        plan = mixing.schedule(slots)
-        assert Counter(plan) == slots
-        seen = Counter()
-        for t, s in enumerate(plan, 1):
+    for _ in range(60):
+        w = {f"s{i}": r.choice([r.randint(1, 40), r.random(), Fraction(1, 3)]) for i in range(r.randint(1, 9))}
+        blocks = {s: r.randint(0, 60) for s in w}
+        assert list(mixing.slots_of(w, blocks)) == edf_py(w, blocks)
+
+
+def test_deviation_from_given_weights():
+    """Less than a block from the weights as given, over many times the slots that a whole cycle of them needs."""
+    r = random.Random(5)
+    for _ in range(20):
+        w = {f"s{i}": r.choice([r.randint(1, 40), Fraction(1, 3), r.random()]) for i in range(r.randint(1, 12))}
+        exact = {s: Fraction(x) for s, x in w.items()}
+        total, seen = sum(exact.values()), Counter()
+        for s, _, t in mixing.slots_of(w, dict.fromkeys(w, 10**6)):
             seen[s] += 1
-            assert all(abs(seen[x] - t * n / len(plan)) < 1 for x, n in slots.items())
+            if t % 13 == 0:
+                assert all(abs(seen[x] - (t + 1) * v / total) < 1 for x, v in exact.items())
+            if t > 3000:
+                break
+
+
+def test_mix_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(i, f"s{i % 3}", f"text {i}", "p") for i in range(100)], "doc_id long, source string, mix_slot string, place string")
+    got = mixing.in_order(df).collect()
+    assert {(r.doc_id, r.mix_slot, r.place) for r in got} == {(i, f"text {i}", "p") for i in range(100)}
+    assert {r.place for r in mixing.mixed(df).collect()} == {"p"} and dict(mixing.mixed(df).dtypes)["mix_slot"] == "bigint"
 
 
 def test_mix_is_whole_and_on_target(spark):
@@ -446,13 +483,11 @@ def test_mix_is_whole_and_on_target(spark):
     w = {"hot": 4, "s0": 3, "s1": 1, "s2": 1, "s3": 1, "s4": 1}
     got = mixing.mixed(docs, w, block=10).collect()
     assert sorted(r.doc_id for r in got) == list(range(3000)) and len({(r.mix_slot, r.mix_place) for r in got}) == 3000
-    slots = mixing.whole_slots(w, mixing.PERIOD)
-    period = sum(slots.values())
     ends = min(max(r.mix_slot for r in got if r.source == s) for s in w)
     for t in range(1, ends, 7):
         c = Counter({(r.source, r.mix_block) for r in got if r.mix_slot < t})
         n = Counter(s for s, _ in c)
-        assert all(abs(n[s] - t * slots[s] / period) < 1 for s in w)
+        assert all(abs(n[s] - t * w[s] / sum(w.values())) < 1 for s in w)
     ordered = mixing.in_order(docs, w)
     assert ordered.columns == docs.columns and ordered.count() == 3000
 
