@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from ..functions.seq import canonical, is_palindrome, rc
 from ..functions.stats import MAX_MULT
 from .kmers import enumerate_kmers
 
+_FLIP = str.maketrans("ACGT", "TGCA")
+
 
 def flanks(contigs: DataFrame, k: int, step: int) -> DataFrame:
     """(kmer, ext, mul): the first k + 1 bases of either end of a contig and up to step - 1 bases that follow.
@@ -58,61 +61,55 @@ def long_edges(reads: DataFrame, cover: DataFrame, k: int, step: int) -> DataFra
 
 
 def next_edges(reads: DataFrame, contigs: DataFrame, k: int, step: int, literal: bool = False) -> DataFrame:
-    """Edges for k + step. literal: multiplicities are 0, as none is kept in the index, and no place is probed that an extension covers."""
+    """Edges for k + step by the exact scan. literal: multiplicities are 0, as if none were kept in the index."""
     hits = read_hits(reads, flanks(contigs, k, step), k, step)
-    cover = scanned(reads, hits, k) if literal else covered(reads, hits, k)
-    out = long_edges(reads, cover, k, step)
+    out = long_edges(reads, scanned(reads, hits, k), k, step)
     return out.withColumn("mult", F.lit(0)) if literal else out
 
 
-def fold_read(seq: str, hits: list[tuple[int, int, str, float]], k: int) -> dict[int, float]:
-    """The scan of one read from left to right: place to multiplicity.
+def shared(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def probed_intervals(seq: str, hits: list[tuple[int, int, str, float]], k: int) -> list[tuple[int, int, float]]:
+    """(from, to, mul) of what a scan from left to right takes from a read's hits (pos, way, ext, mul), in its order.
 
-    hits: (pos, way, ext, mul). A place that an extension has covered isn't probed, and the scan jumps to its end.
+    A hit covers its place and as many on, or back for the reverse complement, as its extension matches. Places that a
+    hit on the forward way covers beyond its own aren't probed.
     """
-    by: dict[int, dict[int, tuple[str, float]]] = {}
-    for pos, way, ext, mul in hits:
-        by.setdefault(pos, {})[way] = (ext, mul)
-    flip = str.maketrans("ACGT", "TGCA")
-    out: dict[int, float] = {}
-    at = 0
-    while at + k + 1 <= len(seq):
-        nxt = at + 1
-        if at not in out and at in by:
-            if 0 in by[at]:
-                ext, mul = by[at][0]
-                out[at] = mul
-                for j, c in enumerate(ext):
-                    if at + k + 1 + j >= len(seq) or seq[at + k + 1 + j] != c:
-                        break
-                    out[at + j + 1] = mul
-                    nxt += 1
-            if 1 in by[at]:
-                ext, mul = by[at][1]
-                out[at] = (out[at] + mul) / 2 if at in out else mul
-                for j, c in enumerate(ext):
-                    p = at - 1 - j
-                    if p < 0 or seq[p].translate(flip) != c:
-                        break
-                    out[p] = (out[p] + mul) / 2 if p in out else mul
-        at = nxt
+    out, free = [], 0
+    for pos, way, ext, mul in sorted(hits, key=lambda h: h[:2]):
+        if pos < free and not (out and out[-1][0] == pos and way):
+            continue  # covered, unless it's the other way of the place that has just been probed
+        if way:
+            back = seq[:pos][::-1].translate(_FLIP)
+            out.append((pos - shared(ext, back), pos, mul))
+        else:
+            out.append((pos, pos + shared(ext, seq[pos + k + 1 :]), mul))
+        free = max(free, out[-1][1] + 1)
     return out
 
 
 def scanned(reads: DataFrame, hits: DataFrame, k: int) -> DataFrame:
-    """(read_id, pos, mul): the exact scan, a read at a time in Arrow batches; a read's hits are fewer than its places."""
-    import pyarrow as pa
+    """(read_id, pos, mul): the places that the exact scan covers; of several multiplicities the running average of two in its order.
 
+    Which hits are probed is found a read at a time, in Arrow batches (a read's hits are fewer than its places).
+    """
     h = hits.groupBy("read_id").agg(F.collect_list(F.struct("pos", "way", "ext", "mul")).alias("hits")).join(reads.select("read_id", "seq"), "read_id")
 
     def run(batches):
-        schema = pa.schema([("read_id", pa.int64()), ("pos", pa.int32()), ("mul", pa.float64())])
+        schema = pa.schema([("read_id", pa.int64()), ("turn", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("mul", pa.float64())])
         for b in batches:
-            out: list[list] = [[], [], []]
+            rows = []
             for r, found, seq in zip(*(b.column(c).to_pylist() for c in ("read_id", "hits", "seq"))):
-                got = fold_read(seq, [(x["pos"], x["way"], x["ext"], x["mul"]) for x in found], k)
-                for o, v in zip(out, ([r] * len(got), list(got), list(got.values()))):
-                    o += v
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
-
-    return h.mapInArrow(run, "read_id long, pos int, mul double")
+                taken = probed_intervals(seq, [(x["pos"], x["way"], x["ext"], x["mul"]) for x in found], k)
+                rows += [(r, i, *x) for i, x in enumerate(taken)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+    taken = h.mapInArrow(run, "read_id long, turn int, lo int, hi int, mul double")
+    cover = taken.select("read_id", "turn", "mul", F.explode(F.sequence("lo", "hi")).alias("pos"))
+    by_place = cover.groupBy("read_id", "pos").agg(F.array_sort(F.collect_list(F.struct("turn", "mul"))).alias("x"))
+    average = F.aggregate(F.slice("x.mul", 2, F.greatest(F.lit(1), F.size("x"))), F.get("x.mul", F.lit(0)), lambda a, m: (a + m) / 2)
+    return by_place.select("read_id", "pos", average.alias("mul"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Callable
+from itertools import count, takewhile
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +21,29 @@ def flip(s: str) -> str:
     return s[::-1].translate(_FLIP)
 
 
+#: Paths that a bubble has at most, and how the threshold of what is thin rises.
+BRANCHES, RISE = 4, 1.1
+
+
+class Unitig(NamedTuple):
+    """A sequence with its k-mers, their mean count, and how many ways lead on before and after it."""
+
+    seq: str
+    kmers: int
+    depth: float
+    before: int
+    after: int
+
+    @property
+    def ends_freely(self) -> bool:
+        return self.before + self.after <= 1
+
+    @property
+    def is_plain(self) -> bool:
+        """It has no fork, or a free end."""
+        return max(self.before, self.after) <= 1 or not min(self.before, self.after)
+
+
 class SmallGraph:
     """Contigs over k-mers of a few hundred reads: each has a sequence and the counts of its k-mers."""
 
@@ -66,8 +93,10 @@ class SmallGraph:
             out[min(seq, flip(seq))] = sum(self.count[min(m, flip(m))] for m in path) / len(path)
         return out
 
-    def ways(self, seq: str) -> tuple[list[str], list[str]]:
-        return self._next(flip(seq[: self.k])), self._next(seq[-self.k :])
+    def table(self) -> list[Unitig]:
+        """The unitigs with their k-mers, mean count and numbers of ways on at either end."""
+        k = self.k
+        return [Unitig(s, len(s) - k + 1, depth, len(self._next(flip(s[:k]))), len(self._next(s[-k:]))) for s, depth in self.unitigs().items()]
 
     def drop(self, seqs) -> None:
         for s in seqs:
@@ -77,43 +106,72 @@ class SmallGraph:
         gone = {e for e in self.linked if any(min(m, flip(m)) not in self.count for m in (e[:-1], e[1:]))}
         self.linked -= gone
 
-    def remove_dead_ends(self, most: int) -> None:
-        n = 1
-        while True:
-            n = min(2 * n, most)
-            self.drop([s for s in self.unitigs() if len(s) < n + self.k - 1 and not (len(s) == self.k and s == flip(s)) and (lambda a, b: not (a and b) and len(a) + len(b) <= 1)(*self.ways(s))])
-            if n == most:
-                break
-        self.drop([s for s in self.unitigs() if len(s) < most + self.k - 1 and (lambda a, b: not (a and b) and len(a) + len(b) <= 1)(*self.ways(s))])
-
-    def remove_bubbles(self, branches: int = 4) -> None:
-        """Branches of k + 2 k-mers at most between the same two k-mers: the one with the most counts stays."""
-        groups: dict[tuple[str, str], list[tuple[float, str]]] = {}
-        for s, c in self.unitigs().items():
-            a, b = self.ways(s)
-            if len(a) == len(b) == 1 and len(s) - self.k + 1 <= self.k + 2:
-                ends = (flip(a[0]), b[0])
-                twin = (flip(b[0]), a[0])
-                groups.setdefault(min(ends, twin), []).append((c * (len(s) - self.k + 1), s))
-        for found in groups.values():
-            if 1 < len(found) <= branches:
-                self.drop([s for _, s in sorted(found, key=lambda x: (-x[0], x[1]))[1:]])
-
-    def remove_low_coverage(self, least: float, most: int) -> None:
-        gone = []
-        for s, c in self.unitigs().items():
-            a, b = self.ways(s)
-            if len(s) < most + self.k - 1 and ((len(a) <= 1 and len(b) <= 1) or not a or not b) and c < least:
-                gone.append(s)
-        if gone:
-            self.drop(gone)
-
-    def iterate_coverage(self, most: int, least: float, high: float, factor: float = 1.1) -> None:
-        least = min(least, high)
+    def drop_bubbles(self) -> None:
+        """Of the paths over k k-mers between the same two longer unitigs, BRANCHES at most, the one with the most counts stays.
+
+        The paths may be of several unitigs. They must be all there are, seen from either side. A place that leads to
+        what an earlier bubble has lost is left as it is.
+        """
+        k, found = self.k, self.table()
+        starts = {t: (i, way) for i, u in enumerate(found) for way, t in ((1, flip(u.seq[-k:])), (0, u.seq[:k]))}
+        lost: set[int] = set()
+
+        def sequence(at: tuple[int, int]) -> str:
+            return flip(found[at[0]].seq) if at[1] else found[at[0]].seq
+
+        def fork(start: tuple[int, int]) -> tuple[tuple[int, int], list[list[tuple[int, int]]]] | None:
+            """(end, inner unitigs of each path) if all ways on from start meet there after k k-mers."""
+            if found[start[0]].kmers == 1:
+                return None
+            going: list[tuple[list, int, tuple[int, int]]] = [([], 0, start)]
+            paths: list[tuple[list, tuple[int, int]]] = []
+            while going:
+                inner, n, last = going.pop()
+                ways = [starts[m] for m in self._next(sequence(last)[-k:])]
+                if not ways or any(w[0] in lost for w in ways):
+                    return None
+                if last != start:
+                    inner, n = [*inner, last], n + found[last[0]].kmers
+                if n > k:
+                    return None
+                for w in ways:
+                    (paths if n == k else going).append((inner, w) if n == k else (inner, n, w))
+                if len(paths) + len(going) > BRANCHES:
+                    return None
+            ends = {end for _, end in paths}
+            if len(paths) < 2 or len(ends) > 1 or ends == {start} or found[paths[0][1][0]].kmers == 1:
+                return None
+            return paths[0][1], [inner for inner, _ in paths]
+
+        turn = lambda at: (at[0], 1 - at[1])
+        for start in sorted((i, way) for i in range(len(found)) for way in (0, 1)):
+            there = fork(start)
+            back = there and fork(turn(there[0]))
+            if not back or back[0] != turn(start):
+                continue
+            weight = lambda inner: (-sum(found[i].depth * found[i].kmers for i, _ in inner), [sequence(x) for x in inner])
+            best, *rest = sorted(there[1], key=weight)
+            lost |= {i for inner in rest for i, _ in inner} - {i for i, _ in best}
+        self.drop(found[i].seq for i in lost)
+
+    def settle(self, rule: Callable[[Unitig], bool]) -> None:
+        """Drops what a rule finds in the unitigs as they are; what is left grows together."""
+        self.drop(u.seq for u in self.table() if rule(u))
+
+    def clean(self, longest: int, ceiling: float) -> None:
+        """Dead ends, bubbles, and what is thin among the short ones, in this order."""
+        limits = [*takewhile(lambda n: n < longest, (1 << i for i in count(1))), longest, longest]
+        for limit in limits:  # the last one twice: what it leaves may end freely now
+            self.settle(lambda u, n=limit: u.kmers < n and u.ends_freely and not (u.kmers == 1 and u.seq == flip(u.seq)))
+        self.drop_bubbles()
+        level = min(1.0, ceiling)
         while True:
-            self.remove_low_coverage(least, most)
-            least *= factor
-            if least >= high or not self.count:
+            thin = [u.depth for u in self.table() if u.kmers < longest and u.is_plain]
+            while min(thin, default=math.inf) >= level and level * RISE < ceiling:  # nothing would go at this level
+                level *= RISE
+            self.settle(lambda u, least=level: u.kmers < longest and u.is_plain and u.depth < least)
+            level *= RISE
+            if level >= ceiling:
                 break
 
 
@@ -129,9 +187,7 @@ def assemble_end(reads: list[str], end: str, kmin: int = 11, kmax: int = 41, ste
         g.insert(end)
         for c in out:
             g.insert(c, counted=False)
-        g.remove_dead_ends(2 * k)
-        g.remove_bubbles()
-        g.iterate_coverage(2 * k, 1, high)
+        g.clean(2 * k, high)
         out = sorted(g.unitigs())
         if len(out) == 1:
             break
