@@ -62,8 +62,14 @@ def n_trim(s: Column | str) -> Column:
 
 
 def mismatches(a: Column | str, b: Column | str) -> Column:
-    """Hamming distance of strings of equal length."""
-    return F.aggregate(F.zip_with(F.split(_c(a), ""), F.split(_c(b), ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, x: n + x)
+    """Hamming distance of strings of bases of equal length, 31 at a time as packed words."""
+    a, b = _c(a), _c(b)
+
+    def word(i: Column) -> Column:
+        x = pack(F.substring(a, i, F.lit(31))).bitwiseXOR(pack(F.substring(b, i, F.lit(31))))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(a)), F.lit(31)), F.lit(0), lambda n, i: n + word(i))
 
 
 def similar_enough(a: Column | str, b: Column | str, least: float) -> Column:
@@ -74,8 +80,8 @@ def similar_enough(a: Column | str, b: Column | str, least: float) -> Column:
     a, b = _c(a), _c(b)
     longer = F.greatest(F.length(a), F.length(b))
     band = F.floor(longer * F.lit(1 - least)).cast("int")
-    d = F.levenshtein(a, b)
-    return (band >= 1) & (F.abs(F.length(a) - F.length(b)) <= band) & (d <= band) & (1 - d / longer >= least)
+    d = F.call_function("levenshtein", a, b, band)  # -1 beyond the band, within which alone it's worked out
+    return (band >= 1) & (F.abs(F.length(a) - F.length(b)) <= band) & (d >= 0) & (1 - d / longer >= least)
 
 
 def colex(edge: Column | str) -> Column:
@@ -86,13 +92,12 @@ def colex(edge: Column | str) -> Column:
 
 def pack(s: Column | str) -> Column:
     """Up to 31 bases as a LONG, two bits each (A 0, C 1, G 2, T 3), the first base highest."""
-    return F.aggregate(F.split(_c(s), ""), F.lit(0).cast("long"), lambda n, c: F.when(c == "", n).otherwise(F.shiftleft(n, 2).bitwiseOR((F.instr(F.lit("ACGT"), c) - 1).cast("long"))))
+    return F.coalesce(F.conv(F.translate(_c(s), "ACGT", "0123"), 4, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def unpack(v: Column | str, k: int) -> Column:
     """k bases from a LONG made by pack."""
-    v = _c(v)
-    return F.array_join(F.transform(F.sequence(F.lit(k - 1), F.lit(0), F.lit(-1)), lambda i: F.substring(F.lit("ACGT"), (F.call_function("shiftright", v, (i * 2).cast("int")).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1))), "")
+    return F.translate(F.lpad(F.conv(_c(v).cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
 def popcount(v: Column | str) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,10 +37,15 @@ def summary(h: DataFrame) -> DataFrame:
     return base.select("n", "least", "greatest", "total", F.expr("total div n").alias("mean"), var.alias("variance"), F.sqrt(var).alias("sd"))
 
 
+def cumulative(h: DataFrame) -> DataFrame:
+    """The histogram with c, the count of all values up to each."""
+    return h.withColumn("c", F.sum("n").over(_up()))
+
+
 def percentile(h: DataFrame, p: float) -> DataFrame:
     """One row: the first value whose running count exceeds int(n * p)."""
     t = h.agg(F.floor(F.sum("n") * F.lit(p)).alias("limit"))
-    return h.withColumn("c", F.sum("n").over(_up())).crossJoin(F.broadcast(t)).where(F.col("c") > F.col("limit")).agg(F.min("value").alias("value"))  # t has one row
+    return cumulative(h).crossJoin(F.broadcast(t)).where(F.col("c") > F.col("limit")).agg(F.min("value").alias("value"))  # t has one row
 
 
 def nx(h: DataFrame, share: float = 0.5) -> DataFrame:
@@ -69,27 +75,22 @@ def up_mean(h: DataFrame, p: float) -> DataFrame:
 
 def first_local_minimum(counts: dict[int, int], smoothing: int = 4) -> int:
     """The last least count before `smoothing` greater ones in a row of values that occur; 0 if that's the greatest value."""
-    values = sorted(counts)
-    if not values:
+    values = np.array(sorted(counts), np.int64)
+    if not len(values):
         return 0
-    best, above = values[0], 0
-    for v in values:
-        if counts[v] <= counts[best]:
-            best, above = v, 0
-        else:
-            above += 1
-            if above >= smoothing:
-                break
-    return 0 if best == values[-1] else best
+    n = np.array([counts[v] for v in values.tolist()], np.int64)
+    lows = np.flatnonzero(n <= np.minimum.accumulate(n))  # as low as any before
+    followed = np.diff(np.append(lows, len(n))) > smoothing  # so many greater ones come next
+    at = int(lows[np.argmax(followed)] if followed.any() else lows[-1])
+    return 0 if at == len(n) - 1 else int(values[at])
 
 
 def median(counts: dict[int, int]) -> int:
-    half, seen = sum(counts.values()) // 2, 0
-    for v in sorted(counts):
-        seen += counts[v]
-        if seen > half:
-            return v
-    return 0
+    if not counts:
+        return 0
+    values = sorted(counts)
+    running = np.cumsum([counts[v] for v in values])
+    return values[int(np.searchsorted(running, running[-1] // 2, "right"))]
 
 
 def infer_min_depth(h: DataFrame) -> float:

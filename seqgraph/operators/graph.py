@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.seq import colex, rc
+from ..functions.seq import rc
 from ..functions.stats import MAX_MULT
-from .kmers import canonical_kmers, solid_edges, with_neighbours
+from .kmers import solid_edges, windows, with_neighbours
 
 
 def merge_sources(sources: list[DataFrame], k: int) -> DataFrame:
@@ -15,8 +15,6 @@ def merge_sources(sources: list[DataFrame], k: int) -> DataFrame:
 
     Sequences shorter than k + 1 have no edges.
     """
-    from .kmers import windows
-
     every = None
     for s in sources:
         s = s.select("seq", F.col("mult").cast("int").alias("mult"))
@@ -36,15 +34,10 @@ def from_reads(reads: DataFrame, k: int, min_count: int = 2, mercy: DataFrame |
     """One-pass graph: multiplicity counts the solid occurrences, and mercy edges where there are none."""
     e = solid_edges(reads, k, min_count)
     if mercy is not None:
-        e = e.unionByName(mercy.join(e, "edge", "left_anti").groupBy("edge").agg(F.least(F.count("*"), F.lit(MAX_MULT)).cast("int").alias("mult")))
+        e = e.unionByName(only_in(mercy, e).groupBy("edge").agg(F.least(F.count("*"), F.lit(MAX_MULT)).cast("int").alias("mult")))
     return directed(e)
 
 
-def counted_from_reads(reads: DataFrame, k: int) -> DataFrame:
-    """(edge, mult): all occurrences, without a threshold (min_count 1)."""
-    return canonical_kmers(reads, k + 1).groupBy("edge").agg(F.least(F.count("*"), F.lit(MAX_MULT)).cast("int").alias("mult"))
-
-
 def flanked_counts(reads: DataFrame, k: int) -> DataFrame:
     """(edge, prev, next, mult): occurrences of an edge by the bases beside it."""
     return with_neighbours(reads, k + 1).groupBy("edge", "prev", "next").agg(F.count("*").alias("mult"))
@@ -75,5 +68,12 @@ def symbol_counts(dbg: DataFrame) -> DataFrame:
     return w.groupBy(F.expr("right(edge, 1)").alias("symbol")).agg(F.count("*").alias("n"), F.count_if(F.col("outdeg") == 0).alias("n_dead_ends"))
 
 
-def with_colex(dbg: DataFrame) -> DataFrame:
-    return dbg.withColumn("key", colex("edge"))
+def twins(dbg: DataFrame) -> DataFrame:
+    """(edge, twin, mult): each directed edge with its reverse complement in the graph."""
+    other = dbg.select(F.col("edge").alias("twin"), F.col("mult").alias("twin_mult"))
+    return dbg.join(other, F.col("edge_rc") == F.col("twin")).select("edge", "twin", F.col("twin_mult").alias("mult"))
+
+
+def only_in(edges: DataFrame, others: DataFrame) -> DataFrame:
+    """The edges that aren't among the others."""
+    return edges.join(others.select("edge"), "edge", "left_anti")

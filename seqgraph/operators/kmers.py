@@ -27,6 +27,15 @@ def enumerate_kmers(reads: DataFrame, size: int, seq: str = "seq", *keep: str) -
     return at.select(*keep, (F.col("piece_at") + F.col("p") - 1).alias("pos"), F.substring(seq, F.col("p"), F.lit(size)).alias("kmer"))
 
 
+def beside(df: DataFrame, size: int, seq: str = "seq") -> DataFrame:
+    """Like windows, but pieces have the base before and the one behind as well; lead: whether there's one before."""
+    n = F.length(seq)
+    cut = df.where(n >= size).select("*", F.explode(F.sequence(F.lit(0), n - size, F.lit(WINDOW))).alias("piece_at"))
+    lead = F.least(F.lit(1), F.col("piece_at"))
+    piece = F.substring(seq, F.col("piece_at") + 1 - lead, F.lit(WINDOW + size) + lead)
+    return cut.withColumn(seq, F.when(n <= WINDOW + size - 1, F.col(seq)).otherwise(piece)).withColumn("lead", lead)
+
+
 def _places(df: DataFrame, size: int, seq: str, *keep: str) -> DataFrame:
     """(keep..., s, r, p): a row for each place p (from 1) of a substring, with the sequence and its reverse complement.
 
@@ -45,12 +54,13 @@ def canonical_kmers(reads: DataFrame, size: int, seq: str = "seq") -> DataFrame:
 def with_neighbours(reads: DataFrame, size: int) -> DataFrame:
     """(read_id, pos, edge, strand, prev, next): canonical substrings with the bases beside them, swapped and complemented on strand 1; null at a read's ends."""
     n = F.length("s")
-    df = _places(reads, size, "seq", "read_id").withColumn("q", n - (size - 2) - F.col("p"))  # q: the same place on the other strand
+    df = _places(beside(reads.select("read_id", "seq"), size), size, "seq", "read_id", "piece_at", "lead").where((F.col("p") > F.col("lead")) & (F.col("p") <= F.col("lead") + WINDOW))
+    df = df.withColumn("q", n - (size - 2) - F.col("p"))  # the same place on the other strand
     df = df.withColumns({"m": F.substring("s", F.col("p"), F.lit(size)), "t": F.substring("r", F.col("q"), F.lit(size))})
     side = lambda c, i: F.when((i >= 1) & (i <= n), F.substring(c, i, F.lit(1)))
     back = F.col("m") > F.col("t")
     return df.select(
-        "read_id", (F.col("p") - 1).alias("pos"), F.least("m", "t").alias("edge"), back.cast("int").alias("strand"),
+        "read_id", (F.col("piece_at") - F.col("lead") + F.col("p") - 1).alias("pos"), F.least("m", "t").alias("edge"), back.cast("int").alias("strand"),
         F.when(back, side("r", F.col("q") - 1)).otherwise(side("s", F.col("p") - 1)).alias("prev"),
         F.when(back, side("r", F.col("q") + size)).otherwise(side("s", F.col("p") + size)).alias("next"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import canonical, mismatches, rc
 from ..functions.stats import histogram, summary, trim
+from .kmers import enumerate_kmers, windows
 
 
 @dataclass(frozen=True)
@@ -25,9 +26,11 @@ class MapOptions:
 
 def seeds(contigs: DataFrame, opt: MapOptions = MapOptions()) -> DataFrame:
     """(kmer, contig_id, offset, cstrand): canonical seeds at every sparsity-th place; one that occurs twice is left out."""
-    c = contigs.where((F.length("seq") >= opt.min_contig_len) & (F.length("seq") >= opt.seed))
-    at = c.select("contig_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - opt.seed, F.lit(opt.sparsity))).alias("offset"))
-    m = at.select("contig_id", "offset", F.substring("seq", F.col("offset") + 1, F.lit(opt.seed)).alias("m"))
+    c = windows(contigs.where(F.length("seq") >= opt.min_contig_len).select("contig_id", "seq"), opt.seed)
+    first = F.pmod(-F.col("piece_at"), F.lit(opt.sparsity))
+    last = F.length("seq") - opt.seed
+    at = c.where(first <= last).select("contig_id", "seq", "piece_at", F.explode(F.sequence(first, last, F.lit(opt.sparsity))).alias("o"))
+    m = at.select("contig_id", (F.col("piece_at") + F.col("o")).alias("offset"), F.substring("seq", F.col("o") + 1, F.lit(opt.seed)).alias("m"))
     m = m.select(canonical("m").alias("kmer"), "contig_id", "offset", (F.col("m") > rc("m")).cast("int").alias("cstrand"))
     return m.groupBy("kmer").agg(F.count("*").alias("n"), F.min(F.struct("contig_id", "offset", "cstrand")).alias("x")).where("n = 1").select("kmer", "x.*")
 
@@ -35,7 +38,7 @@ def seeds(contigs: DataFrame, opt: MapOptions = MapOptions()) -> DataFrame:
 def candidates(reads: DataFrame, contigs: DataFrame, index: DataFrame, opt: MapOptions = MapOptions()) -> DataFrame:
     """Distinct projections of reads onto contigs, clipped to the contig; a clipped one needs min_mapped_len bases."""
     r = reads.where((F.length("seq") >= opt.seed) & (F.length("seq") >= opt.min_read_len)).select("read_id", F.length("seq").alias("rlen"), "seq")
-    k = r.select("*", F.explode(F.sequence(F.lit(0), F.length("seq") - opt.seed)).alias("pos")).select("read_id", "rlen", "pos", F.substring("seq", F.col("pos") + 1, F.lit(opt.seed)).alias("m"))
+    k = enumerate_kmers(r, opt.seed, "seq", "read_id", "rlen").withColumnRenamed("kmer", "m")
     k = k.select("read_id", "rlen", "pos", canonical("m").alias("kmer"), (F.col("m") > rc("m")).cast("int").alias("qstrand"))
     j = k.join(index, "kmer").withColumn("strand", F.col("cstrand").bitwiseXOR(F.col("qstrand")))
     ahead = F.when(F.col("strand") == 0, F.col("pos")).otherwise(F.col("rlen") - opt.seed - F.col("pos"))  # bases before the seed, along the contig

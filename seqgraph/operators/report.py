@@ -44,10 +44,13 @@ def contig_links(contigs: DataFrame, k: int) -> DataFrame:
     return e.select(F.col("contig_id").alias("contig"), "strand", F.col("end").alias("at")).join(e.select(F.col("start").alias("at"), F.col("contig_id").alias("next_contig"), F.col("strand").alias("next_strand")), "at").drop("at")
 
 
-def fastg(contigs: DataFrame, k: int) -> DataFrame:
-    """(record) FASTG: NODE_i_length_L_cov_C_ID_{2i-1}, both strands, with their successors in order."""
-    c = contigs.where(F.length("seq") >= k + 1).withColumn("_h", F.xxhash64("contig_id"))
-    c = ordinal(c, "_h").withColumn("i", F.col("n") + 1)
+def fastg(contigs: DataFrame, k: int, order: str | None = None) -> DataFrame:
+    """(record) FASTG: NODE_i_length_L_cov_C_ID_{2i-1}, both strands, with their successors in order.
+
+    i counts the contigs in their order: that of the file (place, if they come from one), else by id.
+    """
+    order = order or ("place" if "place" in contigs.columns else "contig_id")
+    c = ordinal(contigs.where(F.length("seq") >= k + 1).select(F.col(order).alias("at"), "contig_id", "seq", "multi"), "at").withColumn("i", F.col("n") + 1)
     name = F.format_string("NODE_%d_length_%d_cov_%.4f_ID_%d", F.col("i"), F.length("seq"), F.col("multi"), 2 * F.col("i") - 1)
     named = c.select("contig_id", "i", name.alias("name"), "seq")
     links = contig_links(contigs, k).join(named.select(F.col("contig_id").alias("next_contig"), F.col("i").alias("ni"), F.col("name").alias("nn")), "next_contig")

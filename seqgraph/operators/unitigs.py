@@ -22,7 +22,8 @@ def depth() -> Column:
 
 def build(dbg: DataFrame, k: int, literal: bool = False) -> DataFrame:
     """Unitigs of a graph. literal: a loop's first edge counts twice in its depth."""
-    edges = cut_lineage(dbg.select(colex("edge").alias("id"), "edge", "mult"))
+    dbg = cut_lineage(dbg)  # read three times
+    edges = dbg.select(colex("edge").alias("id"), "edge", "mult")
     links = simple_links(dbg).select(colex("a").alias("a"), colex("b").alias("b"))
     placed = chains(edges.select("id"), cut_lineage(links)).join(edges, "id")
     last = F.struct("rank", "edge", "mult")
@@ -102,7 +103,8 @@ def refresh(unitigs: DataFrame, k: int, removed: DataFrame | None = None, mark_c
     g = placed.groupBy("head", "is_loop").agg(
         F.sort_array(F.collect_list(F.struct("rank", F.col("oseq").alias("s"), "uid"))).alias("path"), F.sum("length").alias("length"), F.sum("total_depth").alias("total_depth"), F.count("*").alias("n"), F.max("is_changed").alias("changed"),
     )
-    whole = F.aggregate(F.slice("path", 2, F.greatest(F.lit(1), F.size("path"))), F.col("path")[0]["s"], lambda a, x: F.concat(a, F.substring(x["s"], F.lit(k + 1), F.length(x["s"]))))
+    rest = F.transform(F.slice("path", 2, F.greatest(F.lit(1), F.size("path"))), lambda x: F.substring(x["s"], F.lit(k + 1), F.length(x["s"])))
+    whole = F.concat(F.col("path")[0]["s"], F.array_join(rest, ""))
     m = g.withColumn("seq", whole).withColumn("members", F.array_join(F.array_sort(F.transform("path", lambda x: x["uid"])), ","))
     m = m.withColumn("r", rc("seq"))
     key = lambda s: colex(F.expr(f"left({s}, {k + 1})"))

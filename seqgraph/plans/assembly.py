@@ -39,12 +39,28 @@ class Stages:
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def begin(self, opt: Options, libs: DataFrame) -> None:
+        """Notes the options and the inputs of a new folder; those of one that has begun must be the same."""
+        rows = [r.asDict() for r in libs.orderBy("lib_id").collect()]  # a row for each library
+        for name, text in (("options.json", opt.to_json()), ("inputs.json", json.dumps(rows, indent=1, default=str))):
+            if self.folder and self.done(name):
+                found = "\n".join(r.value for r in self.spark.read.option("wholetext", True).text(f"{self.folder}/{name}").collect()).rstrip("\n")
+                if found != text:
+                    raise ValueError(f"{self.folder}/{name} was written by a run that differs; continue with its own, or use another folder")
+            else:
+                self.note(name, text)
+
     def note(self, name: str, text: str) -> None:
         """A small text file, such as the options."""
         if self.folder:
             self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{name}")
 
 
+def saved_options(spark: SparkSession, folder: str) -> Options:
+    """The options that a run in the folder has begun with."""
+    return Options.from_json(spark.read.option("wholetext", True).text(f"{folder}/options.json").first().value)
+
+
 def first_graph(reads: DataFrame, k: int, opt: Options) -> DataFrame:
     """Solid edges of the first k, with mercy edges."""
     edges = kmers.solid_edges(reads, k, opt.min_count)
@@ -64,7 +80,7 @@ def assembly(reads: DataFrame, libs: DataFrame, opt: Options = Options(), folder
     stages = Stages(spark, folder)
     longest = libs.agg(F.max("max_read_len")).first()[0] or 0
     opt = opt.for_reads(longest)
-    stages.note("options.json", opt.to_json())
+    stages.begin(opt, libs)
     ks = opt.k_list
     finals: list[DataFrame] = []
     edges: DataFrame | None = None

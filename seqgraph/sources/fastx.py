@@ -7,12 +7,17 @@ counts, kept apart by blocks of lines, or, for small files, by a whole-file spli
 
 from __future__ import annotations
 
+import shutil
+import sys
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seq import n_trim
-from ..operators.paths import cut_lineage
+from ..operators.paths import checkpoint_dir, cut_lineage
 
 READ_COLUMNS = ["read_id", "lib_id", "mate", "seq", "len"]
 
@@ -23,13 +28,30 @@ def _records(spark: SparkSession, path: str, sep: str) -> DataFrame:
     return df.select(F.col("value").alias("record"), F.monotonically_increasing_id().alias("place"))
 
 
+def _spooled(spark: SparkSession) -> str:
+    """Standard input as a file in the shared folder."""
+    with tempfile.NamedTemporaryFile() as f:
+        shutil.copyfileobj(sys.stdin.buffer, f)
+        f.flush()
+        path = f"{checkpoint_dir(spark)}/stdin-{uuid.uuid4().hex}.txt"
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(f"file://{f.name}"), p)
+    return path
+
+
 def _is_fastq(spark: SparkSession, path: str) -> bool:
     first = spark.read.text(path).where("length(trim(value)) > 0").limit(1).collect()
     return bool(first) and first[0].value.startswith("@")
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(place, name, comment, seq): the sequences of a FASTA or FASTQ file, multi-line or not, plain, gzip or bzip2."""
+    """(place, name, comment, seq): the sequences of a FASTA file, multi-line or not, or of a FASTQ file of four lines a record.
+
+    Plain, gzip or bzip2. Path "-": what standard input holds, by way of the shared folder. A FASTQ file of another form,
+    or one with FASTA records among its own, is an error that names the record.
+    """
+    if path == "-":
+        path = _spooled(spark)
     if _is_fastq(spark, path):
         return _scan_fastq(spark, path)
     df = _records(spark, path, "\n>")
@@ -49,8 +71,12 @@ def _scan_fastq(spark: SparkSession, path: str) -> DataFrame:
     sizes = df.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b"))  # a row for each partition
     numbered = df.join(F.broadcast(before), "part").withColumn("line", F.col("b") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)))
-    rec = numbered.groupBy(F.expr("line div 4").alias("place")).agg(*[F.max(F.when(F.col("line") % 4 == i, F.regexp_replace("value", "\r", ""))).alias(c) for i, c in ((0, "head"), (1, "seq"))])
-    return rec.where("head IS NOT NULL AND seq IS NOT NULL").select("place", *_name(F.regexp_replace("head", "^@", "")), "seq")
+    line = lambda i: F.max(F.when(F.col("line") % 4 == i, F.regexp_replace("value", "\r", "")))
+    rec = numbered.groupBy(F.expr("line div 4").alias("place")).agg(*[line(i).alias(c) for i, c in enumerate(("head", "seq", "plus", "quality"))])
+    rec = rec.where("trim(concat_ws('', head, seq, plus, quality)) != ''")  # lines after the last record
+    whole = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length(F.coalesce("quality", F.lit(""))))
+    wrong = F.raise_error(F.concat(F.lit(f"{path}: not a FASTQ file of four lines a record, at record "), F.col("place").cast("string")))
+    return rec.select("place", *_name(F.regexp_replace("head", "^@", "")), F.when(F.coalesce(whole, F.lit(False)), F.col("seq")).otherwise(wrong).alias("seq"))
 
 
 def _name(head: Column | str) -> list[Column]:
@@ -81,8 +107,12 @@ def single(spark: SparkSession, path: str) -> DataFrame:
 
 
 def paired(spark: SparkSession, first: str, second: str) -> DataFrame:
-    """(n, seq) of two files in lockstep: 2i from the first, 2i + 1 from the second, up to the end of the shorter."""
-    a, b = single(spark, first), single(spark, second)
+    """(n, seq) of two files in lockstep."""
+    return interleaved(single(spark, first), single(spark, second))
+
+
+def interleaved(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(n, seq) of two numbered lists: 2i from the first, 2i + 1 from the second, up to the end of the shorter."""
     both = a.join(b.withColumnRenamed("seq", "mate_seq"), "n")
     return both.select(F.inline(F.array(F.struct((F.col("n") * 2).alias("n"), F.col("seq")), F.struct((F.col("n") * 2 + 1).alias("n"), F.col("mate_seq").alias("seq")))))
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.stats import MAX_MULT
-from ..operators.kmers import canonical_kmers
+from ..operators.kmers import count_edges
 
 READ_SCHEMA = "read_id long, lib_id int, mate int, seq string, len int"
 
@@ -19,7 +18,7 @@ def read_stream(spark: SparkSession, folder: str, files_per_batch: int = 64) ->
 
 def edge_counts(reads: DataFrame, k: int) -> DataFrame:
     """(edge, mult) so far; the state is one count for each edge, as in batch."""
-    return canonical_kmers(reads, k + 1).groupBy("edge").agg(F.least(F.count("*"), F.lit(MAX_MULT)).cast("int").alias("mult"))
+    return count_edges(reads, k)
 
 
 def keep_counts(reads: DataFrame, k: int, out: str, checkpoint: str, **trigger) -> StreamingQuery:
