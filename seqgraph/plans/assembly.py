@@ -44,7 +44,7 @@ class Stages:
         rows = [r.asDict() for r in libs.orderBy("lib_id").collect()]  # a row for each library
         for name, text in (("options.json", opt.to_json()), ("inputs.json", json.dumps(rows, indent=1, default=str))):
             if self.folder and self.done(name):
-                found = "\n".join(r.value for r in self.spark.read.option("wholetext", True).text(f"{self.folder}/{name}").collect()).rstrip("\n")
+                found = "\n".join(r.value for r in self.spark.read.text(f"{self.folder}/{name}", wholetext=True).collect()).rstrip("\n")
                 if found != text:
                     raise ValueError(f"{self.folder}/{name} was written by a run that differs; continue with its own, or use another folder")
             else:
@@ -58,7 +58,7 @@ class Stages:
 
 def saved_options(spark: SparkSession, folder: str) -> Options:
     """The options that a run in the folder has begun with."""
-    return Options.from_json(spark.read.option("wholetext", True).text(f"{folder}/options.json").first().value)
+    return Options.from_json(spark.read.text(f"{folder}/options.json", wholetext=True).first().value)
 
 
 def first_graph(reads: DataFrame, k: int, opt: Options) -> DataFrame:
