@@ -123,15 +123,14 @@ class SmallGraph:
             """(end, inner unitigs of each path) if all ways on from start meet there after k k-mers."""
             if found[start[0]].kmers == 1:
                 return None
-            going: list[tuple[list, int, tuple[int, int]]] = [([], 0, start)]
+            going: list[tuple[list | None, int, tuple[int, int]]] = [(None, 0, start)]
             paths: list[tuple[list, tuple[int, int]]] = []
             while going:
                 inner, n, last = going.pop()
                 ways = [starts[m] for m in self._next(sequence(last)[-k:])]
                 if not ways or any(w[0] in lost for w in ways):
                     return None
-                if last != start:
-                    inner, n = [*inner, last], n + found[last[0]].kmers
+                inner, n = ([], 0) if inner is None else ([*inner, last], n + found[last[0]].kmers)
                 if n > k:
                     return None
                 for w in ways:

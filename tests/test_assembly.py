@@ -266,6 +266,25 @@ def test_small_graph_rebuilds_its_sequence():
     assert [min(s, rc(s)) for s in local.assemble_end(tiled(g), g[:100])] == [min(g, rc(g))]
 
 
+def test_small_graph_pops_bubbles():
+    """One branch of a base's difference goes, unless something leaves it; a ring back to the fork is no bubble."""
+    g = dna(120, 82)
+    for spur in (False, True):
+        s = local.SmallGraph(11)
+        for r in [g] * 3 + [g[:60] + rc(g[60]) + g[61:]]:
+            s.insert(r)
+        if spur:
+            s.insert(g[50:60] + rc(g[60]) + g[61:66] + dna(30, 83), counted=False)
+        s.drop_bubbles()
+        assert (min(g, rc(g)) in s.unitigs()) == (not spur)
+    ring = dna(40, 84)
+    s = local.SmallGraph(11)
+    s.insert(ring * 3 + dna(30, 85))
+    before = set(s.unitigs())
+    s.drop_bubbles()
+    assert set(s.unitigs()) == before
+
+
 def test_tiled_reads_give_back_the_genome(spark):
     g = dna(600, 91)
     reads = as_reads(spark, tiled(g, 80, 2))
