@@ -11,7 +11,14 @@ from . import fingerprint, jaccard, langid, mixing, oracle, pieces, quality, sec
 from .common import spread
 
 
+#: Rows in an Arrow batch of these queries: the texts of a batch are in memory several times over.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the queries, whose session gets small Arrow batches unless it sets a size itself; operators leave it alone."""
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
