@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqgraph.llm import jaccard, mixing, pieces, secrets, toxicity
-from seqgraph.llm.common import shared_dir, written
+from seqgraph.llm.common import shared_dir
 from seqgraph.llm.queries import model_path, table
 
 
@@ -49,9 +49,7 @@ def position(docs: DataFrame) -> Column:
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, checked by decoding, in the order in which docs were written; position rises along it."""
     placed = docs.withColumn("position", position(docs))
-    got = written(pieces.encode_documents(placed, model_path("piece_bpe_32k.model"), keep=("source", "position")), "encoded")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return got.repartitionByRange(n, "position").sortWithinPartitions("position")
+    return pieces.encode_documents(placed, model_path("piece_bpe_32k.model"), keep=("source", "position"), order="position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

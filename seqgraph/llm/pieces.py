@@ -30,13 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 from .common import map_batches, written
 
 #: Code points of a chunk, and matrices or ranges that are combined at a time.
 CHUNK, RADIX = 1 << 15, 16
-MEMO = 600_000
+MEMO = 500_000
 MARK = "▁"
 #: A boundary state: characters from the cut to the edge, and the last piece before the cut.
 State = tuple[int, str]
@@ -517,38 +517,45 @@ def encode_giants(texts: DataFrame, path: str, chunk: int = CHUNK, radix: int =
     return whole.select("sha", F.flatten("x.ids").alias("ids"), "ok")
 
 
-def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of keep, n_tokens, ids, ids_crc32 and round_trip (decodes to the text) of each document."""
+def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """doc_id, the columns of keep, n_tokens, ids, ids_crc32 and round_trip (decodes to the text) of each document.
+
+    order: one of keep, by which the rows come: ranges of it by task, sorted within, before the short texts are encoded.
+    """
     given = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in keep])  # one column meanwhile, so they may have any names
     base = docs.select(given.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    row = base.schema["row"].dataType
+    giant = base.where(F.length("text") >= chunk).withColumn("sha", F.sha2("text", 256))
+    found = encode_giants(giant.dropDuplicates(["sha"]).select("sha", "text"), path, chunk)
+    # A text with a word mark of its own decodes to a space there.
+    giant = giant.select("row", "sha", (F.instr("text", MARK) == 0).alias("plain")).join(found, "sha")
+    short = base.where(F.length("text") < chunk).select("row", "text", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("boolean").alias("ok"))
+    both = short.unionByName(giant.select("row", F.lit(None).cast("string").alias("text"), "ids", (F.col("ok") & F.col("plain")).alias("ok")))
+    if order:
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        both = both.repartitionByRange(n, f"row.{order}").sortWithinPartitions(f"row.{order}")
 
-    def short_setup():
+    def setup():
         pc = pieces(path)
 
         def rows(b: pa.RecordBatch) -> dict:
-            texts = b.column("text").to_pylist()
-            ids, cuts = pc.encode_many([pc.escaped(t) for t in texts])
-            parts = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            texts, done = b.column("text").to_pylist(), b.column("ids")
+            parts: list = [None if t is not None else done[i].values.to_numpy() for i, t in enumerate(texts)]
+            ok = b.column("ok").to_pylist()
+            todo = [i for i, t in enumerate(texts) if t is not None]
+            ids, cuts = pc.encode_many([pc.escaped(texts[i]) for i in todo])
+            for i, x, y in zip(todo, cuts[:-1].tolist(), cuts[1:].tolist()):
+                parts[i] = ids[x:y]
+                ok[i] = pc.decode(parts[i]) == texts[i]
+            ends = np.cumsum([0, *map(len, parts)])
             return {
-                "row": b.column("row"), "n_tokens": np.diff(cuts), "ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())),
-                "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in parts], "round_trip": [pc.decode(x) == t for x, t in zip(parts, texts)],
+                "row": b.column("row"), "n_tokens": np.diff(ends), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32())),
+                "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in parts], "round_trip": ok,
             }
 
         return rows
 
-    def digest(b: pa.RecordBatch) -> dict:
-        ids = b.column("ids")
-        crc = [zlib.crc32(ids[i].values.to_numpy().astype("<u4").tobytes()) for i in range(len(ids))]
-        return {c: b.column(c) for c in ("sha", "ids", "ok")} | {"ids_crc32": crc}
-
-    short = map_batches(base.where(F.length("text") < chunk), None, StructType([StructField("row", row), *StructType.fromDDL("n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")]), short_setup)
-    giant = base.where(F.length("text") >= chunk).withColumn("sha", F.sha2("text", 256))
-    found = map_batches(encode_giants(giant.dropDuplicates(["sha"]).select("sha", "text"), path, chunk), digest, "sha string, ids array<int>, ok boolean, ids_crc32 long")
-    # A text with a word mark of its own decodes to a space there.
-    giant = giant.select("row", "sha", (F.instr("text", MARK) == 0).alias("plain")).join(found, "sha")
-    giant = giant.select("row", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_crc32", (F.col("ok") & F.col("plain")).alias("round_trip"))
-    return short.unionByName(giant).select("row.*", "n_tokens", "ids", "ids_crc32", "round_trip")
+    schema = StructType([base.schema["row"], *StructType.fromDDL("n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")])
+    return map_batches(both, None, schema, setup).select("row.*", "n_tokens", "ids", "ids_crc32", "round_trip")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -941,6 +941,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == docs.count()
 
 
+def test_pipeline_odd_inputs(spark, tmp_path, none):
+    """Empty tables; nulls, repeated rows, a very long text, and columns with the names that the operators use."""
+    import corpus_pipeline
+
+    e = f"{tmp_path}/empty"
+    none.write.parquet(f"{e}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{e}/labels.parquet")
+    assert corpus_pipeline.run(spark, e).count() == 0
+    rows = odd_rows()
+    d = f"{tmp_path}/odd"
+    extra = "position mix_slot mix_place _dup_id sha doc slot".split()
+    frame(spark, rows).select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id"), F.lit(-1))).alias(c) for c in extra]).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = docs.columns
+        stage(spark, docs, d).write.parquet(f"{d}/{k}")
+        docs = spark.read.parquet(f"{d}/{k}")
+        assert docs.columns == before
+    kept = {c for _, c, _ in joined_py(rows)}
+    got = docs.collect()
+    assert Counter(r.doc_id for r in got) == Counter(kept)
+    assert all(r[c] == f"{c} {-1 if r.doc_id is None else r.doc_id}" for r in got for c in extra)
+    out = corpus_pipeline.run(spark, d).collect()
+    assert Counter(r.doc_id for r in out) == Counter(kept) and all(r.round_trip for r in out)
+
+
 def test_pipeline_rows_come_in_the_order_of_the_mix(spark, tmp_path):
     import corpus_pipeline
 
