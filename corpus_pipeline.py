@@ -13,6 +13,10 @@ from seqgraph.llm.common import shared_dir
 from seqgraph.llm.queries import model_path, table
 
 
+#: Units that a task of the last stage remembers: its Python processes hold what the other stages used as well.
+PIECE_MEMO = 300_000
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the severity model, fitted on the labelled ones among docs, finds toxic."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -49,7 +53,7 @@ def position(docs: DataFrame) -> Column:
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, checked by decoding, in the order in which docs were written; position rises along it."""
     placed = docs.withColumn("position", position(docs))
-    return pieces.encode_documents(placed, model_path("piece_bpe_32k.model"), keep=("source", "position"), order="position")
+    return pieces.encode_documents(placed, model_path("piece_bpe_32k.model"), keep=("source", "position"), order="position", memo=PIECE_MEMO)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -36,7 +36,8 @@ from .common import map_batches, written
 
 #: Code points of a chunk, and matrices or ranges that are combined at a time.
 CHUNK, RADIX = 1 << 15, 16
-MEMO = 500_000
+#: Units whose pieces a task remembers (about 250 bytes each); more of them save time and change nothing else.
+MEMO = 1_000_000
 MARK = "▁"
 #: A boundary state: characters from the cut to the edge, and the last piece before the cut.
 State = tuple[int, str]
@@ -57,9 +58,11 @@ class Places(dict):
 class Pieces:
     """Vocabulary of a sentencepiece BPE file: piece to (id, score)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         import sentencepiece
 
+        self.most = memo
+
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.unk = sp.unk_id()
@@ -147,7 +150,7 @@ class Pieces:
             row = self.pairs[a] = {}
         got = row.get(b)
         if got is None:
-            if self.n_pairs > 4 * MEMO:
+            if self.n_pairs > 2 * self.most:
                 self.pairs, self.n_pairs = {a: (row := {})}, 0
             self.n_pairs += 1
             got = row[b] = self._apart(a, b)
@@ -228,7 +231,7 @@ class Pieces:
 
     def encode_many(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all escaped texts, where each one's begin and the last one's end). Units met before are looked up."""
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self._forget()
         units = [self.units(s) for s in runs]
         k = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(units)), np.int64, sum(map(len, units)))
@@ -403,9 +406,9 @@ def from_text(s: str) -> Matrix:
     return {(a, p): {(b, q): w for b, q, w in row} for x, row in json.loads(s) for a, p in x}
 
 
-@lru_cache(2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+@lru_cache(1)
+def pieces(path: str, memo: int = MEMO) -> Pieces:
+    return Pieces(path, memo)
 
 
 def cut_up(s: str, chunk: int, longest: int) -> Iterator[tuple[int, str, int]]:
@@ -430,11 +433,11 @@ def encode_chunked(pc: Pieces, text: str, chunk: int, radix: int = RADIX) -> lis
     return [x for (_, s, e), a, b in zip(parts, on, on[1:]) for x in pc.backtrace(s, e, a, b)]
 
 
-def chunks_of(texts: DataFrame, path: str, chunk: int) -> DataFrame:
+def chunks_of(texts: DataFrame, path: str, chunk: int, memo: int = MEMO) -> DataFrame:
     """(sha, k, s, edge): the chunks of (sha, text), with their left context, dealt out by number and not by text."""
 
     def setup():
-        pc = pieces(path)
+        pc = pieces(path, memo)
 
         def rows(b: pa.RecordBatch) -> dict:
             out: dict = {"sha": [], "k": [], "s": [], "edge": []}
@@ -457,11 +460,11 @@ def groups_of(level: DataFrame, radix: int) -> DataFrame:
     return g.select("sha", "g", F.col("x.m").alias("ms"))
 
 
-def boundary_states(chunks: DataFrame, path: str, radix: int = RADIX) -> DataFrame:
+def boundary_states(chunks: DataFrame, path: str, radix: int = RADIX, memo: int = MEMO) -> DataFrame:
     """(sha, k, a, p, b, q): the states (a, p) and (b, q) at the edges of every chunk, by a tree of products up and down again."""
 
     def matrices():
-        pc = pieces(path)
+        pc = pieces(path, memo)
         return lambda b: {"sha": b.column("sha"), "k": b.column("k"), "m": [to_text(pc.transfer(s, e)) for s, e in zip(b.column("s").to_pylist(), b.column("edge").to_pylist())]}
 
     def product(b: pa.RecordBatch) -> dict:
@@ -493,13 +496,13 @@ def boundary_states(chunks: DataFrame, path: str, radix: int = RADIX) -> DataFra
     return at
 
 
-def encode_giants(texts: DataFrame, path: str, chunk: int = CHUNK, radix: int = RADIX) -> DataFrame:
+def encode_giants(texts: DataFrame, path: str, chunk: int = CHUNK, radix: int = RADIX, memo: int = MEMO) -> DataFrame:
     """(sha, ids, ok) of (sha, text): ok if every chunk's pieces decode to the characters between its cuts."""
-    chunks = chunks_of(texts, path, chunk)
-    states = boundary_states(chunks, path, radix)
+    chunks = chunks_of(texts, path, chunk, memo)
+    states = boundary_states(chunks, path, radix, memo)
 
     def trace():
-        pc = pieces(path)
+        pc = pieces(path, memo)
 
         def rows(b: pa.RecordBatch) -> dict:
             out: dict = {"sha": b.column("sha"), "k": b.column("k"), "ids": [], "ok": []}
@@ -517,7 +520,7 @@ def encode_giants(texts: DataFrame, path: str, chunk: int = CHUNK, radix: int =
     return whole.select("sha", F.flatten("x.ids").alias("ids"), "ok")
 
 
-def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep: tuple[str, ...] = (), order: str | None = None, memo: int = MEMO) -> DataFrame:
     """doc_id, the columns of keep, n_tokens, ids, ids_crc32 and round_trip (decodes to the text) of each document.
 
     order: one of keep, by which the rows come: ranges of it by task, sorted within, before the short texts are encoded.
@@ -525,7 +528,7 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep: tuple
     given = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in keep])  # one column meanwhile, so they may have any names
     base = docs.select(given.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     giant = base.where(F.length("text") >= chunk).withColumn("sha", F.sha2("text", 256))
-    found = encode_giants(giant.dropDuplicates(["sha"]).select("sha", "text"), path, chunk)
+    found = encode_giants(giant.dropDuplicates(["sha"]).select("sha", "text"), path, chunk, memo=memo)
     # A text with a word mark of its own decodes to a space there.
     giant = giant.select("row", "sha", (F.instr("text", MARK) == 0).alias("plain")).join(found, "sha")
     short = base.where(F.length("text") < chunk).select("row", "text", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("boolean").alias("ok"))
@@ -535,7 +538,7 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep: tuple
         both = both.repartitionByRange(n, f"row.{order}").sortWithinPartitions(f"row.{order}")
 
     def setup():
-        pc = pieces(path)
+        pc = pieces(path, memo)
 
         def rows(b: pa.RecordBatch) -> dict:
             texts, done = b.column("text").to_pylist(), b.column("ids")
