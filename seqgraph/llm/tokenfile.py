@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, slices
 
 FRAME_IDS = 1 << 18
 _SKIP, _TABLE_MAGIC, _INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
@@ -214,6 +214,11 @@ class Reader:
         return [x for i in range(lo, hi) for d, x in self.frame(i) if d == doc_id]
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder and its path there; Hadoop's names for S3 (s3a, s3n) are its usual one."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
 def write(docs: DataFrame, path: str, out: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """Encodes and writes docs under the folder `out`; one row for each file: part, file, n_docs, n_ids."""
     spark = docs.sparkSession
@@ -226,7 +231,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int, partitions: int | N
 
         task = TaskContext.get()
         part, enc = task.partitionId(), encoder(path)
-        fs, folder = pafs.FileSystem.from_uri(out)
+        fs, folder = file_system(out)
         name = f"part-{part:06d}.ids.zst"
         temp = f"{folder}/{name}.{task.taskAttemptId()}"
         n_docs = n_ids = 0
@@ -248,7 +253,7 @@ def read(spark, out: str, files: list[tuple[str, int]]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files; files: (name, ids in all files before it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = pafs.FileSystem.from_uri(out)
+        fs, folder = file_system(out)
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for b in batches:
             for name, start in zip(b.column("file").to_pylist(), b.column("start").to_pylist()):
