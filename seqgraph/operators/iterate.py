@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import canonical, is_palindrome, rc
 from ..functions.stats import MAX_MULT
+from .joins import shuffled
 from .kmers import enumerate_kmers
 
 _FLIP = str.maketrans("ACGT", "TGCA")
@@ -34,7 +35,7 @@ def read_hits(reads: DataFrame, flank: DataFrame, k: int, step: int) -> DataFram
     """
     kmers = enumerate_kmers(reads.where(F.length("seq") >= k + step + 1), k + 1, "seq", "read_id")
     both = kmers.select("read_id", "pos", F.inline(F.array(F.struct(F.lit(0).alias("way"), F.col("kmer").alias("m")), F.struct(F.lit(1).alias("way"), rc("kmer").alias("m")))))
-    return both.join(flank.withColumnRenamed("kmer", "m"), "m").drop("m")
+    return both.join(shuffled(flank.withColumnRenamed("kmer", "m")), "m").drop("m")
 
 
 def covered(reads: DataFrame, hits: DataFrame, k: int) -> DataFrame:
@@ -42,7 +43,7 @@ def covered(reads: DataFrame, hits: DataFrame, k: int) -> DataFrame:
 
     The relational form of the scan: hits times offsets, multiplicities averaged by place.
     """
-    h = hits.join(reads.select("read_id", "seq"), "read_id")
+    h = hits.join(shuffled(reads.select("read_id", "seq")), "read_id")
     here = F.when(F.col("way") == 0, F.substring("seq", F.col("pos") + k + 2, F.length("ext"))).otherwise(rc(F.expr("substring(seq, greatest(1, pos - length(ext) + 1), least(pos, length(ext)))")))
     n = F.least(F.length("ext"), F.length(here))
     same = F.size(F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(here, F.lit(1), i) == F.substring("ext", F.lit(1), i))) - 1
@@ -56,7 +57,7 @@ def long_edges(reads: DataFrame, cover: DataFrame, k: int, step: int) -> DataFra
     w = W.partitionBy("read_id").orderBy("pos").rowsBetween(-step, 0)
     runs = cover.withColumn("first", F.min("pos").over(w)).withColumn("n", F.count("*").over(w)).withColumn("m", F.avg("mul").over(w))
     runs = runs.where((F.col("n") == step + 1) & (F.col("pos") - F.col("first") == step))
-    e = runs.join(reads.select("read_id", "seq"), "read_id").select(canonical(F.substring("seq", F.col("first") + 1, F.lit(k + step + 1))).alias("edge"), F.least(F.lit(MAX_MULT), F.floor(F.round(F.col("m"), 6) + 0.5).cast("int")).alias("mult"))
+    e = runs.join(shuffled(reads.select("read_id", "seq")), "read_id").select(canonical(F.substring("seq", F.col("first") + 1, F.lit(k + step + 1))).alias("edge"), F.least(F.lit(MAX_MULT), F.floor(F.round(F.col("m"), 6) + 0.5).cast("int")).alias("mult"))
     return e.groupBy("edge").agg(F.max("mult").alias("mult"))
 
 
@@ -96,7 +97,7 @@ def scanned(reads: DataFrame, hits: DataFrame, k: int) -> DataFrame:
 
     Which hits are probed is found a read at a time, in Arrow batches (a read's hits are fewer than its places).
     """
-    h = hits.groupBy("read_id").agg(F.collect_list(F.struct("pos", "way", "ext", "mul")).alias("hits")).join(reads.select("read_id", "seq"), "read_id")
+    h = hits.groupBy("read_id").agg(F.collect_list(F.struct("pos", "way", "ext", "mul")).alias("hits")).join(shuffled(reads.select("read_id", "seq")), "read_id")
 
     def run(batches):
         schema = pa.schema([("read_id", pa.int64()), ("turn", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("mul", pa.float64())])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import canonical
 from ..operators import cleaning, graph, iterate, kmers, local, mercy
+from ..operators.joins import shuffled
 from ..operators.paths import cut_lineage
 from ..sources.tables import final_contigs, for_iterate, scan_contigs
 from .options import Options
@@ -65,7 +66,7 @@ def first_graph(reads: DataFrame, k: int, opt: Options) -> DataFrame:
     """Solid edges of the first k, with mercy edges."""
     edges = kmers.solid_edges(reads, k, opt.min_count)
     if opt.mercy and opt.one_pass:
-        at = mercy.one_pass_mercy(reads, k, opt.min_count).join(reads.select("read_id", "seq"), "read_id")
+        at = mercy.one_pass_mercy(reads, k, opt.min_count).join(shuffled(reads.select("read_id", "seq")), "read_id")
         extra = at.select(canonical(F.substring("seq", F.col("pos") + 1, F.lit(k + 1))).alias("edge"))
         return graph.from_reads(reads, k, opt.min_count, extra)
     if opt.mercy:
