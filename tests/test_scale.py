@@ -14,3 +14,57 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_no_broadcast_of_a_size_taken_from_files(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_task_gets_no_more_than_its_share_of_a_table(spark, tmp_path):
+    from seqgraph.sources import tables
+
+    spark.range(200_000).selectExpr("id", "repeat(uuid(), 4) AS text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert tables.spread(df, size // 23).rdd.getNumPartitions() >= 23
+    assert tables.spread(df).rdd.getNumPartitions() == 4
+
+
+def test_packed_places_across_chunks(monkeypatch):
+    """Canonical k-mers with the bases beside them, against plain code, with reads cut by the chunks of the work."""
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from seqgraph.operators import packed
+
+    monkeypatch.setattr(packed, "CHUNK", 37)
+    rand = random.Random(1)
+    reads = ["".join(rand.choice("ACGT") for _ in range(rand.randint(1, 60))) for _ in range(50)] + ["ACGT" * 8]
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    for size in (6, 21, 22, 28):
+        got, want = Counter(), Counter()
+        for x in packed._with_sides(pa.chunked_array([pa.array(["A", *reads])]).chunk(0)[1:], size):
+            got.update((m, v >> 3 & 7, v & 7) for m, v in zip(packed.letters(x >> 6, size).to_pylist(), x.tolist()))
+        for s in reads:
+            for i in range(len(s) - size + 1):
+                m, b, a = s[i : i + size], s[i - 1] if i else "", s[i + size : i + size + 1]
+                m, b, a = (rc(m), rc(a), rc(b)) if m > rc(m) else (m, b, a)
+                want[m, "ACGT".index(b) + 1 if b else 0, "ACGT".index(a) + 1 if a else 0] += 1
+        assert got == want
+
+
+def test_packed_counts_equal_strings(spark):
+    from seqgraph.operators import kmers, packed
+
+    reads = registry.reads(spark, SF, "conversations")
+    want = kmers.canonical_kmers(reads, 22).groupBy("edge").count()
+    got = packed.counts(reads, 22)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_cut_equals_substrings(spark):
+    from pyspark.sql import functions as F
+
+    from seqgraph.sources import tables
+
+    text = "".join(chr(97 + i * 7 % 26) for i in range(5000))
+    got = tables.cut(spark.createDataFrame([(text,)], "t string"), "t", F.lit(100), 50, 100).collect()
+    assert sorted((r.i, r.seq) for r in got) == [(i, text[50 * i : 50 * i + 100]) for i in range(100)]
