@@ -68,3 +68,23 @@ def test_cut_equals_substrings(spark):
     text = "".join(chr(97 + i * 7 % 26) for i in range(5000))
     got = tables.cut(spark.createDataFrame([(text,)], "t string"), "t", F.lit(100), 50, 100).collect()
     assert sorted((r.i, r.seq) for r in got) == [(i, text[50 * i : 50 * i + 100]) for i in range(100)]
+
+
+def test_folded_loops_against_plain_code(spark):
+    import random
+
+    from seqgraph.functions import seq as fs
+
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rand = random.Random(2)
+    made = ["".join(rand.choice("ACGT") for _ in range(rand.randint(0, 40))) for _ in range(60)]
+    cases = [None, "", "AT", "ACGT", *made, *(s + rc(s) for s in made)]
+    for k in (4, 5):
+        want = []
+        for s in cases:
+            at = next((i for i in range(max(1, len(s) - k)) if s[i : i + k + 1] == rc(s[i : i + k + 1])), None) if s is not None else None
+            want.append(s if at is None else s[at + 1 : at + 1 + len(s) // 2])
+        col = fs.fold_palindrome_loop("s", k)
+        assert "lambda" not in str(col)  # a lambda is interpreted place by place
+        got = spark.createDataFrame([(i, s) for i, s in enumerate(cases)], "i int, s string").select("i", col.alias("f")).collect()
+        assert [r.f for r in sorted(got)] == want
