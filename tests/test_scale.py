@@ -88,3 +88,20 @@ def test_folded_loops_against_plain_code(spark):
         assert "lambda" not in str(col)  # a lambda is interpreted place by place
         got = spark.createDataFrame([(i, s) for i, s in enumerate(cases)], "i int, s string").select("i", col.alias("f")).collect()
         assert [r.f for r in sorted(got)] == want
+
+
+def test_rules_do_not_pair_unitigs_with_a_common_node(spark, monkeypatch):
+    """Of n unitigs into a node and n out of it, the rules need sums at the node, not n * n pairs."""
+    from seqgraph.operators import cleaning, unitigs
+
+    rows = [(f"u{i}", s, 2, d, False, False, False) for i, (s, d) in enumerate([("AACCG", 20), ("TACCG", 20), ("CCGAT", 40), ("CCGTT", 2)])]
+    u = spark.createDataFrame(rows, "uid string, seq string, length long, total_depth long, is_loop boolean, is_palindrome boolean, is_changed boolean")
+    pairs = unitigs.adjacency(u, 3).collect()
+    for module in (unitigs, cleaning):
+        monkeypatch.setattr(module, "adjacency", lambda *a: pytest.fail("pairs"), raising=False)
+    got = {r.uid: (r.indeg, r.outdeg) for r in unitigs.degrees(u, 3).collect()}
+    assert got == {x: (sum(p.uid == x and p.strand == 1 for p in pairs), sum(p.uid == x and p.strand == 0 for p in pairs)) for x in got}
+    assert got["u0"][1] == 2 and got["u2"][0] == 2
+    assert [(r.uid, r.strand) for r in cleaning.weak_links(u, 3, 0.1).collect()] == [("u3", 0)]
+    assert {r.uid: r.mean for r in cleaning.local_depth(u, 3).collect()}["u0"] == 10.5
+    assert [r.uid for r in cleaning.unitig_tips(u, 3, 9).collect()] == []
