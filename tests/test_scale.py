@@ -1,6 +1,7 @@
 """What must not grow with the input: broadcasts, tasks' shares and repeated rows."""
 
 import os
+import re
 
 import pytest
 
@@ -146,3 +147,16 @@ def test_tips_join_numbers_and_equal_strings(spark, monkeypatch):
     rows = sorted(map(repr, got.collect()))
     monkeypatch.setattr(packed, "fits", lambda *a: False)
     assert rows == sorted(map(repr, kmers.read_tips(reads, 21).collect())) and rows
+
+
+def broadcasts(df):
+    """What is broadcast besides the libraries, which have a row each: the leaves of its plans."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [re.search("[A-Za-z]|$", x).start() for x in lines]
+    ends = (next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines)) - 1 for i, x in enumerate(lines) if "BroadcastExchange" in x)
+    assert any("SortMergeJoin" in x for x in lines)
+    return [lines[i] for i in ends if "begin_id" not in lines[i]]
+
+
+def test_insert_sizes_broadcast_a_row_for_each_library_only(spark):
+    assert broadcasts(registry.queries()["l03_insert_sizes"](spark, SF)) == []
