@@ -160,3 +160,12 @@ def broadcasts(df):
 
 def test_insert_sizes_broadcast_a_row_for_each_library_only(spark):
     assert broadcasts(registry.queries()["l03_insert_sizes"](spark, SF)) == []
+
+
+def test_what_a_local_range_sums_up_broadcasts_a_row_for_each_library_only(spark, monkeypatch):
+    from seqgraph.operators import mapping
+
+    seen = []
+    monkeypatch.setattr(mapping, "insert_stats", lambda inserts, lib_id: seen.append(inserts) or (200.0, 10.0))
+    assert registry.queries()["l04_local_range"](spark, SF).first()[0] == 230
+    assert [broadcasts(x) for x in seen] == [[]]
