@@ -169,3 +169,7 @@ def test_what_a_local_range_sums_up_broadcasts_a_row_for_each_library_only(spark
     monkeypatch.setattr(mapping, "insert_stats", lambda inserts, lib_id: seen.append(inserts) or (200.0, 10.0))
     assert registry.queries()["l04_local_range"](spark, SF).first()[0] == 230
     assert [broadcasts(x) for x in seen] == [[]]
+
+
+def test_mate_hits_broadcast_a_row_for_each_library_only(spark):
+    assert broadcasts(registry.queries()["l06_mate_hits"](spark, SF)) == []
