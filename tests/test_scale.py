@@ -173,3 +173,15 @@ def test_what_a_local_range_sums_up_broadcasts_a_row_for_each_library_only(spark
 
 def test_mate_hits_broadcast_a_row_for_each_library_only(spark):
     assert broadcasts(registry.queries()["l06_mate_hits"](spark, SF)) == []
+
+
+def test_more_input_makes_more_buckets_and_not_larger_ones(spark, monkeypatch):
+    from seqgraph.operators import kmers, packed
+
+    reads = registry.reads(spark, SF, "conversations")
+    want = sorted(map(repr, kmers.with_neighbours(reads, 22).groupBy("edge", "prev", "next").agg({"*": "count"}).collect()))
+    few = packed._bits(reads)
+    monkeypatch.setattr(packed, "BUCKET_BYTES", 16)
+    assert packed._bits(reads) > few
+    got = packed.flanked(reads, 22).withColumnRenamed("mult", "count(1)")
+    assert sorted(map(repr, got.collect())) == want
