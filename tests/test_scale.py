@@ -187,7 +187,7 @@ def test_more_input_makes_more_buckets_and_not_larger_ones(spark, monkeypatch):
     assert sorted(map(repr, got.collect())) == want
 
 
-@pytest.mark.parametrize("name", ["a12_min_depth", "f15_first_minimum", "g05_colex_order"])
+@pytest.mark.parametrize("name", ["a12_min_depth", "f15_first_minimum", "g05_colex_order", "p04_directed_edges"])
 def test_a_graph_that_is_read_once_is_not_written_first(spark, monkeypatch, name):
     monkeypatch.setattr(registry, "cut_lineage", lambda *a: pytest.fail("written"))
     assert registry.queries()[name](spark, SF).count()
